@@ -8,7 +8,7 @@ so that they are the same in every engine.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfcast.sources.sales import normalise_columns
@@ -18,6 +18,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def _unit_price() -> Column:
+    """Price of one unit in whole cents."""
+    return F.floor(F.col("l_extendedprice") * 100 / F.col("l_quantity") + F.lit(0.5)) / 100
+
+
 def _store_regions(spark: SparkSession, folder: str) -> DataFrame:
     return (
         table(spark, folder, "supplier")
@@ -38,7 +43,7 @@ def sales_headers(spark: SparkSession, folder: str) -> DataFrame:
             F.col("r_name").alias("Location"),
             F.col("p_type").alias("Product_Category"),
             F.col("p_brand").alias("Product_Name"),
-            (F.col("l_extendedprice") / F.col("l_quantity")).alias("Unit_Price"),
+            _unit_price().alias("Unit_Price"),
             F.col("l_quantity").alias("Quantity"),
             F.col("l_discount").alias("Discount_Applied"),
         )
@@ -56,7 +61,7 @@ def sales_fine(spark: SparkSession, folder: str) -> DataFrame:
         F.col("l_shipdate").cast("date").alias("date"),
         F.col("l_suppkey").cast("string").alias("store_id"),
         F.col("l_partkey").cast("string").alias("product_id"),
-        (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"),
+        _unit_price().alias("price"),
         F.col("l_quantity").alias("sales"),
         F.col("l_discount").alias("Discount_Applied"),
     )
