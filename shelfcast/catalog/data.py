@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfcast.catalog import Entry, plain, rounded
-from shelfcast.catalog.sql import query, r
+from shelfcast.catalog.sql import part, query, r
 from shelfcast.functions.keys import SERIES
 from shelfcast.functions.quantiles import group_quantiles
 from shelfcast.operators import anomaly, clean, features, overview, validate
@@ -659,33 +659,56 @@ def scanned(spark, folder) -> DataFrame:
     return features.promotion_features(features.calendar_features(days))
 
 
-_SCAN = query(
+part(
+    "scan",
     "cleaned",
-    "",
-).rstrip()
-
-_SCANNED = f"""
-{_SCAN},
-s AS (SELECT store_id, product_id, date, sales, round(price, 4) AS price, promotion AS is_promotion, isodow(date) - 1 AS day_of_week, {_STOCK_SQL} AS current_stock FROM cleaned),
-m AS (SELECT *, avg(sales) OVER w7 AS rmean, coalesce(stddev_samp(sales) OVER w7, 1) AS rstd,
-             lag(price) OVER w AS price_before, lag(current_stock) OVER w AS stock_before
-      FROM s WINDOW w AS (PARTITION BY store_id, product_id ORDER BY date),
-                    w7 AS (PARTITION BY store_id, product_id ORDER BY date ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)),
-b AS (SELECT m.*, (q3 + 1.5 * (q3 - q1)) * CASE WHEN is_promotion > 0 THEN 2 ELSE 1 END * CASE WHEN day_of_week >= 5 THEN CAST(1.2 AS DOUBLE) ELSE 1 END AS bound,
-             CASE WHEN rstd = 0 THEN 0 ELSE abs((sales - rmean) / rstd) END AS z
-      FROM m JOIN fences USING (store_id, product_id)),
-k AS (SELECT *, sales > bound OR z > 3 AS spike, least(1, sales / (bound + CAST(1e-5 AS DOUBLE))) AS ratio FROM b),
-flagged AS (SELECT *, CASE
-  WHEN sales = 0 AND rmean > 10 THEN {{'t': 'DEMAND_DROP', 's': 'MEDIUM', 'v': CAST(0.8 AS DOUBLE), 'r': 'Sudden 0-demand drop against high rolling average.'}}
-  WHEN current_stock < 0 THEN {{'t': 'CRITICAL_DATA_ERROR', 's': 'CRITICAL', 'v': CAST(1 AS DOUBLE), 'r': 'Impossible negative inventory value.'}}
-  WHEN price <= 0 THEN {{'t': 'CRITICAL_DATA_ERROR', 's': 'CRITICAL', 'v': CAST(1 AS DOUBLE), 'r': 'Impossible negative or zero price value.'}}
-  WHEN spike AND is_promotion = 0 AND ratio > CAST(0.9 AS DOUBLE) THEN {{'t': 'DEMAND_SPIKE', 's': 'HIGH', 'v': round_even(ratio, 2), 'r': 'Unexplained demand spike (' || sales || ') exceeds context boundaries.'}}
-  WHEN current_stock > stock_before + 1000 THEN {{'t': 'INVENTORY_JUMP', 's': 'HIGH', 'v': CAST(0.8 AS DOUBLE), 'r': 'Massive unexplained inventory increase.'}}
-  WHEN price_before > 0 AND (price / price_before > 2 OR price / price_before < CAST(0.2 AS DOUBLE)) THEN {{'t': 'PRICE_ANOMALY', 's': 'HIGH', 'v': CAST(0.9 AS DOUBLE), 'r': 'Massive price variation (' || price_before || ' -> ' || price || ').'}}
-  WHEN spike AND is_promotion = 0 THEN {{'t': 'DEMAND_SPIKE', 's': 'MEDIUM', 'v': round_even(ratio, 2), 'r': 'Unexplained demand spike (' || sales || ') exceeds context boundaries.'}}
-  WHEN spike THEN {{'t': 'BUSINESS_EVENT', 's': 'LOW', 'v': CAST(0.4 AS DOUBLE), 'r': 'High demand aligns with active promotion context.'}}
-  ELSE {{'t': 'NORMAL', 's': 'NONE', 'v': CAST(0 AS DOUBLE), 'r': ''}} END AS f FROM k)
-"""
+    f"""
+SELECT store_id, product_id, date, sales, round(price, 4) AS price, promotion AS is_promotion, isodow(date) - 1 AS day_of_week,
+       {_STOCK_SQL} AS current_stock FROM cleaned
+""",
+)
+part(
+    "measured",
+    "scan",
+    """
+SELECT *, avg(sales) OVER w7 AS rmean, coalesce(stddev_samp(sales) OVER w7, 1) AS rstd,
+       lag(price) OVER w AS price_before, lag(current_stock) OVER w AS stock_before
+FROM scan WINDOW w AS (PARTITION BY store_id, product_id ORDER BY date),
+                 w7 AS (PARTITION BY store_id, product_id ORDER BY date ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)
+""",
+)
+part(
+    "bounded",
+    "measured fences",
+    """
+SELECT m.*, (q3 + 1.5 * (q3 - q1)) * CASE WHEN is_promotion > 0 THEN 2 ELSE 1 END
+            * CASE WHEN day_of_week >= 5 THEN CAST(1.2 AS DOUBLE) ELSE 1 END AS bound,
+       CASE WHEN rstd = 0 THEN 0 ELSE abs((sales - rmean) / rstd) END AS z
+FROM measured m JOIN fences USING (store_id, product_id)
+""",
+)
+part(
+    "compared",
+    "bounded",
+    "SELECT *, sales > bound OR z > 3 AS spike, least(1, sales / (bound + CAST(1e-5 AS DOUBLE))) AS ratio FROM bounded",
+)
+part(
+    "flagged",
+    "compared",
+    """
+SELECT *, CASE
+  WHEN sales = 0 AND rmean > 10 THEN {'t': 'DEMAND_DROP', 's': 'MEDIUM', 'v': CAST(0.8 AS DOUBLE), 'r': 'Sudden 0-demand drop against high rolling average.'}
+  WHEN current_stock < 0 THEN {'t': 'CRITICAL_DATA_ERROR', 's': 'CRITICAL', 'v': CAST(1 AS DOUBLE), 'r': 'Impossible negative inventory value.'}
+  WHEN price <= 0 THEN {'t': 'CRITICAL_DATA_ERROR', 's': 'CRITICAL', 'v': CAST(1 AS DOUBLE), 'r': 'Impossible negative or zero price value.'}
+  WHEN spike AND is_promotion = 0 AND ratio > CAST(0.9 AS DOUBLE) THEN {'t': 'DEMAND_SPIKE', 's': 'HIGH', 'v': round_even(ratio, 2), 'r': 'Unexplained demand spike (' || sales || ') exceeds context boundaries.'}
+  WHEN current_stock > stock_before + 1000 THEN {'t': 'INVENTORY_JUMP', 's': 'HIGH', 'v': CAST(0.8 AS DOUBLE), 'r': 'Massive unexplained inventory increase.'}
+  WHEN price_before > 0 AND (price / price_before > 2 OR price / price_before < CAST(0.2 AS DOUBLE)) THEN {'t': 'PRICE_ANOMALY', 's': 'HIGH', 'v': CAST(0.9 AS DOUBLE), 'r': 'Massive price variation (' || price_before || ' -> ' || price || ').'}
+  WHEN spike AND is_promotion = 0 THEN {'t': 'DEMAND_SPIKE', 's': 'MEDIUM', 'v': round_even(ratio, 2), 'r': 'Unexplained demand spike (' || sales || ') exceeds context boundaries.'}
+  WHEN spike THEN {'t': 'BUSINESS_EVENT', 's': 'LOW', 'v': CAST(0.4 AS DOUBLE), 'r': 'High demand aligns with active promotion context.'}
+  ELSE {'t': 'NORMAL', 's': 'NONE', 'v': CAST(0 AS DOUBLE), 'r': ''} END AS f
+FROM compared
+""",
+)
 
 
 @entry(
@@ -698,7 +721,10 @@ def _(spark, folder):
 
 @entry(
     "a03_a04_measures",
-    f"{_SCANNED} SELECT {_KEY}, {r('bound')} AS bound, {r('rmean')} AS rolling_mean, {r('rstd')} AS rolling_std, {r('z')} AS z FROM b",
+    query(
+        "bounded",
+        f"SELECT {_KEY}, {r('bound')} AS bound, {r('rmean')} AS rolling_mean, {r('rstd')} AS rolling_std, {r('z')} AS z FROM bounded",
+    ),
 )
 def _(spark, folder):
     m = anomaly.measures(scanned(spark, folder))
@@ -716,50 +742,64 @@ def _(spark, folder):
 
 @entry(
     "a01_a13_detect",
-    f"""{_SCANNED} SELECT {_KEY}, sales, f.s <> 'NONE' AS is_anomaly, f.v AS anomaly_score, f.t AS anomaly_type,
- f.s AS anomaly_severity, f.r AS anomaly_reason FROM flagged""",
+    query(
+        "flagged",
+        f"""
+SELECT {_KEY}, sales, f.s <> 'NONE' AS is_anomaly, f.v AS anomaly_score, f.t AS anomaly_type,
+       f.s AS anomaly_severity, f.r AS anomaly_reason FROM flagged
+""",
+    ),
 )
 def _(spark, folder):
     return anomaly.detect(scanned(spark, folder)).select(*SERIES, "date", "sales", *anomaly.FLAG_COLUMNS)
 
 
-_COUNTS = """count(*) AS total_records, count_if(f.s <> 'NONE') AS anomalies, count_if(f.s = 'CRITICAL') AS critical, count_if(f.s = 'HIGH') AS high,
- count_if(f.s = 'MEDIUM') AS medium, count_if(f.s = 'LOW') AS low"""
-_QUALITY = """CASE WHEN score < 70 THEN 'CRITICAL' WHEN score < 90 OR critical > 0 THEN 'WARNING' ELSE 'HEALTHY' END AS status,
- round_even(score, 2) AS data_quality_score"""
-_BIG = "CAST(total_records AS BIGINT) AS total_records, CAST(anomalies AS BIGINT) AS anomalies, CAST(critical AS BIGINT) AS critical, CAST(high AS BIGINT) AS high, CAST(medium AS BIGINT) AS medium, CAST(low AS BIGINT) AS low"
+_COUNTS = """CAST(count(*) AS BIGINT) AS total_records, CAST(count_if(f.s <> 'NONE') AS BIGINT) AS anomalies,
+ CAST(count_if(f.s = 'CRITICAL') AS BIGINT) AS critical, CAST(count_if(f.s = 'HIGH') AS BIGINT) AS high,
+ CAST(count_if(f.s = 'MEDIUM') AS BIGINT) AS medium, CAST(count_if(f.s = 'LOW') AS BIGINT) AS low"""
 _SCORE = "greatest(0, 100 - (critical + CAST(0.8 AS DOUBLE) * high + CAST(0.3 AS DOUBLE) * medium + CAST(0.05 AS DOUBLE) * low) / total_records * 100)"
+_STATUS = "CASE WHEN score < 70 THEN 'CRITICAL' WHEN score < 90 OR critical > 0 THEN 'WARNING' ELSE 'HEALTHY' END"
+part(
+    "quality",
+    "flagged",
+    f"SELECT * EXCLUDE (score), {_STATUS} AS status, round_even(score, 2) AS data_quality_score FROM (SELECT *, {_SCORE} AS score FROM (SELECT {_COUNTS} FROM flagged))",
+)
+part(
+    "series_quality",
+    "flagged",
+    f"""
+SELECT * EXCLUDE (score), {_STATUS} AS status, round_even(score, 2) AS data_quality_score
+FROM (SELECT *, {_SCORE} AS score FROM (SELECT store_id, product_id, {_COUNTS} FROM flagged GROUP BY store_id, product_id))
+""",
+)
+part(
+    "found",
+    "flagged",
+    """
+SELECT store_id, product_id, strftime(date, '%Y-%m-%d') AS date, f.t AS anomaly_type, f.s AS severity, f.v AS score, f.r AS reason,
+       sales AS original_value FROM flagged WHERE f.s <> 'NONE'
+""",
+)
 
 
-@entry(
-    "q01_q02_q04_quality",
-    f"{_SCANNED}, c AS (SELECT {_COUNTS} FROM flagged), d AS (SELECT *, {_SCORE} AS score FROM c) SELECT {_BIG}, {_QUALITY} FROM d",
-)
+@entry("q01_q02_q04_quality", query("quality", "SELECT * FROM quality"))
 def _(spark, folder):
     return anomaly.quality(anomaly.detect(scanned(spark, folder)))
 
 
-@entry(
-    "q03_quality_by_series",
-    f"""{_SCANNED}, c AS (SELECT store_id, product_id, {_COUNTS} FROM flagged GROUP BY store_id, product_id), d AS (SELECT *, {_SCORE} AS score FROM c)
-SELECT store_id, product_id, {_BIG}, {_QUALITY} FROM d""",
-)
+@entry("q03_quality_by_series", query("series_quality", "SELECT * FROM series_quality"))
 def _(spark, folder):
     return anomaly.quality(anomaly.detect(scanned(spark, folder)), SERIES)
 
 
-_RECORDS = """SELECT store_id, product_id, strftime(date, '%Y-%m-%d') AS date, f.t AS anomaly_type, f.s AS severity, f.v AS score, f.r AS reason,
- sales AS original_value FROM flagged WHERE f.s <> 'NONE'"""
-
-
-@entry("q05_records", f"{_SCANNED} {_RECORDS}")
+@entry("q05_records", query("found", "SELECT * FROM found"))
 def _(spark, folder):
     return anomaly.records(anomaly.detect(scanned(spark, folder)))
 
 
 @entry(
     "q06_page",
-    f"{_SCANNED} SELECT * FROM ({_RECORDS}) WHERE store_id = 'EUROPE' ORDER BY store_id, product_id, date LIMIT 50 OFFSET 100",
+    query("found", "SELECT * FROM found WHERE store_id = 'EUROPE' ORDER BY store_id, product_id, date LIMIT 50 OFFSET 100"),
 )
 def _(spark, folder):
     return anomaly.page(anomaly.records(anomaly.detect(scanned(spark, folder))), page=3, page_size=50, store_id="EUROPE")
@@ -767,7 +807,10 @@ def _(spark, folder):
 
 @entry(
     "q06_page_totals",
-    f"{_SCANNED} SELECT count(*) AS total, CAST(ceil(count(*) / 50) AS BIGINT) AS total_pages FROM ({_RECORDS}) WHERE store_id = 'EUROPE'",
+    query(
+        "found",
+        "SELECT count(*) AS total, CAST(ceil(count(*) / 50) AS BIGINT) AS total_pages FROM found WHERE store_id = 'EUROPE'",
+    ),
 )
 def _(spark, folder):
     return anomaly.page_totals(anomaly.records(anomaly.detect(scanned(spark, folder))), page_size=50, store_id="EUROPE")
@@ -803,7 +846,7 @@ def _(spark, folder):
     return overview.dimension_counts(retail.sales_fine(spark, folder))
 
 
-@entry("b04_first_records", f"{_SCANNED} SELECT * FROM ({_RECORDS}) ORDER BY store_id, product_id, date LIMIT 4")
+@entry("b04_first_records", query("found", "SELECT * FROM found ORDER BY store_id, product_id, date LIMIT 4"))
 def _(spark, folder):
     return overview.first_records(anomaly.records(anomaly.detect(scanned(spark, folder))))
 

@@ -7,7 +7,7 @@ bounded by the length of the calendar however many raw rows the series had.
 
 from __future__ import annotations
 
-from pyspark.sql import Window, WindowSpec
+from pyspark.sql import DataFrame, Window, WindowSpec
 
 SERIES = ["store_id", "product_id"]
 
@@ -19,3 +19,12 @@ def by_date(*tiebreak: str) -> WindowSpec:
 def whole_series(*extra: str) -> WindowSpec:
     """All rows of a series; extra keys stay within the same shuffle partitioning."""
     return Window.partitionBy(*SERIES, *extra)
+
+
+def by_series(df: DataFrame) -> DataFrame:
+    """Rows of a series together, over all shuffle partitions.
+
+    For rows that will grow after the shuffle: sized by what is shuffled, adaptive
+    execution would merge them into too few tasks.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *SERIES)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfcast.functions.keys import SERIES, by_date, whole_series
+from shelfcast.functions.keys import SERIES, by_date, by_series, whole_series
 from shelfcast.functions.numeric import no_nan
 from shelfcast.functions.quantiles import group_quantiles
 from shelfcast.functions.skew import all_pairs_of
@@ -88,7 +88,9 @@ def clean(df: DataFrame, *, by_category: bool = False, carry_supplied: bool = Tr
     return flag_outliers(panel)
 
 
-def densify(panel: DataFrame, *, scope: str = "global", extent: DataFrame | None = None) -> DataFrame:
+def densify(
+    panel: DataFrame, *, scope: str = "global", extent: DataFrame | None = None, flag: bool = False
+) -> DataFrame:
     """A row for every day of every series.
 
     ``global``: every store with every product over the whole date range.
@@ -98,7 +100,8 @@ def densify(panel: DataFrame, *, scope: str = "global", extent: DataFrame | None
     series, so the calendar is never joined or shuffled: the sparse rows move
     once, to their series, and the dense rows are made where they stay.  For the
     global grid one marker row per pair at the first date starts the calendar.
-    ``extent`` may name a cheaper frame with the same stores, products and dates.
+    ``extent`` may name a cheaper frame with the same stores, products and dates;
+    ``flag`` adds the outlier flag of the real rows on the way.
     """
     if scope not in ("global", "observed"):
         raise ValueError(f"unknown scope {scope!r}")
@@ -113,26 +116,30 @@ def densify(panel: DataFrame, *, scope: str = "global", extent: DataFrame | None
         rows = rows.unionByName(starts, allowMissingColumns=True)
         last = span["hi"]
 
+    rows = by_series(rows)
+    if flag:
+        rows = flag_outliers(rows)
     tie = ["_real"] + (["category"] if "category" in panel.columns else [])
     order = by_date(*tie)
     before = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    after = order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    anywhere = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     carried = [c for c in CARRIED if c in panel.columns]
     until = F.coalesce(F.lead("date").over(order), F.date_add(last, 1))
     rows = rows.withColumns(
         {
             "_gap": F.datediff(until, F.col("date")),
-            **{c: F.coalesce(F.last(c, True).over(before), F.first(c, True).over(after)) for c in carried},
+            # With nothing known before a row, the next known value is the first of the series.
+            **{c: F.coalesce(F.last(c, True).over(before), F.first(c, True).over(anywhere)) for c in carried},
         }
     )
     days = F.when(F.col("_real") == 1, F.greatest(F.col("_gap"), F.lit(1))).otherwise(F.col("_gap"))
     dense = rows.where(days > 0).withColumn("_day", F.explode(F.sequence(F.lit(0), days - 1)))
     here = (F.col("_real") == 1) & (F.col("_day") == 0)
-    zeroed = [c for c in ("sales", "promotion", "is_outlier") if c in panel.columns]
+    zeroed = [c for c in ("sales", "promotion", "is_outlier") if c in rows.columns]
     return dense.select(
         *SERIES,
         F.date_add("date", F.col("_day")).alias("date"),
-        *[F.when(here, F.coalesce(F.col(c), F.lit(0))).otherwise(0).cast(panel.schema[c].dataType).alias(c) for c in zeroed],
+        *[F.when(here, F.coalesce(F.col(c), F.lit(0))).otherwise(0).cast(rows.schema[c].dataType).alias(c) for c in zeroed],
         *[c for c in panel.columns if c in carried],
         *[
             F.when(here, F.col(c)).alias(c)

@@ -56,12 +56,13 @@ def heights(events: DataFrame) -> DataFrame:
 def versions(events: DataFrame) -> DataFrame:
     """Every registered version with its status: PRODUCTION, ARCHIVED or ROLLED_BACK."""
     placed = heights(events)
-    in_day = Window.partitionBy(*SERIES, "_day").orderBy("at", "seq")
-    later_today = F.min("height").over(in_day.rowsBetween(1, Window.unboundedFollowing))
+    # Later rows are looked at in descending order: a frame that grows is linear.
+    newest_first = Window.partitionBy(*SERIES, "_day").orderBy(F.desc("at"), F.desc("seq"))
+    later_today = F.min("height").over(newest_first.rowsBetween(Window.unboundedPreceding, -1))
     by_day = placed.groupBy(*SERIES, "_day").agg(
         F.min("height").alias("_lowest"), F.max_by("height", F.struct("at", "seq")).alias("_end")
     )
-    after = Window.partitionBy(*SERIES).orderBy("_day").rowsBetween(1, Window.unboundedFollowing)
+    after = Window.partitionBy(*SERIES).orderBy(F.desc("_day")).rowsBetween(Window.unboundedPreceding, -1)
     all_days = Window.partitionBy(*SERIES)
     by_day = by_day.withColumn("_later", F.min("_lowest").over(after)).withColumn(
         "_final", F.max_by("_end", "_day").over(all_days)

@@ -70,22 +70,27 @@ def matches(panel: DataFrame, champions: DataFrame, listings: DataFrame, *, as_o
     return exchange.match(listings, coming_demand(panel, champions), as_of=as_of)
 
 
-def health_reports(engineered: DataFrame, champions: DataFrame, quality: DataFrame, *, registered_at) -> DataFrame:
-    """Health of every champion: drift from validation to test days, error on the test days."""
-    split = features.chronological_split(engineered)
-    flagged = split.withColumn("learn", F.col("split") == "train")
-    scored = forecast.add_candidates(flagged).where(F.col("split") == "test")
-    models = champions.select(
-        *SERIES, F.col("model_id").alias("version_id"), "model_type", "wape", F.lit(registered_at).alias("registered_at")
-    )
-    served = scored.join(models.select(*SERIES, "model_type"), SERIES, "left")
+def served_forecasts(engineered: DataFrame, champions: DataFrame) -> DataFrame:
+    """``(series, date, actual, forecast)`` of each series' champion on the test days."""
+    split = features.chronological_split(engineered).withColumn("learn", F.col("split") == "train")
+    scored = forecast.add_candidates(split).where(F.col("split") == "test")
+    served = scored.join(champions.select(*SERIES, "model_type"), SERIES)
     chosen = F.coalesce(
         *[F.when(F.col("model_type") == m, F.col(m)) for m in forecast.candidate_columns(scored)], F.lit(0.0)
     )
-    pairs = served.select(*SERIES, F.col("sales").alias("actual"), chosen.alias("forecast"))
+    return served.select(*SERIES, "date", F.col("sales").alias("actual"), chosen.alias("forecast"))
+
+
+def health_reports(engineered: DataFrame, pairs: DataFrame, models: DataFrame, quality: DataFrame) -> DataFrame:
+    """Health of every series with forecasts: drift from validation to test days and error.
+
+    ``models`` are the registered champions with ``registered_at``; series without
+    one are reported as missing.
+    """
+    split = features.chronological_split(engineered)
     return monitor.health(
         pairs,
-        models,
+        models.select(*SERIES, F.col("model_id").alias("version_id"), "wape", "registered_at"),
         split.where(F.col("split") == "validation"),
         split.where(F.col("split") == "test"),
         features.numeric_features(engineered),

@@ -10,12 +10,14 @@ from shelfcast.session import materialise
 
 
 def _written(df: DataFrame, **options) -> tuple[DataFrame, DataFrame]:
+    """The written daily aggregate, and the same with missing values filled."""
     days = materialise(daily(df, **options), "daily")
-    cleaned = days
+    lacks = days.agg(*[F.bool_or(F.col(c).isNull()).alias(c) for c in ("price", "promotion")]).first()
+    filled = days
     for column in ("price", "promotion"):
-        if not days.where(F.col(column).isNull()).isEmpty():
-            cleaned = fill_from_product(cleaned, column)
-    return days, flag_outliers(cleaned)
+        if lacks[column]:
+            filled = fill_from_product(filled, column)
+    return days, filled
 
 
 def daily_table(df: DataFrame, **options) -> DataFrame:
@@ -24,10 +26,10 @@ def daily_table(df: DataFrame, **options) -> DataFrame:
     The aggregate is the only step that reads the raw rows.  The median fill is
     planned only when a value is in fact missing.
     """
-    return _written(df, **options)[1]
+    return flag_outliers(_written(df, **options)[1])
 
 
 def sales_panel(df: DataFrame, *, scope: str = "global", **options) -> DataFrame:
     """Raw rows to the gap-free daily panel."""
-    days, cleaned = _written(df, **options)
-    return densify(cleaned, scope=scope, extent=days)
+    days, filled = _written(df, **options)
+    return densify(filled, scope=scope, extent=days, flag=True)
