@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from shelfcast.catalog import Entry, plain, rounded
 from shelfcast.catalog.data import panel
 from shelfcast.catalog.sql import part, query, r
-from shelfcast.functions.keys import SERIES
+from shelfcast.functions.keys import SERIES, by_date
 from shelfcast.operators import boosted, features, forecast, selection
 from shelfcast.plans import flows
 from shelfcast.session import materialise
@@ -31,22 +31,26 @@ def split_rows(spark, folder) -> DataFrame:
 
 
 def candidates(spark, folder) -> DataFrame:
-    return flows.learn_and_score(features.promotion_features(panel(spark, folder)))
+    return flows.learn_and_score(features.promotion_features(materialise(panel(spark, folder), "panel")))
 
 
 _KEY = "store_id, product_id, date"
 
 
+def targets_and_fit(spark, folder) -> DataFrame:
+    """Validation rows beside what was learnt about their series."""
+    rows = materialise(split_rows(spark, folder), "split")
+    return rows.where(~F.col("learn")).join(forecast.fit(rows.where("learn")), SERIES)
+
+
 @entry("m01_naive", query("v_cand", f"SELECT {_KEY}, baseline_naive FROM v_cand"))
 def _(spark, folder):
-    rows = forecast.naive(split_rows(spark, folder)).where(~F.col("learn"))
-    return rows.select(*SERIES, "date", forecast.NAIVE)
+    return targets_and_fit(spark, folder).select(*SERIES, "date", forecast.naive().alias(forecast.NAIVE))
 
 
 @entry("m02_seasonal_naive", query("v_cand", f"SELECT {_KEY}, baseline_seasonal_naive FROM v_cand"))
 def _(spark, folder):
-    rows = forecast.seasonal_naive(split_rows(spark, folder)).where(~F.col("learn"))
-    return rows.select(*SERIES, "date", forecast.SEASONAL_NAIVE)
+    return targets_and_fit(spark, folder).select(*SERIES, "date", forecast.seasonal_naive().alias(forecast.SEASONAL_NAIVE))
 
 
 @entry(
@@ -61,14 +65,14 @@ SELECT x.store_id, x.product_id, x.date, h.sales AS cycled_naive FROM x JOIN h O
     ),
 )
 def _(spark, folder):
-    rows = forecast.cycled_naive(split_rows(spark, folder)).where(~F.col("learn"))
-    return rows.select(*SERIES, "date", "cycled_naive")
+    rows = targets_and_fit(spark, folder).withColumn("step", F.row_number().over(by_date()))
+    return rows.select(*SERIES, "date", forecast.cycled_naive(F.col("step")).alias("cycled_naive"))
 
 
 @entry("m04_m05_trend_seasonal", query("v_cand", f"SELECT {_KEY}, {r('trend_seasonal')} AS trend_seasonal FROM v_cand"))
 def _(spark, folder):
-    rows = forecast.trend_seasonal(split_rows(spark, folder)).where(~F.col("learn"))
-    return rounded(rows.select(*SERIES, "date", forecast.TREND))
+    rows = targets_and_fit(spark, folder)
+    return rounded(rows.select(*SERIES, "date", forecast.trend_seasonal(F.col("is_promotion")).alias(forecast.TREND)))
 
 
 @entry(
@@ -147,7 +151,7 @@ FROM (SELECT p.* EXCLUDE (n), CASE WHEN model_type = champion_type THEN champion
     ),
 )
 def _(spark, folder):
-    dense = panel(spark, folder)
+    dense = materialise(panel(spark, folder), "panel")
     chosen = flows.choose_models(dense, serving(dense))
     return chosen.withColumn("candidates", F.size("all_results")).drop("all_results")
 
@@ -157,7 +161,7 @@ def _(spark, folder):
     query("f_rows", "SELECT store_id, product_id, date FROM f_rows WHERE NOT learn"),
 )
 def _(spark, folder):
-    return forecast.with_future(panel(spark, folder), 7).where(~F.col("learn")).select(*SERIES, "date")
+    return forecast.future_rows(forecast.fit_level(panel(spark, folder)), 7).select(*SERIES, "date")
 
 
 _COMING = """store_id, product_id, date, selected_model, CAST(model_version AS BIGINT) AS model_version, predicted_demand,
@@ -190,7 +194,7 @@ FROM f_cand c JOIN serving s ON c.store_id = s.store_id AND c.product_id = s.pro
 )
 def _(spark, folder):
     """Series without a model give no rows; a model that is not here gives zeros."""
-    dense = panel(spark, folder)
+    dense = materialise(panel(spark, folder), "panel")
     models = serving(dense).where(F.col("version") > 2).withColumns({"wape": F.lit(0.0), "reliability": F.lit("Low")})
     return flows.coming_demand(dense, models).select(*SERIES, "date", "selected_model", "predicted_demand")
 
@@ -207,7 +211,7 @@ def _(spark, folder):
     engineered, split = _learnt(spark, folder)
     rows = split.where(F.col("split") != "test").withColumn("learn", F.col("split") == "train")
     model, names = boosted.train_boosted(rows.where("learn"), features.numeric_features(engineered))
-    scored = forecast.add_candidates(rows).where(~F.col("learn"))
+    scored = forecast.add_candidates(rows)
     return selection.score_candidates(boosted.predict_boosted(model, names, scored))
 
 

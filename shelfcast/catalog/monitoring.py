@@ -49,7 +49,7 @@ part(
     "featured labels",
     f"""
 SELECT store_id, product_id, split, feature, position, value FROM (
-  SELECT store_id, product_id, split, unnest([{', '.join(f"CAST({_DERIVED.get(f, f)} AS DOUBLE)" for f in _FEATURES)}]) AS value,
+  SELECT store_id, product_id, split, unnest([{', '.join(f"round(CAST({_DERIVED.get(f, f)} AS DOUBLE), 6)" for f in _FEATURES)}]) AS value,
          unnest([{', '.join(f"'{f}'" for f in _FEATURES)}]) AS feature, unnest(range({len(_FEATURES)})) AS position
   FROM featured JOIN labels USING (date) WHERE split <> 'train') WHERE value IS NOT NULL
 """,
@@ -147,7 +147,8 @@ _FIGURES = ", ".join(
 
 
 def engineered(spark, folder) -> DataFrame:
-    return materialise(features.engineer(panel(spark, folder)), "features")
+    """Written features, rounded so that equal values are equal in every engine's arithmetic."""
+    return materialise(rounded(features.engineer(panel(spark, folder)), 6), "features")
 
 
 def sides(frame: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -290,7 +291,7 @@ LEFT JOIN scores s ON s.store_id = b.store_id AND s.product_id = b.product_id AN
 )
 def _(spark, folder):
     scores = materialise(
-        selection.score_candidates(flows.learn_and_score(features.promotion_features(panel(spark, folder)))), "scores"
+        selection.score_candidates(flows.learn_and_score(features.promotion_features(materialise(panel(spark, folder), "panel")))), "scores"
     )
     held = serving(scores).join(scores.select(*SERIES, "model_type", F.col("wape").alias("reference_wape")), [*SERIES, "model_type"], "left")
     rows = selection.best(scores).select(*SERIES, F.col("wape").alias("candidate_wape")).join(held, SERIES)

@@ -1,17 +1,19 @@
-"""Candidate forecasts for every series at once.
-
-The rows of a panel carry a flag that says which of them may be learnt from; every
-candidate is a set of window aggregates over the flagged rows of the series and
-adds one column with its forecast for all rows.  The windows share the partitioning
-of the series, so all candidates together move the panel at most once.
+"""Candidate forecasts for every series at once.
+
+``fit`` turns the learnt rows into one row per series: last value, recent values,
+trend and seasonal parts.  Every step is an aggregate with map-side combine over
+``(series)`` or ``(series, weekday, month, promotion)``, or a top-7 per series that
+is cut before the shuffle, so the learnt rows themselves are never moved.
+``predict`` joins that row to the days to forecast and evaluates all candidates as
+columns.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfcast.functions.keys import SERIES, by_date, whole_series
+from shelfcast.functions.keys import SERIES, whole_series
 from shelfcast.functions.numeric import non_negative, whole_units
 
 # Candidate order on ties, history needed by the seasonal parts.
@@ -26,101 +28,146 @@ YEARLY_AFTER_DAYS = 365
 MIN_TRAIN_ROWS = 5
 
 
-def _known(learn: str, column: str | Column) -> Column:
-    return F.when(F.col(learn), F.col(column) if isinstance(column, str) else column)
+def _day_number(date: str = "date") -> Column:
+    return F.unix_date(date).cast("double")
 
 
-def _newest_first(learn: str) -> WindowSpec:
-    return Window.partitionBy(*SERIES).orderBy(_known(learn, "date").desc_nulls_last())
+def _promotion(df: DataFrame) -> Column:
+    return F.coalesce(F.col("is_promotion").cast("int"), F.lit(0)) if "is_promotion" in df.columns else F.lit(0)
 
 
-def naive(rows: DataFrame, *, learn: str = "learn") -> DataFrame:
-    """M1: the last learnt value."""
-    last = F.max_by(_known(learn, "sales"), _known(learn, "date")).over(whole_series())
-    return rows.withColumn(NAIVE, non_negative(F.coalesce(last, F.lit(0.0))))
+# --- fitting: one row per series --------------------------------------------------------------
 
 
-def seasonal_naive(rows: DataFrame, *, learn: str = "learn") -> DataFrame:
-    """M2: the value of the same weekday among the last seven learnt rows, else the last value."""
-    recent = F.col(learn) & (F.col("_recency") <= SEASON)
-    same_day = F.max_by(F.when(recent, F.col("sales")), F.when(recent, F.col("date"))).over(whole_series("_dow"))
-    last = F.max_by(_known(learn, "sales"), _known(learn, "date")).over(whole_series())
-    return (
-        rows.withColumn("_dow", F.weekday("date"))
-        .withColumn("_recency", F.row_number().over(_newest_first(learn)))
-        .withColumn(SEASONAL_NAIVE, non_negative(F.coalesce(same_day, last, F.lit(0.0))))
-        .drop("_dow", "_recency")
+def fit_level(learnt: DataFrame) -> DataFrame:
+    """M1 and the straight line of M4, with what the gates look at."""
+    y, t = F.col("sales").cast("double"), _day_number()
+    promo = _promotion(learnt)
+    level = learnt.groupBy(*SERIES).agg(
+        F.max_by(y, F.col("date")).alias("last_value"),
+        F.max("date").alias("last_date"),
+        F.datediff(F.max("date"), F.min("date")).alias("span"),
+        (F.min(promo) < F.max(promo)).alias("varies"),
+        F.count(F.lit(1)).alias("n"),
+        F.coalesce(F.sum(y), F.lit(0.0)).alias("total"),
+        F.coalesce(F.regr_slope(y, t), F.lit(0.0)).alias("slope"),
+        F.avg(y).alias("_y"),
+        F.avg(t).alias("_t"),
     )
+    return level.withColumn("intercept", F.col("_y") - F.col("slope") * F.col("_t")).drop("_y", "_t")
 
 
-def cycled_naive(rows: DataFrame, *, learn: str = "learn") -> DataFrame:
-    """M2 without weekdays: the last seven values repeated over the rows to forecast."""
-    step = F.row_number().over(Window.partitionBy(*SERIES, learn).orderBy("date"))
-    recent = F.col(learn) & (F.col("_recency") <= SEASON)
-    slot_of_known = F.least(F.col("_n"), F.lit(SEASON)) - F.col("_recency")
-    slot = F.when(recent, slot_of_known).when(~F.col(learn), F.pmod(F.col("_step") - 1, F.least(F.col("_n"), F.lit(SEASON))))
-    value = F.max(F.when(recent, F.col("sales"))).over(whole_series("_slot"))
-    return (
-        rows.withColumn("_recency", F.row_number().over(_newest_first(learn)))
-        .withColumn("_step", step)
-        .withColumn("_n", F.count(_known(learn, "date")).over(whole_series()).cast("int"))
-        .withColumn("_slot", F.when(F.col("_n") > 0, slot))
-        .withColumn("cycled_naive", non_negative(F.coalesce(F.when(F.col("_slot").isNotNull(), value), F.lit(0.0))))
-        .drop("_recency", "_step", "_n", "_slot")
+def fit_recent(learnt: DataFrame) -> DataFrame:
+    """M2: the last seven values in order, and the newest of them by weekday."""
+    newest = Window.partitionBy(*SERIES).orderBy(F.desc("date"))
+    last = (
+        learnt.select(*SERIES, "date", F.col("sales").cast("double").alias("v"))
+        .withColumn("_r", F.row_number().over(newest))
+        .where(F.col("_r") <= SEASON)
+    )
+    by_day = last.groupBy(*SERIES, F.weekday("date").alias("dow")).agg(
+        F.max_by("v", "date").alias("v"), F.collect_list(F.struct("date", "v")).alias("values")
+    )
+    return by_day.groupBy(*SERIES).agg(
+        F.map_from_entries(F.collect_list(F.struct("dow", "v"))).alias("season"),
+        F.transform(F.array_sort(F.flatten(F.collect_list("values"))), lambda x: x["v"]).alias("recent"),
     )
 
 
-def trend_seasonal(rows: DataFrame, *, learn: str = "learn") -> DataFrame:
-    """M4: linear trend, then mean residual by weekday, by month and by promotion.
+def fit_parts(learnt: DataFrame, level: DataFrame) -> DataFrame:
+    """M4: ``level`` with the mean residual by weekday, then month, then promotion.
 
+    Residual sums of a cell (weekday, month, promotion) follow from its count, sales
+    and day numbers, so the parts are worked out on at most 168 cells per series.
     Weekly and yearly parts need more than two weeks and more than a year of
     history; the promotion part needs both kinds of days.
     """
-    series = whole_series()
-    y = _known(learn, "sales").cast("double")
-    rows = rows.withColumns(
-        {
-            "_first": F.min(_known(learn, "date")).over(series),
-            "_days": F.datediff(F.max(_known(learn, "date")).over(series), F.min(_known(learn, "date")).over(series)),
-            "_dow": F.weekday("date"),
-            "_month": F.month("date"),
-        }
-    ).withColumn("_t", F.datediff("date", F.col("_first")).cast("double"))
-    fitted = F.coalesce(
-        F.regr_intercept(y, F.col("_t")).over(series) + F.regr_slope(y, F.col("_t")).over(series) * F.col("_t"),
-        F.avg(y).over(series),
-        F.lit(0.0),
+    cells = (
+        learnt.groupBy(*SERIES, F.weekday("date").alias("dow"), F.month("date").alias("month"), _promotion(learnt).alias("promo"))
+        .agg(F.count("sales").alias("c"), F.sum(F.col("sales").cast("double")).alias("sy"), F.sum(_day_number()).alias("st"))
+        .join(level, SERIES)
+        .withColumn("rest", F.col("sy") - F.col("c") * F.col("intercept") - F.col("slope") * F.col("st"))
     )
-    rows = rows.withColumn("_fit", fitted)
+    for key, part, gate in (
+        ("dow", "weekly", F.col("span") > WEEKLY_AFTER_DAYS),
+        ("month", "yearly", F.col("span") > YEARLY_AFTER_DAYS),
+        ("promo", "promoted", F.col("varies")),
+    ):
+        over = whole_series(key)
+        mean = F.try_divide(F.sum("rest").over(over), F.sum("c").over(over))
+        cells = cells.withColumn(part, F.when(gate, F.coalesce(mean, F.lit(0.0))).otherwise(0.0))
+        cells = cells.withColumn("rest", F.col("rest") - F.col("c") * F.col(part))
+
+    def lookup(key: str, part: str) -> Column:
+        return F.map_from_entries(F.collect_set(F.struct(key, part))).alias(part)
+
+    kept = [c for c in level.columns if c not in SERIES]
+    return (
+        cells.groupBy(*SERIES)
+        .agg(F.first(F.struct(*kept)).alias("_l"), lookup("dow", "weekly"), lookup("month", "yearly"), lookup("promo", "promoted"))
+        .select(*SERIES, "_l.*", "weekly", "yearly", "promoted")
+    )
+
 
-    def add_part(frame: DataFrame, key: str, gate: Column) -> DataFrame:
-        rest = _known(learn, F.col("sales") - F.col("_fit"))
-        part = F.when(gate, F.coalesce(F.avg(rest).over(whole_series(key)), F.lit(0.0))).otherwise(0.0)
-        return frame.withColumn("_fit", F.col("_fit") + part)
+def fit(learnt: DataFrame) -> DataFrame:
+    """Everything the candidates know about a series, in one row."""
+    return fit_parts(learnt, fit_level(learnt)).join(fit_recent(learnt), SERIES)
 
-    rows = add_part(rows, "_dow", F.col("_days") > WEEKLY_AFTER_DAYS)
-    rows = add_part(rows, "_month", F.col("_days") > YEARLY_AFTER_DAYS)
-    if "is_promotion" in rows.columns:
-        rows = rows.withColumn(
-            "_varies", F.min(_known(learn, "is_promotion")).over(series) < F.max(_known(learn, "is_promotion")).over(series)
-        )
-        rows = add_part(rows, "is_promotion", F.col("_varies")).drop("_varies")
-    return rows.withColumn(TREND, non_negative(F.col("_fit"))).drop("_first", "_days", "_dow", "_month", "_t", "_fit")
 
+# --- predicting: columns on the rows to forecast ------------------------------------------------
 
-def gate(rows: DataFrame, *, learn: str = "learn") -> DataFrame:
-    """M6: ``naive_only`` for series with too few or only zero learnt rows."""
-    series = whole_series()
-    few = F.count(_known(learn, "date")).over(series) < MIN_TRAIN_ROWS
-    nothing = F.coalesce(F.sum(_known(learn, "sales")).over(series), F.lit(0.0)) == 0
-    return rows.withColumn("naive_only", few | nothing)
+
+def _part(lookup: str, key: Column) -> Column:
+    return F.coalesce(F.try_element_at(F.col(lookup), key), F.lit(0.0))
+
+
+def naive() -> Column:
+    """M1: the last learnt value."""
+    return non_negative(F.coalesce("last_value", F.lit(0.0)))
+
+
+def seasonal_naive() -> Column:
+    """M2: the value of the same weekday among the last seven learnt rows, else the last value."""
+    same_day = F.try_element_at(F.col("season"), F.weekday("date"))
+    return non_negative(F.coalesce(same_day, F.col("last_value"), F.lit(0.0)))
+
+
+def cycled_naive(step: Column) -> Column:
+    """M2 without weekdays: the last seven values over and over; ``step`` counts from 1."""
+    place = F.pmod(step.cast("int") - 1, F.size("recent")) + 1
+    return non_negative(F.coalesce(F.when(F.size("recent") > 0, F.try_element_at(F.col("recent"), place)), F.lit(0.0)))
+
+
+def trend_seasonal(promotion: Column) -> Column:
+    """M4, clipped at 0 (M5)."""
+    line = F.col("intercept") + F.col("slope") * _day_number()
+    parts = _part("weekly", F.weekday("date")) + _part("yearly", F.month("date")) + _part("promoted", promotion)
+    return non_negative(F.coalesce(line + parts, F.lit(0.0)))
+
+
+def naive_only() -> Column:
+    """M6: too few learnt rows, or nothing sold in them."""
+    return F.coalesce((F.col("n") < MIN_TRAIN_ROWS) | (F.col("total") == 0), F.lit(True))
+
+
+def predict(targets: DataFrame, fitted: DataFrame) -> DataFrame:
+    """The rows to forecast with a column per candidate and the gate.
+
+    Rows of series without history are kept; they get the naive zero.
+    """
+    joined = targets.join(fitted, SERIES, "left")
+    columns = {
+        NAIVE: naive(),
+        SEASONAL_NAIVE: seasonal_naive(),
+        TREND: trend_seasonal(_promotion(targets)),
+        "naive_only": naive_only(),
+    }
+    return joined.select(*[targets[c] for c in targets.columns], *[c.alias(name) for name, c in columns.items()])
 
 
 def add_candidates(rows: DataFrame, *, learn: str = "learn") -> DataFrame:
-    """All window candidates and the gate; one column each."""
-    for candidate in (naive, seasonal_naive, trend_seasonal, gate):
-        rows = candidate(rows, learn=learn)
-    return rows
+    """Fit on the rows flagged ``learn`` and predict the others."""
+    return predict(rows.where(~F.col(learn)), fit(rows.where(learn)))
 
 
 def candidate_columns(df: DataFrame) -> list[str]:
@@ -138,40 +185,28 @@ def to_long(rows: DataFrame) -> DataFrame:
     )
 
 
-def with_future(panel: DataFrame, horizon: int) -> DataFrame:
-    """The panel as learnt rows plus ``horizon`` empty days after each series' last date.
+# --- coming days ------------------------------------------------------------------------------
 
-    The last row of a series grows into itself and its future days, without a join.
-    """
-    final = F.lead("date").over(by_date()).isNull()
-    steps = F.when(F.col("_final"), F.sequence(F.lit(0), F.lit(horizon))).otherwise(F.array(F.lit(0)))
-    grown = panel.withColumn("_final", final).withColumn("step", F.explode(steps)).drop("_final")
-    future = F.col("step") > 0
-    out = grown.withColumns(
-        {
-            "date": F.date_add("date", F.col("step")),
-            "sales": F.when(~future, F.col("sales")),
-            "learn": ~future,
-        }
+
+def future_rows(series: DataFrame, horizon: int) -> DataFrame:
+    """``horizon`` days after each series' ``last_date``."""
+    return series.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(horizon)))).withColumn(
+        "date", F.date_add("last_date", F.col("step"))
     )
-    # Promotions of coming days are not known: none are assumed.
-    for c in ("promotion", "is_promotion"):
-        if c in panel.columns:
-            out = out.withColumn(c, F.when(future, F.lit(0)).otherwise(F.col(c)))
-    return out
 
 
 def forecast(panel: DataFrame, champions: DataFrame, horizon: int = 7) -> DataFrame:
     """The champion's forecast for the coming days, in whole units.
 
-    Series without a champion give no rows.  A champion that has no forecast
-    column here (a model kept elsewhere) falls back to zero.
+    The fitted row of a series grows into its coming days, so nothing is joined to
+    the panel.  Promotions of coming days are not known: none are assumed.  Series
+    without a champion give no rows; a champion that is not among the candidates
+    here (a model kept elsewhere) falls back to zero.
     """
-    future = add_candidates(with_future(panel, horizon)).where(~F.col("learn"))
-    chosen = F.coalesce(*[F.when(F.col("model_type") == m, F.col(m)) for m in candidate_columns(future)], F.lit(0.0))
-    return future.join(
-        champions.select(*SERIES, "model_type", "version", "wape", "reliability"), SERIES, "inner"
-    ).select(
+    served = fit(panel).join(champions.select(*SERIES, "model_type", "version", "wape", "reliability"), SERIES, "inner")
+    values = {NAIVE: naive(), SEASONAL_NAIVE: seasonal_naive(), TREND: trend_seasonal(F.lit(0))}
+    chosen = F.coalesce(*[F.when(F.col("model_type") == m, v) for m, v in values.items()], F.lit(0.0))
+    return future_rows(served, horizon).select(
         *SERIES,
         "date",
         "step",

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfcast.functions.keys import SERIES
+from shelfcast.functions.keys import SERIES, by_series
 from shelfcast.functions.numeric import half_even, ratio
 
 # Thresholds of drift, error and decisions.
@@ -25,44 +25,76 @@ MIN_QUALITY = 70
 # --- D1-D3: drift ---------------------------------------------------------------------------
 
 
-def to_long(rows: DataFrame, features: Sequence[str], by: Sequence[str] = SERIES, *, side: str = "side") -> DataFrame:
+def _entries(features: Sequence[str]) -> Column:
+    return F.array(
+        *[
+            F.struct(F.lit(f).alias("feature"), F.lit(i).alias("position"), F.col(f).cast("double").alias("value"))
+            for i, f in enumerate(features)
+        ]
+    )
+
+
+def to_long(rows: DataFrame, features: Sequence[str], by: Sequence[str] = SERIES) -> DataFrame:
     """``(by, side, feature, position, value)``, nulls left out."""
-    entries = [
-        F.struct(F.lit(f).alias("feature"), F.lit(i).alias("position"), F.col(f).cast("double").alias("value"))
-        for i, f in enumerate(features)
-    ]
-    return rows.select(*by, side, F.inline(F.array(*entries))).where(F.col("value").isNotNull())
+    return rows.select(*by, "side", F.inline(_entries(features))).where(F.col("value").isNotNull())
 
 
-def stability_index(long: DataFrame, by: Sequence[str] = SERIES) -> DataFrame:
-    """Population stability index per group and feature.
+def _deciles() -> Column:
+    return F.array(*[F.lit(i / BUCKETS) for i in range(BUCKETS + 1)])
 
-    ``side`` is ``reference`` or ``production``.  The edges are the deciles of the
-    reference; values outside them are left out, the last bin includes its upper
-    edge, and every bin counts at least 1.  Fewer than two distinct edges, or no
-    production values, give 0.
 
-    Rows of a group and feature are first counted per distinct value, so what is
-    gathered per group is bounded by its distinct values.
+def _bin() -> Column:
+    """The bin of ``value`` among ``edges``; null outside them or with fewer than two."""
+    value = F.col("value")
+    last = F.size("edges") - 1
+    inside = (last > 0) & (value >= F.element_at("edges", 1)) & (value <= F.element_at("edges", -1))
+    return F.when(inside, F.least(F.size(F.filter("edges", lambda e: e <= value)), last))
+
+
+def _bins_of_series(long: DataFrame, group: Sequence[str]) -> DataFrame:
+    """Counts per bin where a group is a feature of one series.
+
+    Such a group has at most one value per day, so its edges come from a window and
+    nothing is moved beyond the rows of the series.
     """
-    group = [*by, "feature", "position"]
+    reference, production = F.col("side") == "reference", F.col("side") == "production"
+    edges = F.percentile(F.when(reference, F.col("value")), _deciles()).over(Window.partitionBy(*group))
+    return (
+        long.withColumn("edges", F.array_sort(F.array_distinct(edges)))
+        .where(F.col("edges").isNotNull())
+        .withColumn("bin", _bin())
+        .groupBy(*group, "bin")
+        .agg(F.count_if(reference).alias("r"), F.count_if(production).alias("p"), F.first(F.size("edges") - 1).alias("bins"))
+    )
+
+
+def _bins_of_groups(long: DataFrame, group: Sequence[str]) -> DataFrame:
+    """Counts per bin for groups of any size: rows are first counted per distinct value."""
     counts = long.groupBy(*group, "value").agg(
         F.count_if(F.col("side") == "reference").alias("r"), F.count_if(F.col("side") == "production").alias("p")
     )
-    deciles = F.array(*[F.lit(i / BUCKETS) for i in range(BUCKETS + 1)])
-    edges = counts.where("r > 0").groupBy(*group).agg(
-        F.array_sort(F.array_distinct(F.percentile("value", deciles, F.col("r")))).alias("edges")
+    reference = counts.where("r > 0").select(*group, "value", "r")
+    edges = reference.groupBy(*group).agg(
+        F.array_sort(F.array_distinct(F.percentile("value", _deciles(), F.col("r")))).alias("edges")
     )
-    value = F.col("value")
-    last = F.size("edges") - 1
-    upto = F.size(F.filter("edges", lambda e: e <= value))
-    inside = (last > 0) & (value >= F.element_at("edges", 1)) & (value <= F.element_at("edges", -1))
-    bins = (
-        counts.join(edges, group)
-        .withColumn("bin", F.when(inside, F.least(upto, last)))
+    return (
+        counts.join(edges, list(group))
+        .withColumn("bin", _bin())
         .groupBy(*group, "bin")
-        .agg(F.sum("r").alias("r"), F.sum("p").alias("p"), F.first(last).alias("bins"))
+        .agg(F.sum("r").alias("r"), F.sum("p").alias("p"), F.first(F.size("edges") - 1).alias("bins"))
     )
+
+
+def stability_index(long: DataFrame, by: Sequence[str] = SERIES) -> DataFrame:
+    """Population stability index per group and feature.
+
+    ``side`` is ``reference`` or ``production``.  The edges are the deciles of the
+    reference; values outside them are left out, the last bin includes its upper
+    edge, and every bin counts at least 1.  Fewer than two distinct edges, or no
+    production values, give 0.
+    """
+    group = [*by, "feature", "position"]
+    bins = (_bins_of_series if set(SERIES) <= set(by) else _bins_of_groups)(long, group)
     used = F.col("bin").isNotNull()
     floored = {s: F.when(used, F.greatest(F.col(s), F.lit(1))) for s in ("r", "p")}
     totals = bins.groupBy(*group).agg(
@@ -85,22 +117,27 @@ def stability_index(long: DataFrame, by: Sequence[str] = SERIES) -> DataFrame:
     index = F.when((F.col("bins") < 1) | (F.col("all_r") == 0) | (F.col("all_p") == 0), F.lit(0.0)).otherwise(
         filled + empty * term(F.lit(1.0), F.lit(1.0))
     )
-    return totals.select(
+    return totals.select(*group, index.alias("psi")).select(
         *group,
-        index.alias("psi"),
-        F.round(index, 3).alias("drift_score"),
-        F.when(index < PSI_LOW, "LOW").when(index < PSI_HIGH, "MODERATE").otherwise("HIGH").alias("status"),
+        "psi",
+        F.round("psi", 3).alias("drift_score"),
+        F.when(F.col("psi") < PSI_LOW, "LOW").when(F.col("psi") < PSI_HIGH, "MODERATE").otherwise("HIGH").alias("status"),
     )
 
 
 def feature_drift(
     reference: DataFrame, production: DataFrame, features: Sequence[str], by: Sequence[str] = SERIES
 ) -> DataFrame:
-    """D2 for all groups and features in one job; absent features are skipped."""
+    """D2 for all groups and features in one job; absent features are skipped.
+
+    Per series the wide rows move to their series before they are made long.
+    """
     kept = [f for f in features if f in reference.columns and f in production.columns]
     sides = reference.select(*by, *kept, F.lit("reference").alias("side")).unionByName(
         production.select(*by, *kept, F.lit("production").alias("side"))
     )
+    if set(SERIES) <= set(by):
+        sides = by_series(sides)
     return stability_index(to_long(sides, kept, by), by)
 
 

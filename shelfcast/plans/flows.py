@@ -15,11 +15,11 @@ from shelfcast.plans.prepare import sales_panel
 from shelfcast.session import materialise
 
 
-def learn_and_score(engineered: DataFrame, *, dates: DataFrame | None = None) -> DataFrame:
+def learn_and_score(panel: DataFrame, *, dates: DataFrame | None = None) -> DataFrame:
     """The panel's validation rows with every candidate's forecast, learnt from the training rows."""
-    split = features.chronological_split(engineered, dates=dates)
+    split = features.chronological_split(panel, dates=dates)
     flagged = split.where(F.col("split") != "test").withColumn("learn", F.col("split") == "train")
-    return forecast.add_candidates(flagged).where(~F.col("learn"))
+    return forecast.add_candidates(flagged)
 
 
 def choose_models(panel: DataFrame, current: DataFrame | None = None) -> DataFrame:
@@ -70,10 +70,11 @@ def matches(panel: DataFrame, champions: DataFrame, listings: DataFrame, *, as_o
     return exchange.match(listings, coming_demand(panel, champions), as_of=as_of)
 
 
-def served_forecasts(engineered: DataFrame, champions: DataFrame) -> DataFrame:
+def served_forecasts(panel: DataFrame, champions: DataFrame) -> DataFrame:
     """``(series, date, actual, forecast)`` of each series' champion on the test days."""
-    split = features.chronological_split(engineered).withColumn("learn", F.col("split") == "train")
-    scored = forecast.add_candidates(split).where(F.col("split") == "test")
+    split = features.chronological_split(panel)
+    fitted = forecast.fit(split.where(F.col("split") == "train"))
+    scored = forecast.predict(split.where(F.col("split") == "test"), fitted)
     served = scored.join(champions.select(*SERIES, "model_type"), SERIES)
     chosen = F.coalesce(
         *[F.when(F.col("model_type") == m, F.col(m)) for m in forecast.candidate_columns(scored)], F.lit(0.0)
