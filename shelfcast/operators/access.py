@@ -12,7 +12,7 @@ ANY_STORE = "*"
 
 def granted_stores(users: DataFrame) -> DataFrame:
     """``(user, stores)``: the user's store list; ``*`` stands for all."""
-    listed = F.transform(F.split("authorized_stores", ","), F.trim)
+    listed = F.transform(F.split("authorized_stores", ","), lambda s: F.trim(s))
     return users.select(
         "user", F.when(F.col("role") == ALL_STORES_ROLE, F.array(F.lit(ANY_STORE))).otherwise(listed).alias("stores")
     )

@@ -90,7 +90,7 @@ def measures(df: DataFrame, rules: AnomalyRules = AnomalyRules()) -> DataFrame:
     )
 
 
-def _flag(kind: str, severity: str, score: Column | float, reason: Column | str) -> Column:
+def flag(kind: str, severity: str, score: Column | float, reason: Column | str) -> Column:
     return F.struct(
         (F.lit(score) if isinstance(score, float) else score).alias("score"),
         F.lit(kind).alias("type"),
@@ -114,32 +114,32 @@ def rule_flags(columns: Sequence[str], rules: AnomalyRules) -> list[tuple[Column
         F.lit("Unexplained demand spike ("), sales.cast("double").cast("string"), F.lit(") exceeds context boundaries.")
     )
     ranked: list[tuple[Column, Column]] = [
-        (sales.isNull(), _flag("MISSING_DATA", "CRITICAL", 1.0, "Missing sales record.")),
+        (sales.isNull(), flag("MISSING_DATA", "CRITICAL", 1.0, "Missing sales record.")),
         (
             truthy((sales == 0) & (F.col("_mean") > rules.drop_mean)),
-            _flag("DEMAND_DROP", "MEDIUM", 0.8, "Sudden 0-demand drop against high rolling average."),
+            flag("DEMAND_DROP", "MEDIUM", 0.8, "Sudden 0-demand drop against high rolling average."),
         ),
     ]
     if "current_stock" in columns and rules.inventory_rules:
         ranked.append(
             (
                 truthy(F.col("current_stock") < 0),
-                _flag("CRITICAL_DATA_ERROR", "CRITICAL", 1.0, "Impossible negative inventory value."),
+                flag("CRITICAL_DATA_ERROR", "CRITICAL", 1.0, "Impossible negative inventory value."),
             )
         )
     if "price" in columns and rules.price_rules:
         ranked.append(
             (
                 truthy(F.col("price") <= 0),
-                _flag("CRITICAL_DATA_ERROR", "CRITICAL", 1.0, "Impossible negative or zero price value."),
+                flag("CRITICAL_DATA_ERROR", "CRITICAL", 1.0, "Impossible negative or zero price value."),
             )
         )
-    ranked.append((spike & ~on_promotion & truthy(score > 0.9), _flag("DEMAND_SPIKE", "HIGH", half_even(score), spike_text)))
+    ranked.append((spike & ~on_promotion & truthy(score > 0.9), flag("DEMAND_SPIKE", "HIGH", half_even(score), spike_text)))
     if "current_stock" in columns and rules.inventory_rules:
         ranked.append(
             (
                 truthy(F.col("current_stock") > F.col("_stock_before") + rules.stock_jump),
-                _flag("INVENTORY_JUMP", "HIGH", 0.8, "Massive unexplained inventory increase."),
+                flag("INVENTORY_JUMP", "HIGH", 0.8, "Massive unexplained inventory increase."),
             )
         )
     if "price" in columns and rules.price_rules:
@@ -155,12 +155,12 @@ def rule_flags(columns: Sequence[str], rules: AnomalyRules) -> list[tuple[Column
         ranked.append(
             (
                 truthy((before > 0) & ((change > rules.price_ratio_high) | (change < rules.price_ratio_low))),
-                _flag("PRICE_ANOMALY", "HIGH", 0.9, price_text),
+                flag("PRICE_ANOMALY", "HIGH", 0.9, price_text),
             )
         )
-    ranked.append((spike & ~on_promotion, _flag("DEMAND_SPIKE", "MEDIUM", half_even(score), spike_text)))
+    ranked.append((spike & ~on_promotion, flag("DEMAND_SPIKE", "MEDIUM", half_even(score), spike_text)))
     ranked.append(
-        (spike & on_promotion, _flag("BUSINESS_EVENT", "LOW", 0.4, "High demand aligns with active promotion context."))
+        (spike & on_promotion, flag("BUSINESS_EVENT", "LOW", 0.4, "High demand aligns with active promotion context."))
     )
     return ranked
 
@@ -170,9 +170,9 @@ def detect(df: DataFrame, rules: AnomalyRules = AnomalyRules()) -> DataFrame:
     df = with_default_store(df)
     columns = df.columns
     verdict = None
-    for condition, flag in rule_flags(columns, rules):
-        verdict = F.when(condition, flag) if verdict is None else verdict.when(condition, flag)
-    verdict = verdict.otherwise(_flag("NORMAL", "NONE", 0.0, ""))
+    for condition, finding in rule_flags(columns, rules):
+        verdict = F.when(condition, finding) if verdict is None else verdict.when(condition, finding)
+    verdict = verdict.otherwise(flag("NORMAL", "NONE", 0.0, ""))
     return (
         measures(df, rules)
         .withColumn("_flag", verdict)

@@ -18,12 +18,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def _unit_price() -> Column:
+def unit_price() -> Column:
     """Price of one unit in whole cents."""
     return F.floor(F.col("l_extendedprice") * 100 / F.col("l_quantity") + F.lit(0.5)) / 100
 
 
-def _store_regions(spark: SparkSession, folder: str) -> DataFrame:
+def store_regions(spark: SparkSession, folder: str) -> DataFrame:
     return (
         table(spark, folder, "supplier")
         .join(table(spark, folder, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
@@ -37,13 +37,13 @@ def sales_headers(spark: SparkSession, folder: str) -> DataFrame:
     return (
         table(spark, folder, "lineitem")
         .join(table(spark, folder, "part").select("p_partkey", "p_brand", "p_type"), F.col("l_partkey") == F.col("p_partkey"))
-        .join(_store_regions(spark, folder), F.col("l_suppkey") == F.col("s_suppkey"))
+        .join(store_regions(spark, folder), F.col("l_suppkey") == F.col("s_suppkey"))
         .select(
             F.col("l_shipdate").cast("date").alias("Date"),
             F.col("r_name").alias("Location"),
             F.col("p_type").alias("Product_Category"),
             F.col("p_brand").alias("Product_Name"),
-            _unit_price().alias("Unit_Price"),
+            unit_price().alias("Unit_Price"),
             F.col("l_quantity").alias("Quantity"),
             F.col("l_discount").alias("Discount_Applied"),
         )
@@ -61,7 +61,7 @@ def sales_fine(spark: SparkSession, folder: str) -> DataFrame:
         F.col("l_shipdate").cast("date").alias("date"),
         F.col("l_suppkey").cast("string").alias("store_id"),
         F.col("l_partkey").cast("string").alias("product_id"),
-        _unit_price().alias("price"),
+        unit_price().alias("price"),
         F.col("l_quantity").alias("sales"),
         F.col("l_discount").alias("Discount_Applied"),
     )
@@ -109,7 +109,7 @@ def listings(spark: SparkSession, folder: str) -> DataFrame:
             F.col("r_name").alias("seller_store_id"),
             F.concat(F.lit("Brand#"), (1 + key % 25).cast("string")).alias("product_id"),
             (1 + key % 60).cast("bigint").alias("available_qty"),
-            (F.col("o_totalprice") / 1000).alias("price_per_unit"),
+            F.col("o_totalprice").alias("price_per_unit"),
             F.when(key % 3 != 0, (key % 9).cast("int")).alias("expiry_days"),
             F.col("o_orderdate").cast("date").alias("created_on"),
             F.when(F.col("o_orderstatus") == "O", "LISTED")
@@ -124,7 +124,7 @@ def requests(spark: SparkSession, folder: str) -> DataFrame:
     """Line items seen as requests for the listing of their order."""
     return (
         table(spark, folder, "lineitem")
-        .join(_store_regions(spark, folder), F.col("l_suppkey") == F.col("s_suppkey"))
+        .join(store_regions(spark, folder), F.col("l_suppkey") == F.col("s_suppkey"))
         .select(
             F.concat_ws("_", F.lit("tx"), F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_partkey"), F.col("l_suppkey")).alias("id"),
             F.concat(F.lit("lst_"), F.col("l_orderkey").cast("string")).alias("listing_id"),
@@ -139,19 +139,22 @@ def requests(spark: SparkSession, folder: str) -> DataFrame:
 ACTION_OF_EVENT = {"view": "REQUEST", "click": "ACCEPT", "signup": "CONFIRM", "purchase": "COMPLETE", "error": "REJECT"}
 
 
-def actions(spark: SparkSession, folder: str) -> DataFrame:
+def as_actions(events: DataFrame) -> DataFrame:
     """Events seen as actions on the transfer of one user and day."""
     action = F.create_map(*[F.lit(x) for pair in ACTION_OF_EVENT.items() for x in pair])
-    return table(spark, folder, "events").select(
+    return events.select(
         F.concat_ws("_", F.col("user_id"), F.date_format("ts", "yyyyMMdd")).alias("transfer_id"),
         "event_id",
         "ts",
         F.element_at(action, F.col("event_type")).alias("action"),
         "user_id",
-        "value",
     )
 
 
+def actions(spark: SparkSession, folder: str) -> DataFrame:
+    return as_actions(table(spark, folder, "events"))
+
+
 def registry_events(spark: SparkSession, folder: str) -> DataFrame:
     """Events seen as model registrations and rollbacks; one series per user."""
     return table(spark, folder, "events").select(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from shelfcast.functions.keys import SERIES
 from shelfcast.functions.numeric import half_even, ratio, truthy
-from shelfcast.operators.anomaly import AnomalyRules, context_factor
+from shelfcast.operators.anomaly import AnomalyRules, context_factor, flag
 
 DELAY = "2 days"
 
@@ -39,23 +39,24 @@ def rule_flags(events: DataFrame, bounds: DataFrame, rules: AnomalyRules = Anoma
     score = F.least(F.lit(1.0), ratio(F.col("sales"), F.col("_bound") + F.lit(1e-5)))
     spike = truthy(F.col("sales") > F.col("_bound"))
     on_promotion = truthy(F.col("is_promotion") != 0) if "is_promotion" in events.columns else F.lit(False)
-    found = F.when(F.col("sales").isNull(), F.struct(F.lit("MISSING_DATA").alias("t"), F.lit("CRITICAL").alias("s"), F.lit(1.0).alias("v")))
+    error = flag("CRITICAL_DATA_ERROR", "CRITICAL", 1.0, "Impossible value.")
+    found = F.when(F.col("sales").isNull(), flag("MISSING_DATA", "CRITICAL", 1.0, "Missing sales record."))
     if "current_stock" in events.columns:
-        found = found.when(truthy(F.col("current_stock") < 0), F.struct(F.lit("CRITICAL_DATA_ERROR"), F.lit("CRITICAL"), F.lit(1.0)))
+        found = found.when(truthy(F.col("current_stock") < 0), error)
     if "price" in events.columns:
-        found = found.when(truthy(F.col("price") <= 0), F.struct(F.lit("CRITICAL_DATA_ERROR"), F.lit("CRITICAL"), F.lit(1.0)))
+        found = found.when(truthy(F.col("price") <= 0), error)
     found = (
-        found.when(spike & on_promotion, F.struct(F.lit("BUSINESS_EVENT"), F.lit("LOW"), F.lit(0.4)))
-        .when(spike & (score > 0.9), F.struct(F.lit("DEMAND_SPIKE"), F.lit("HIGH"), half_even(score)))
-        .when(spike, F.struct(F.lit("DEMAND_SPIKE"), F.lit("MEDIUM"), half_even(score)))
+        found.when(spike & on_promotion, flag("BUSINESS_EVENT", "LOW", 0.4, "High demand on a promotion."))
+        .when(spike & (score > 0.9), flag("DEMAND_SPIKE", "HIGH", half_even(score), "Unexplained demand spike."))
+        .when(spike, flag("DEMAND_SPIKE", "MEDIUM", half_even(score), "Unexplained demand spike."))
     )
     return (
         bounded.withColumn("_f", found)
         .where(F.col("_f").isNotNull())
         .select(
             *events.columns,
-            F.col("_f.t").alias("anomaly_type"),
-            F.col("_f.s").alias("anomaly_severity"),
-            F.col("_f.v").alias("anomaly_score"),
+            F.col("_f.type").alias("anomaly_type"),
+            F.col("_f.severity").alias("anomaly_severity"),
+            F.col("_f.score").alias("anomaly_score"),
         )
     )
