@@ -48,6 +48,8 @@ def _bracketed(present, counts, hot, keys, probs, name) -> DataFrame:
     margin = 2.0 / _ACCURACY
     edges = [max(p - margin, 0.0) for p in probs] + [min(p + margin, 1.0) for p in probs]
     k = len(probs)
+    # With few rows the margin is less than a rank or two: the bracket is the whole range.
+    few = F.col("_total") <= 2 * _ACCURACY
     sketch = (
         present.join(hot.select(*keys), keys, "left_semi")
         .groupBy(*keys)
@@ -65,8 +67,8 @@ def _bracketed(present, counts, hot, keys, probs, name) -> DataFrame:
                     F.struct(
                         F.lit(i).alias("_i"),
                         (F.lit(float(p)) * (F.col("_total") - 1)).alias("_rank"),
-                        (F.col("_lo") if p <= margin else F.col("_edges")[i]).alias("_from"),
-                        (F.col("_hi") if p >= 1 - margin else F.col("_edges")[k + i]).alias("_to"),
+                        (F.col("_lo") if p <= margin else F.when(few, F.col("_lo")).otherwise(F.col("_edges")[i])).alias("_from"),
+                        (F.col("_hi") if p >= 1 - margin else F.when(few, F.col("_hi")).otherwise(F.col("_edges")[k + i])).alias("_to"),
                     )
                     for i, p in enumerate(probs)
                 ]
