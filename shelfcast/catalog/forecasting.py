@@ -169,10 +169,8 @@ _COMING = """store_id, product_id, date, selected_model, CAST(model_version AS B
 
 
 def coming(spark, folder, horizon: int = 7) -> tuple[DataFrame, DataFrame]:
-    """The panel's champions and their forecast; the panel is written once for both."""
-    dense = materialise(panel(spark, folder), "panel")
-    champions = flows.choose_models(dense)
-    return champions, flows.coming_demand(dense, champions, horizon)
+    """The panel's champions and their forecast."""
+    return flows.demand_plan(materialise(panel(spark, folder), "panel"), horizon)
 
 
 @entry("m17_forecast", query("coming", f"SELECT {_COMING} FROM coming"))

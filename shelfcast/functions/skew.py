@@ -15,7 +15,7 @@ def hot_keys(rows: DataFrame, keys: Sequence[str], *, shares: int = 1000) -> Dat
     bound that makes broadcasting the result safe.
     """
     tally = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    everything = rows.agg(F.count(F.lit(1)).alias("_all")).scalar()
+    everything = tally.agg(F.sum("_rows")).scalar()
     return tally.where(F.col("_rows") * F.lit(shares) > everything).select(*keys)
 
 
@@ -28,15 +28,18 @@ def skew_join(
     how: str = "inner",
     shares: int = 1000,
     fan: int = 64,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """Equi-join in which hot keys of ``rows`` are spread over ``fan`` partitions.
 
     ``spread`` names columns that tell the rows of one key apart (an id); the salt
     is a hash of them, so a retried task salts its rows the same way.  Only the
-    lookup rows of hot keys are repeated, ``fan`` times each.
+    lookup rows of hot keys are repeated, ``fan`` times each.  ``hot`` takes the
+    result of ``hot_keys`` where several joins share it.
     """
     keys = list(keys)
-    hot = F.broadcast(hot_keys(rows, keys, shares=shares).withColumn("_hot", F.lit(True)))
+    hot = hot_keys(rows, keys, shares=shares) if hot is None else hot
+    hot = F.broadcast(hot.withColumn("_hot", F.lit(True)))
     salted = (
         rows.join(hot, keys, "left")
         .withColumn(

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from shelfcast.functions.keys import SERIES
 from shelfcast.functions.numeric import half_even
-from shelfcast.functions.skew import skew_join
-from shelfcast.operators.inventory import InventoryPolicy, decide
+from shelfcast.functions.skew import hot_keys, skew_join
+from shelfcast.operators.inventory import InventoryPolicy, daily_units, decide
 
 # Assumed stock and lead time of a buyer, score parts, state steps.
 BUYER_STOCK = 5
@@ -75,14 +75,11 @@ def requests_for(listings: DataFrame, requests: DataFrame, store_id: str) -> Dat
 
 def buyer_needs(daily_forecasts: DataFrame, policy: InventoryPolicy = InventoryPolicy()) -> DataFrame:
     """X5, first half: every store and product that is short, decided once per pair."""
-    demand = daily_forecasts.groupBy(*SERIES).agg(
-        F.sum("predicted_demand").cast("bigint").alias("forecast_demand"), F.count(F.lit(1)).alias("forecast_horizon")
-    )
-    stock = demand.withColumns(
+    stock = daily_units(daily_forecasts).withColumns(
         {"current_stock": F.lit(BUYER_STOCK).cast("bigint"), "lead_time_days": F.lit(BUYER_LEAD_TIME).cast("bigint")}
     )
     return (
-        decide(stock, daily_forecasts, policy)
+        decide(stock, policy=policy)
         .withColumn("predicted_shortage", F.col("target_stock") - BUYER_STOCK)
         .where(F.col("stock_status").isin(*NEEDY) & (F.col("predicted_shortage") > 0))
         .select(F.col("store_id").alias("buyer_store_id"), "product_id", "predicted_shortage", "stockout_risk")
@@ -131,11 +128,13 @@ def apply_requests(listings: DataFrame, requests: DataFrame) -> DataFrame:
     a listing with very many requests is not gathered.
     """
     offers = listings.select(F.col("id").alias("listing_id"), F.col("status").alias("_status"), F.col("available_qty").alias("_qty"))
-    seen = skew_join(requests, offers, ["listing_id"], spread=["id"], how="left")
+    hot = hot_keys(requests, ["listing_id"])
+    seen = skew_join(requests, offers, ["listing_id"], spread=["id"], hot=hot)
     valid = F.coalesce((F.col("_status") == LISTED) & (F.col("requested_qty") <= F.col("_qty")), F.lit(False))
     order = F.struct("requested_on", "id")
     first = seen.where(valid).groupBy("listing_id").agg(F.min(order).alias("_first"))
-    judged = skew_join(seen, first, ["listing_id"], spread=["id"], how="left")
+    lookup = offers.join(first, "listing_id", "left")
+    judged = skew_join(requests, lookup, ["listing_id"], spread=["id"], how="left", hot=hot)
     too_late = order > F.col("_first")
     outcome = (
         F.when(F.coalesce(F.col("_status") != LISTED, F.lit(True)) | F.coalesce(too_late, F.lit(False)), "Listing unavailable")
@@ -163,10 +162,11 @@ def fold_transfers(actions: DataFrame, key: str = "transfer_id") -> DataFrame:
     """
     at = F.struct("ts", "event_id")
     rows = actions.select(key, "ts", "event_id", "action")
+    hot = hot_keys(rows, [key])
     moments = rows.where(F.col("action") == STEPS[0][0]).groupBy(key).agg(F.min(at).alias("_t0"))
     for i, (action, _) in enumerate(STEPS[1:], start=1):
         wanted = rows.where(F.col("action") == action)
-        after = skew_join(wanted, moments.select(key, f"_t{i - 1}"), [key], spread=["event_id"]).where(at > F.col(f"_t{i - 1}"))
+        after = skew_join(wanted, moments.select(key, f"_t{i - 1}"), [key], spread=["event_id"], hot=hot).where(at > F.col(f"_t{i - 1}"))
         step = after.groupBy(key).agg(F.min(at).alias(f"_t{i}"))
         moments = moments.join(step, key, "left")
     steps = [a for a, _ in STEPS]

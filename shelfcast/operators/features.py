@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from math import pi
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
@@ -153,29 +153,35 @@ def feature_report(before: DataFrame, after: DataFrame) -> DataFrame:
     )
 
 
-def split_dates(dates: DataFrame, train: float = TRAIN_SHARE, validation: float = VALIDATION_SHARE) -> DataFrame:
-    """A label per distinct date.  The list is a calendar, so one task orders it."""
-    place = Window.orderBy("date")
-    everything = Window.partitionBy()
-    numbered = dates.select("date").distinct().withColumn("_i", F.row_number().over(place) - 1)
-    n = F.count(F.lit(1)).over(everything)
-    return numbered.withColumn("_n", n).select(
-        "date",
-        F.when(F.col("_i") < F.floor(F.col("_n") * F.lit(train)), "train")
-        .when(F.col("_i") < F.floor(F.col("_n") * F.lit(train + validation)), "validation")
-        .otherwise("test")
-        .alias("split"),
+def split_bounds(dates: DataFrame, train: float = TRAIN_SHARE, validation: float = VALIDATION_SHARE) -> DataFrame:
+    """One row: the first validation date and the first test date.
+
+    The distinct dates are one row per calendar day (a century is 36 525 rows), so
+    one task orders them.
+    """
+    numbered = (
+        dates.select("date")
+        .distinct()
+        .withColumn("_i", F.row_number().over(Window.orderBy("date")) - 1)
+        .withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy()))
     )
 
+    def first_from(share: float) -> Column:
+        return F.min(F.when(F.col("_i") >= F.floor(F.col("_n") * F.lit(share)), F.col("date")))
+
+    return numbered.agg(first_from(train).alias("validation"), first_from(train + validation).alias("test"))
+
 
 def chronological_split(
     df: DataFrame, *, dates: DataFrame | None = None, train: float = TRAIN_SHARE, validation: float = VALIDATION_SHARE
 ) -> DataFrame:
     """adds ``split`` by the position of the row's date among all dates.
 
-    The labels are one row per calendar day (a century is 36 525 rows), which is
-    what makes the broadcast safe.  ``dates`` lets the caller give a cheaper source
-    of the same dates than the frame itself.
+    The parts follow each other in time, so two dates decide; as scalars they also
+    reach the scan when a part is selected.  ``dates`` lets the caller give a
+    cheaper source of the same dates than the frame itself.
     """
-    labels = split_dates(df if dates is None else dates, train, validation)
-    return df.join(F.broadcast(labels), "date", "inner")
+    bounds = split_bounds(df if dates is None else dates, train, validation)
+    start = bounds.select(F.struct("validation", "test")).scalar()
+    label = F.when(F.col("date") < start["validation"], "train").when(F.col("date") < start["test"], "validation")
+    return df.withColumn("split", label.otherwise("test"))

@@ -90,28 +90,27 @@ def with_defaults(items: DataFrame, policy: InventoryPolicy = InventoryPolicy())
     return items
 
 
-def daily_lists(daily_forecasts: DataFrame, by: Sequence[str] = SERIES) -> DataFrame:
-    """Each item's coming days in order, as one array no longer than the horizon."""
+def daily_units(daily_forecasts: DataFrame, by: Sequence[str] = SERIES) -> DataFrame:
+    """Each item's coming days in order, as one array no longer than the horizon, and their total."""
     day = F.struct("date", F.col("predicted_demand").cast("bigint").alias("units"))
     return daily_forecasts.groupBy(*by).agg(
-        F.transform(F.array_sort(F.collect_list(day)), lambda d: d["units"]).alias("_daily")
+        F.transform(F.array_sort(F.collect_list(day)), lambda d: d["units"]).alias("daily_units"),
+        F.sum("predicted_demand").cast("bigint").alias("forecast_demand"),
+        F.count(F.lit(1)).alias("forecast_horizon"),
     )
 
 
-def lead_time_demand(items: DataFrame, daily_forecasts: DataFrame | None, by: Sequence[str] = SERIES) -> DataFrame:
-    """The first lead-time days of the daily forecast, else the average day times the lead time."""
-    items = items.withColumn(
-        "_avg_daily",
-        F.when(F.col("forecast_horizon") > 0, ratio(F.col("forecast_demand").cast("double"), F.col("forecast_horizon").cast("double"))).otherwise(0.0),
-    )
+def lead_time_demand(items: DataFrame) -> DataFrame:
+    """The first lead-time days of ``daily_units``, else the average day times the lead time."""
+    demand, horizon = F.col("forecast_demand").cast("double"), F.col("forecast_horizon").cast("double")
+    items = items.withColumn("_avg_daily", F.when(horizon > 0, ratio(demand, horizon)).otherwise(0.0))
     average = (F.col("_avg_daily") * F.col("lead_time_days")).cast("bigint")
-    if daily_forecasts is None:
+    if "daily_units" not in items.columns:
         return items.withColumn("lead_time_demand", average)
-    items = items.join(daily_lists(daily_forecasts, by), list(by), "left")
-    enough = F.col("_daily").isNotNull() & (F.size("_daily") >= F.col("lead_time_days"))
-    first_days = F.slice("_daily", F.lit(1), F.greatest(F.col("lead_time_days").cast("int"), F.lit(0)))
+    enough = F.col("daily_units").isNotNull() & (F.size("daily_units") >= F.col("lead_time_days"))
+    first_days = F.slice("daily_units", F.lit(1), F.greatest(F.col("lead_time_days").cast("int"), F.lit(0)))
     summed = F.aggregate(first_days, F.lit(0).cast("bigint"), lambda acc, x: acc + x)
-    return items.withColumn("lead_time_demand", F.when(enough, summed).otherwise(average)).drop("_daily")
+    return items.withColumn("lead_time_demand", F.when(enough, summed).otherwise(average)).drop("daily_units")
 
 
 def _limit(column: str) -> Column:
@@ -128,10 +127,13 @@ def decide(
     """The decision for every item.
 
     Needs ``current_stock, forecast_demand, forecast_horizon``; other inputs have
-    defaults.  Apart from the optional daily forecasts this is one projection.
+    defaults.  With ``daily_units`` on the items, or daily forecasts to join, the
+    lead time demand is exact.  Apart from that join this is one projection.
     """
-    kept = [c for c in items.columns if c not in DECISION_COLUMNS]
-    rows = lead_time_demand(with_defaults(items, policy), daily_forecasts, by)
+    if daily_forecasts is not None:
+        items = items.join(daily_units(daily_forecasts, by).select(*by, "daily_units"), list(by), "left")
+    kept = [c for c in items.columns if c not in (*DECISION_COLUMNS, "daily_units")]
+    rows = lead_time_demand(with_defaults(items, policy))
     position = F.col("inventory_position")
     z = F.lit(service_factor(policy.service_level))
     root = F.when(F.col("lead_time_demand") > 0, F.sqrt("lead_time_demand")).otherwise(1.0)
@@ -305,11 +307,7 @@ def recommend(stock: DataFrame, daily_forecasts: DataFrame, policy: InventoryPol
 
     Items without a forecast give no row.
     """
-    demand = daily_forecasts.groupBy(*SERIES).agg(
-        F.sum("predicted_demand").cast("bigint").alias("forecast_demand"),
-        F.count(F.lit(1)).alias("forecast_horizon"),
-    )
-    return surplus_override(decide(stock.join(demand, SERIES), daily_forecasts, policy))
+    return surplus_override(decide(stock.join(daily_units(daily_forecasts), SERIES), policy=policy))
 
 
 def stock_figures(log: DataFrame, by: Sequence[str] = SERIES) -> DataFrame:

@@ -48,7 +48,9 @@ def _bin() -> Column:
     value = F.col("value")
     last = F.size("edges") - 1
     inside = (last > 0) & (value >= F.element_at("edges", 1)) & (value <= F.element_at("edges", -1))
-    return F.when(inside, F.least(F.size(F.filter("edges", lambda e: e <= value)), last))
+    # Spelt out edge by edge: a lambda over the array would be interpreted.
+    reached = sum((F.coalesce((F.get("edges", F.lit(i)) <= value).cast("int"), F.lit(0)) for i in range(BUCKETS + 1)), F.lit(0))
+    return F.when(inside, F.least(reached, last))
 
 
 def _bins_of_series(long: DataFrame, group: Sequence[str]) -> DataFrame:

@@ -61,13 +61,24 @@ def train(raw: DataFrame, *, as_of: date, current: DataFrame | None = None, min_
     return Training(findings, outcome, flags, anomaly.quality(flags), engineered, selection.select_champions(scored, current))
 
 
-def recommendations(panel: DataFrame, champions: DataFrame, stock: DataFrame, horizon: int = 7) -> DataFrame:
+def demand_plan(panel: DataFrame, horizon: int = 7) -> tuple[DataFrame, DataFrame]:
+    """Champions and coming demand of a written panel, each written once.
+
+    Both are small (a row per series, a row per series and coming day) and every
+    later step reads them several times.
+    """
+    champions = materialise(choose_models(panel), "champions")
+    return champions, materialise(coming_demand(panel, champions, horizon), "demand")
+
+
+def recommendations(panel: DataFrame, stock: DataFrame, horizon: int = 7) -> DataFrame:
     """Forecast, demand, decision and surplus check for every stocked series."""
-    return inventory.recommend(stock, coming_demand(panel, champions, horizon))
+    return inventory.recommend(stock, demand_plan(panel, horizon)[1])
 
 
-def matches(panel: DataFrame, champions: DataFrame, listings: DataFrame, *, as_of: date) -> DataFrame:
-    return exchange.match(listings, coming_demand(panel, champions), as_of=as_of)
+def matches(panel: DataFrame, listings: DataFrame, *, as_of: date) -> DataFrame:
+    """Listings with the stores that will need their product."""
+    return exchange.match(listings, demand_plan(panel)[1], as_of=as_of)
 
 
 def served_forecasts(panel: DataFrame, champions: DataFrame) -> DataFrame:

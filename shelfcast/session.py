@@ -18,6 +18,8 @@ def local_session(cores: int | str = 8, *, app: str = "shelfcast", memory: str =
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
         .config("spark.sql.adaptive.enabled", "true")
+        # Recording the Python line of every column call costs milliseconds each.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
 
