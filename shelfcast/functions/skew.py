@@ -59,12 +59,14 @@ def skew_join(
     return salted.join(repeated, [*keys, "_salt"], how).drop("_salt")
 
 
-def all_pairs_of(left: DataFrame, right: DataFrame, right_key: str, *, slots: int = 32) -> DataFrame:
-    """Every combination of two small key lists, built as an equi-join.
+def all_pairs_of(left: DataFrame, right: DataFrame, right_key: str, *, slots: int | None = None) -> DataFrame:
+    """Every combination of two key lists, built as an equi-join.
 
     The left list is repeated once per slot and each right key belongs to one
-    slot, so the combinations are produced in ``slots`` independent partitions.
+    slot, so the combinations are produced in ``slots`` independent parts (as many
+    as there are shuffle partitions).
     """
+    slots = slots or int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     left = left.withColumn("_slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
     right = right.withColumn("_slot", F.pmod(F.xxhash64(right_key), F.lit(slots)).cast("int"))
     return left.join(right, "_slot").drop("_slot")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from shelfcast.functions.keys import SERIES, by_date, by_series, whole_series
 from shelfcast.functions.numeric import no_nan
 from shelfcast.functions.quantiles import group_quantiles
-from shelfcast.functions.skew import all_pairs_of
+from shelfcast.functions.skew import all_pairs_of, skew_join
 from shelfcast.operators.validate import _as_date, _as_number
 from shelfcast.sources.sales import normalise_columns
 
@@ -59,7 +59,7 @@ def fill_from_product(panel: DataFrame, column: str) -> DataFrame:
         "product_id", F.col("quantiles")[0].alias("_median")
     )
     return (
-        panel.join(medians, "product_id", "left")
+        skew_join(panel, medians, ["product_id"], spread=["store_id", "date"], how="left")
         .withColumn(column, F.coalesce(column, "_median", F.lit(0.0)))
         .select(*panel.columns)
     )

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from shelfcast.functions.keys import SERIES, by_series
 from shelfcast.functions.numeric import half_even, ratio
+from shelfcast.functions.quantiles import group_quantiles
+from shelfcast.functions.skew import skew_join
 
 # Thresholds of drift, error and decisions.
 BUCKETS = 10
@@ -71,16 +73,19 @@ def _bins_of_series(long: DataFrame, group: Sequence[str]) -> DataFrame:
 
 
 def _bins_of_groups(long: DataFrame, group: Sequence[str]) -> DataFrame:
-    """Counts per bin for groups of any size: rows are first counted per distinct value."""
+    """Counts per bin for groups of any size.
+
+    Rows are first counted per distinct value; the edges are exact quantiles that
+    gather no group, and rows of large groups are spread for the join with them.
+    """
     counts = long.groupBy(*group, "value").agg(
         F.count_if(F.col("side") == "reference").alias("r"), F.count_if(F.col("side") == "production").alias("p")
     )
-    reference = counts.where("r > 0").select(*group, "value", "r")
-    edges = reference.groupBy(*group).agg(
-        F.array_sort(F.array_distinct(F.percentile("value", _deciles(), F.col("r")))).alias("edges")
-    )
+    deciles = [i / BUCKETS for i in range(BUCKETS + 1)]
+    edges = group_quantiles(long.where(F.col("side") == "reference"), group, "value", deciles, name="edges")
+    edges = edges.withColumn("edges", F.array_sort(F.array_distinct("edges")))
     return (
-        counts.join(edges, list(group))
+        skew_join(counts, edges, group, spread=["value"])
         .withColumn("bin", _bin())
         .groupBy(*group, "bin")
         .agg(F.sum("r").alias("r"), F.sum("p").alias("p"), F.first(F.size("edges") - 1).alias("bins"))
@@ -270,7 +275,7 @@ def health(
 def retrain_gate(asked: DataFrame, reports: DataFrame) -> DataFrame:
     """Requests against the reports of their series; one result per request."""
     verdicts = reports.select(*SERIES, "retraining_decision")
-    decided = asked.join(verdicts, SERIES, "left")
+    decided = skew_join(asked, verdicts, SERIES, spread=asked.columns, how="left")
     idle = F.col("retraining_decision").isin("NO_ACTION", "MONITOR")
     return decided.select(
         *asked.columns,

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, NumericType, StringType, TimestampNTZType, TimestampType
 
 from shelfcast.functions.quantiles import group_quantiles
+from shelfcast.functions.skew import skew_join
 from shelfcast.sources.sales import normalise_columns
 
 # Columns a sales table must have, and may have.
@@ -239,16 +240,16 @@ def sales_spikes(df: DataFrame) -> DataFrame:
     rows = df.where(known).select(*keys, F.when(~F.isnan(number), number).alias("_v")).where(F.col("_v").isNotNull())
     counts = rows.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n"))
     enough = counts.groupBy(*keys).agg(F.sum("_n").alias("_m")).where(F.col("_m") >= OUTLIER_MIN_VALUES)
-    fence = group_quantiles(rows, keys, "_v", [0.25, 0.75]).select(
-        *keys,
-        (F.col("quantiles")[1] + OUTLIER_MULTIPLIER * (F.col("quantiles")[1] - F.col("quantiles")[0])).alias("_upper"),
+    fence = (
+        group_quantiles(rows, keys, "_v", [0.25, 0.75])
+        .join(enough, keys)
+        .select(
+            *keys,
+            (F.col("quantiles")[1] + OUTLIER_MULTIPLIER * (F.col("quantiles")[1] - F.col("quantiles")[0])).alias("_upper"),
+        )
     )
     above = F.when(F.col("_v") > F.col("_upper"), F.col("_n")).otherwise(0)
-    return (
-        counts.join(fence, keys)
-        .join(enough.select(*keys), keys, "left_semi")
-        .agg(F.coalesce(F.sum(above), F.lit(0)).cast("bigint").alias("n"))
-    )
+    return skew_join(counts, fence, keys, spread=["_v"]).agg(F.coalesce(F.sum(above), F.lit(0)).cast("bigint").alias("n"))
 
 
 def check_spikes(df: DataFrame) -> DataFrame:
