@@ -6,8 +6,6 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql.types import ByteType, FloatType, IntegerType, ShortType
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,23 +18,15 @@ class Entry:
 
 def plain(df: DataFrame) -> DataFrame:
     """Whole numbers as bigint and fractions as double, so that results compare across engines."""
-    wide = {ByteType: "bigint", ShortType: "bigint", IntegerType: "bigint", FloatType: "double"}
-    return df.select(
-        *[
-            F.col(f"`{f.name}`").cast(wide[type(f.dataType)]).alias(f.name) if type(f.dataType) in wide else F.col(f"`{f.name}`")
-            for f in df.schema.fields
-        ]
-    )
-
-
-def rounded(df: DataFrame, digits: int = 4, **special: int) -> DataFrame:
-    """Computed fractions rounded for comparison; ``special`` sets other digits by column."""
-    return df.select(
-        *[
-            F.round(F.col(f.name), special.get(f.name, digits)).alias(f.name) if f.dataType.typeName() == "double" else F.col(f.name)
-            for f in df.schema.fields
-        ]
-    )
+    wide = {"byte": "bigint", "short": "bigint", "integer": "bigint", "float": "double"}
+    kinds = {f.name: wide.get(f.dataType.typeName()) for f in df.schema.fields}
+    return df.selectExpr(*[f"CAST(`{c}` AS {k}) AS `{c}`" if k else f"`{c}`" for c, k in kinds.items()])
+
+
+def rounded(df: DataFrame, digits: int = 4) -> DataFrame:
+    """Computed fractions rounded for comparison."""
+    kinds = {f.name: f.dataType.typeName() for f in df.schema.fields}
+    return df.selectExpr(*[f"round(`{c}`, {digits}) AS `{c}`" if k == "double" else f"`{c}`" for c, k in kinds.items()])
 
 
 def collect_entries() -> dict[str, Entry]:

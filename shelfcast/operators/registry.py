@@ -23,33 +23,44 @@ EVENT_COLUMNS = [*SERIES, "version_id", "event", "at", "seq"]
 
 def heights(events: DataFrame) -> DataFrame:
     """Each event with the height of the pile after it (0 before the first version)."""
-    up = F.when(F.col("event") == "REGISTER", 1).otherwise(-1)
-    moves = events.withColumn("_day", F.to_date("at")).withColumn("_move", up)
-
-    # Rollbacks before the first registration do nothing.
-    started = moves.groupBy(*SERIES).agg(F.min(F.when(F.col("_move") == 1, F.struct("at", "seq"))).alias("_start"))
-    moves = moves.join(started, SERIES).withColumn(
-        "_move", F.when(F.struct("at", "seq") < F.coalesce("_start", F.struct("at", "seq")), 0).otherwise(F.col("_move"))
-    )
-    moves = moves.withColumn("_move", F.when(F.col("_start").isNull(), 0).otherwise(F.col("_move")))
-
+    registers = F.col("event") == "REGISTER"
     in_day = Window.partitionBy(*SERIES, "_day").orderBy("at", "seq")
     upto = in_day.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    moves = moves.withColumn("_sum", F.sum("_move").over(upto))
-    # Only rows from the start on can push the pile against its floor.
-    live = F.coalesce(F.struct("at", "seq") >= F.col("_start"), F.lit(False))
-    moves = moves.withColumn("_live", live).withColumn("_low", F.min(F.when(F.col("_live"), F.col("_sum"))).over(upto))
-
-    days = moves.groupBy(*SERIES, "_day").agg(F.sum("_move").alias("_total"), F.min(F.when(F.col("_live"), F.col("_sum"))).alias("_floor"))
+    moves = events.withColumn("_day", F.to_date("at")).withColumns(
+        {
+            "_sum": F.sum(F.when(registers, 1).otherwise(-1)).over(upto),
+            "_known": F.count_if(registers).over(upto),
+        }
+    )
+    # The floor holds from the first registration on: lowest sums with and without earlier rows.
+    moves = moves.withColumns(
+        {
+            "_low": F.min("_sum").over(upto),
+            "_low_known": F.min(F.when(F.col("_known") > 0, F.col("_sum"))).over(upto),
+        }
+    )
+    days = moves.groupBy(*SERIES, "_day").agg(
+        F.sum(F.when(registers, 1).otherwise(-1)).alias("_total"),
+        F.max("_known").alias("_registered"),
+        F.min("_sum").alias("_floor"),
+        F.min("_low_known").alias("_floor_known"),
+    )
     earlier = Window.partitionBy(*SERIES).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
-    days = days.withColumn("_before", F.coalesce(F.sum("_total").over(earlier), F.lit(0)))
-    days = days.withColumn("_low_before", F.min(F.col("_before") + F.col("_floor")).over(earlier)).select(
-        *SERIES, "_day", "_before", "_low_before"
+    days = days.withColumns(
+        {
+            "_before": F.coalesce(F.sum("_total").over(earlier), F.lit(0)),
+            "_known_before": F.coalesce(F.sum("_registered").over(earlier), F.lit(0)),
+        }
+    )
+    floor = F.when(F.col("_known_before") > 0, F.col("_floor")).otherwise(F.col("_floor_known"))
+    days = days.withColumn("_lowest_before", F.min(F.col("_before") + floor).over(earlier)).select(
+        *SERIES, "_day", "_before", "_known_before", "_lowest_before"
     )
     placed = moves.join(days, [*SERIES, "_day"])
-    lowest = F.least(F.col("_low_before"), F.col("_before") + F.col("_low"))
-    lifted = F.greatest(F.lit(0), 1 - F.coalesce(lowest, F.lit(1)))
-    height = F.when(F.col("_live"), F.col("_before") + F.col("_sum") + lifted).otherwise(0)
+    low = F.when(F.col("_known_before") > 0, F.col("_low")).otherwise(F.col("_low_known"))
+    lifted = F.greatest(F.lit(0), 1 - F.least(F.col("_lowest_before"), F.col("_before") + low))
+    live = F.col("_known_before") + F.col("_known") > 0
+    height = F.when(live, F.col("_before") + F.col("_sum") + lifted).otherwise(0)
     return placed.withColumn("height", height.cast("bigint")).select(*events.columns, "height", "_day")
 
 
