@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfcast.catalog import Entry
-from shelfcast.llm import quality_rules, sharding
+from shelfcast.llm import jaccard_join, line_dedup, quality_rules, sharding
 from shelfcast.llm.tables import table
 
 
@@ -74,7 +74,46 @@ def shards(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def lines(spark: SparkSession, folder: str) -> DataFrame:
+    cut = line_dedup.dedup_lines(table(spark, folder, "documents"))
+    return cut.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.col("line_dedup.n_lines").cast("long").alias("n_lines"),
+        F.size("line_dedup.removed").cast("long").alias("n_removed"),
+        F.length("text").cast("long").alias("kept_chars"),
+        F.md5(F.encode("text", "UTF-8")).alias("kept_md5"),
+    )
+
+
+LINES_SQL = """
+WITH t AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents),
+lines AS (SELECT doc_id, unnest(l) AS s, unnest(range(len(l))) AS i, len(l) AS n FROM t),
+win AS (
+  SELECT doc_id, i, n, s AS a, lead(s, 1) OVER p AS b, lead(s, 2) OVER p AS c
+  FROM lines WINDOW p AS (PARTITION BY doc_id ORDER BY i)),
+later AS (
+  SELECT doc_id, i FROM (
+    SELECT doc_id, i, row_number() OVER (PARTITION BY a, b, c ORDER BY doc_id, i) AS k
+    FROM win WHERE i + 2 < n AND regexp_matches(a || b || c, '[^\\x20\\x09-\\x0D]'))
+  WHERE k > 1),
+gone AS (SELECT DISTINCT doc_id, i + k AS i FROM later, (SELECT unnest([0, 1, 2]) AS k)),
+kept AS (
+  SELECT lines.doc_id, string_agg(s, chr(10) ORDER BY lines.i) AS text, count(*) AS stay
+  FROM lines LEFT JOIN gone ON gone.doc_id = lines.doc_id AND gone.i = lines.i
+  WHERE gone.i IS NULL GROUP BY lines.doc_id)
+SELECT t.doc_id, CAST(len(l) AS BIGINT) AS n_lines, CAST(len(l) - coalesce(stay, 0) AS BIGINT) AS n_removed,
+       CAST(length(coalesce(kept.text, '')) AS BIGINT) AS kept_chars, md5(coalesce(kept.text, '')) AS kept_md5
+FROM t LEFT JOIN kept USING (doc_id)"""
+
+
+def alike(spark: SparkSession, folder: str) -> DataFrame:
+    groups = jaccard_join.JaccardJoin(table(spark, folder, "documents"), words=4, percent=85).groups()
+    return groups.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id")
+
+
 ENTRIES = {
+    "op2_line_dedup": Entry(lines, LINES_SQL),
+    "op3_jaccard_join": Entry(alike),
     "op7_quality_rules": Entry(quality, QUALITY_SQL),
     "op10_sharding": Entry(shards),
 }
