@@ -7,7 +7,7 @@ Exact, by set-relation skipping on inverted lists:
   order, two sets that are alike share a shingle of their prefixes.
 * Block skip: a list entry carries set size and position, which bound the overlap that is
   still possible, so entries of unfit size blocks and positions never meet.
-* Answers from a similar set's answers: in each list the entry with the least position is
+* Answers from a similar set's answers: in each list one entry, the least edited text, is
   compared with all others first.  What is linked to it needs no answers of its own
   among the rest of that group: only entries of different groups still meet, so a group
   of a million near copies costs a million comparisons with one set, not their square.
@@ -33,9 +33,9 @@ from shelfcast.session import materialise
 
 # A shingle counts as frequent if it is in one of FREQUENT sets: there are at most
 # FREQUENT * (mean size of a set) of them, whatever the number of documents.
-FREQUENT = 512
+FREQUENT = 32_768
 # Documents among which a task counts shingles at once, and texts of one numpy call.
-BLOCK = 1024
+BLOCK = 8192
 SLICE = 256
 # Ids are broadcast up to this count (16 bytes each); beyond it they are joined by shuffle.
 BROADCAST_IDS = 1_000_000
@@ -62,9 +62,8 @@ def _numbered(words: int) -> Callable:
         block: dict[int, np.ndarray] = {}
 
         def frequent() -> pa.RecordBatch:
-            least = max(4, math.ceil(len(block) / FREQUENT))
             values, counts = np.unique(np.concatenate(list(block.values())), return_counts=True) if block else (np.zeros(0, np.uint64),) * 2
-            often = counts >= least
+            often = counts >= 3
             block.clear()
             n = int(often.sum())
             return pa.record_batch(
@@ -93,21 +92,23 @@ def _prefixes(words: int, percent: int, frequent) -> Callable:
         late = frequent.value
         for _, sets in _sets(batches, words):
             sets = [s for s in sets if len(s)]
-            prefixes = []
+            prefixes, rare = [], []
             for s in sets:
                 is_late = np.zeros(len(s), dtype=bool)
                 if len(late):
                     spot = np.minimum(np.searchsorted(late, s), len(late) - 1)
                     is_late = late[spot] == s
                 length = len(s) - -(-percent * len(s) // 100) + 1
+                rare.append(len(s) - int(is_late.sum()))
                 prefixes.append(np.concatenate([s[~is_late], s[is_late]])[:length])
             yield pa.record_batch(
                 [
                     pa.array([_key(s) for s in sets], pa.int64()),
                     pa.array([len(s) for s in sets], pa.int64()),
+                    pa.array(rare, pa.int64()),
                     _lists(prefixes),
                 ],
-                names=["key", "n", "prefix"],
+                names=["key", "n", "rare", "prefix"],
             )
 
     return run
@@ -165,18 +166,23 @@ class JaccardJoin:
     def _prefix_table(self) -> DataFrame:
         total = self.members.where("key IS NOT NULL").count()
         # At most FREQUENT * (mean set size) shingles reach this share of the sets.
-        often = self.frequent.where(F.col("n") >= max(4, total // FREQUENT)).select("shingle").toPandas()["shingle"]
+        often = self.frequent.where(F.col("n") >= max(6, total // FREQUENT)).select("shingle").toPandas()["shingle"]
         late = self.spark.sparkContext.broadcast(np.sort(often.to_numpy(dtype=np.int64).view(np.uint64)))
-        rows = self.docs.mapInArrow(_prefixes(self.words, self.percent, late), "key long, n long, prefix array<long>")
+        rows = self.docs.mapInArrow(_prefixes(self.words, self.percent, late), "key long, n long, rare long, prefix array<long>")
         return materialise(rows.dropDuplicates(["key"]), "prefixes")
 
     def _lists(self, prefixes: DataFrame) -> DataFrame:
-        """Entries of lists with two sets or more, with the entry of least position as ``pivot``."""
-        entries = prefixes.select("key", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("at", "shingle"))
-        # Position, then 40 bits of the key: the least is the pivot, found by a plain minimum.
-        rank = F.shiftleft(F.col("at").cast("long"), 40).bitwiseOR(F.col("key").bitwiseAND(F.lit((1 << 40) - 1)))
-        heads = entries.groupBy("shingle").agg(F.min(rank).alias("_head"), F.count(F.lit(1)).alias("_many")).where("_many > 1")
-        return materialise(entries.withColumn("_rank", rank).join(heads.drop("_many"), "shingle"), "lists")
+        """Entries of lists with two sets or more, and the rank of each list's pivot.
+
+        The pivot is the set with the fewest shingles of its own (rare ones): of a group of
+        near copies the least edited one, and the same one in nearly all lists of the group.
+        """
+        entries = prefixes.select("key", F.col("n").cast("int").alias("n"), "rare", F.posexplode("prefix").alias("at", "shingle"))
+        # Rare shingles, then 40 bits of the key: the least is the pivot, found by a plain minimum.
+        rank = F.shiftleft(F.col("rare"), 40).bitwiseOR(F.col("key").bitwiseAND(F.lit((1 << 40) - 1)))
+        entries = entries.select("shingle", "key", "n", "at", rank.alias("_rank"))
+        heads = entries.groupBy("shingle").agg(F.min("_rank").alias("_head"), F.count(F.lit(1)).alias("_many")).where("_many > 1")
+        return materialise(entries.join(heads.drop("_many"), "shingle"), "lists")
 
     def _sets_of(self, pairs: DataFrame) -> DataFrame:
         keys = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
