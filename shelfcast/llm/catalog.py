@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfcast.catalog import Entry
-from shelfcast.llm import jaccard_join, line_dedup, quality_rules, sharding
+from shelfcast.llm import html_template, jaccard_join, line_dedup, piece_coding, quality_rules, sharding, toxicity
 from shelfcast.llm.tables import table
 
 
@@ -111,7 +111,26 @@ def alike(spark: SparkSession, folder: str) -> DataFrame:
     return groups.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id")
 
 
+def toxic(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    third = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
+    model = toxicity.fit(docs, table(spark, folder, "labels").where(~third))
+    return toxicity.scored(docs, model).select("doc_id", third.alias("held_out"), "score", "predicted")
+
+
+def main_texts(spark: SparkSession, folder: str) -> DataFrame:
+    texts = html_template.extract(table(spark, folder, "pages"))
+    return texts.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def pieces(spark: SparkSession, folder: str) -> DataFrame:
+    return piece_coding.encode_texts(table(spark, folder, "documents"), piece_coding.load_vocabulary())
+
+
 ENTRIES = {
+    "op6_toxicity": Entry(toxic),
+    "op8_html_template": Entry(main_texts),
+    "op9_piece_coding": Entry(pieces),
     "op2_line_dedup": Entry(lines, LINES_SQL),
     "op3_jaccard_join": Entry(alike),
     "op7_quality_rules": Entry(quality, QUALITY_SQL),

@@ -57,10 +57,13 @@ def _buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]] if len(offsets) else data[:0], offsets - (offsets[0] if len(offsets) else 0)
 
 
-def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of every word in order, and for each text where its words begin (n + 1 places)."""
+def word_spans(texts: pa.Array, gap: np.ndarray = _GAP) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes, begin and end of every word in order, and where each text's words begin (n + 1 places).
+
+    ``gap`` marks the bytes that separate words; texts are separate too.
+    """
     data, offsets = _buffers(texts)
-    word = ~_GAP[data]
+    word = ~gap[data]
     edge = np.zeros(len(data) + 1, dtype=bool)
     edge[offsets] = True
     before = np.empty_like(word)
@@ -71,19 +74,29 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     after[-1:] = False
     after[:-1] = word[1:]
     ends = np.flatnonzero(word & (~after | edge[1:])) + 1
-    del before, after, edge, word
+    return data, starts, ends, np.searchsorted(starts, offsets)
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of each span of bytes; spans are in the order of their beginnings, ASCII case is ignored."""
     out = np.empty(len(starts), dtype=_U)
     i = 0
     while i < len(starts):
-        j = max(int(np.searchsorted(ends, starts[i] + _PIECE, "right")), i + 1)
-        a, b = starts[i], ends[j - 1]
+        j = max(int(np.searchsorted(starts, starts[i] + _PIECE, "right")), i + 1)
+        a, b = starts[i], int(ends[i:j].max())
         sums = np.zeros(b - a + 1, dtype=_U)
         np.cumsum(_CODES[data[a:b]] * _power(_BASE, b - a, "up")[: b - a], dtype=_U, out=sums[1:])
         s, e = starts[i:j] - a, ends[i:j] - a
         value = (sums[e] - sums[s]) * _power(_INVERSE, b - a + 1, "down")[s]
         out[i:j] = mix(value + (e - s).astype(_U) * _U(0xD6E8FEB86659FD93))
         i = j
-    return out, np.searchsorted(starts, offsets)
+    return out
+
+
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of every word in order, and for each text where its words begin (n + 1 places)."""
+    data, starts, ends, at = word_spans(texts)
+    return span_hashes(data, starts, ends), at
 
 
 def shingle_sets(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
