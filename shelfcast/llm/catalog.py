@@ -6,8 +6,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfcast.catalog import Entry
-from shelfcast.llm import html_template, jaccard_join, line_dedup, piece_coding, quality_rules, sharding, toxicity
+from shelfcast.llm import (
+    html_template,
+    jaccard_join,
+    line_dedup,
+    neighbours,
+    piece_coding,
+    quality_rules,
+    secret_scan,
+    sharding,
+    toxicity,
+)
 from shelfcast.llm.tables import table
+from shelfcast.session import materialise
 
 
 def quality(spark: SparkSession, folder: str) -> DataFrame:
@@ -111,6 +122,20 @@ def alike(spark: SparkSession, folder: str) -> DataFrame:
     return groups.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id")
 
 
+def near_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours.nearest(table(spark, folder, "embeddings"), queries=lambda i: i % 50 == 0, k=5)
+
+
+def secrets(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    found = secret_scan.candidates(docs, secret_scan.language(docs), path="source")
+    found = materialise(found, "candidates")
+    judged = secret_scan.judge(found, secret_scan.rule_labels(found))
+    return judged.select(
+        "doc_id", "start", F.length("finding").cast("long").alias("length"), F.round("score", 6).alias("score"), "is_secret"
+    )
+
+
 def toxic(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     third = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
@@ -128,6 +153,8 @@ def pieces(spark: SparkSession, folder: str) -> DataFrame:
 
 
 ENTRIES = {
+    "op4_neighbours": Entry(near_vectors),
+    "op5_secret_scan": Entry(secrets),
     "op6_toxicity": Entry(toxic),
     "op8_html_template": Entry(main_texts),
     "op9_piece_coding": Entry(pieces),
