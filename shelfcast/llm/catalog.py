@@ -10,6 +10,7 @@ from shelfcast.llm import (
     html_template,
     jaccard_join,
     line_dedup,
+    mixing,
     neighbours,
     piece_coding,
     quality_rules,
@@ -122,6 +123,18 @@ def alike(spark: SparkSession, folder: str) -> DataFrame:
     return groups.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id")
 
 
+def mixture(spark: SparkSession, folder: str) -> DataFrame:
+    labels = mixing.label_domains(table(spark, folder, "labels"))
+    mixed = mixing.mix(table(spark, folder, "documents"), labels, {"clean": 0.9, "poor": 0.06, "toxic": 0.04})
+    return mixed.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        "mixing.tokens",
+        *[F.col(f"mixing.posterior.{d}").alias(f"p_{d}") for d in ("clean", "poor", "toxic")],
+        "mixing.rate",
+        "mixing.copies",
+    )
+
+
 def near_vectors(spark: SparkSession, folder: str) -> DataFrame:
     return neighbours.nearest(table(spark, folder, "embeddings"), queries=lambda i: i % 50 == 0, k=5)
 
@@ -158,6 +171,7 @@ ENTRIES = {
     "op6_toxicity": Entry(toxic),
     "op8_html_template": Entry(main_texts),
     "op9_piece_coding": Entry(pieces),
+    "op1_mixing": Entry(mixture),
     "op2_line_dedup": Entry(lines, LINES_SQL),
     "op3_jaccard_join": Entry(alike),
     "op7_quality_rules": Entry(quality, QUALITY_SQL),
