@@ -1,11 +1,11 @@
 """HTML extraction by template deduction over pages of the same host.
 
-Tokens are tags and words together with their path of elements.  Over the pages of a host,
+Tokens are tags and the texts between them, with their path of elements.  Over the pages of a host,
 each token has an occurrence vector (how often it is on each page); tokens with equal
 vectors form an equivalence class.  Classes that are large enough and on nearly all pages
 belong to the template, nested by their paths: a class whose paths lie under a path of
 another is inside it.  The remaining slots of the innermost class that spans the article
-hold the text; parts of it that consist of template words only are no data and go.
+hold the text; texts in it that are template tokens themselves are no data and go.
 
 Vectors are never gathered: a page adds a hash of (page, count) to two sums per token, and
 equal sums stand for equal vectors, so a host with a third of all pages combines in every
@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 
 from shelfcast.session import materialise
 
-# A host needs so many pages before words can count as template.
+# A host needs so many pages before texts can count as template.
 LEAST_PAGES = 5
 # A class is on this share of a host's pages at least, and has so many tokens.
 SUPPORT = 0.9
@@ -36,7 +36,7 @@ LEAST_TOKENS = 4
 # Templates of so many hosts are broadcast; beyond that they are joined by shuffle.
 BROADCAST_HOSTS = 20_000
 # Tokens a task holds before it passes its sums on; a bound on memory only.
-HELD = 300_000
+HELD = 100_000
 
 # Element names of the HTML standard by their role here.
 BLOCKS = frozenset(
@@ -169,12 +169,14 @@ def _hash(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"))
 
 
-def _signed(x: int) -> int:
+def said_hash(path: str, text: str) -> int:
+    """A text with its path as a signed 64-bit number."""
+    x = _hash(f"{path} {text}")
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per host and token: pages with it, two sums that stand for its vector, words right under it."""
+    """Per host and token (a tag's path or a text's hash): pages with it, and two sums that stand for its vector."""
     sums: dict[tuple, list[int]] = {}
 
     def out() -> pa.RecordBatch:
@@ -185,28 +187,25 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pa.array([k[0] for k in keys], pa.string()),
                 pa.array([k[1] for k in keys], pa.string()),
                 pa.array([k[2] for k in keys], pa.int64()),
-                *[pa.array([v[i] for v in values], pa.int64()) for i in range(4)],
+                *[pa.array([v[i] for v in values], pa.int64()) for i in range(3)],
             ],
-            names=["host", "path", "word", "pages", "v1", "v2", "words"],
+            names=["host", "path", "said", "pages", "v1", "v2"],
         )
 
     for batch in batches:
         for url, page, key in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            host, counts, under = host_of(url), Counter(), Counter()
+            host, counts = host_of(url), Counter()
             for path, dropped, text, opened in blocks(page):
                 counts.update((p, None) for p in opened)
                 if not dropped and text:
-                    words = text.split()
-                    counts.update((None, _signed(_hash(f"{path} {w}"))) for w in words)
-                    under[path] += len(words)
+                    counts[(None, said_hash(path, text))] += 1
             counts[("", None)] = 1  # stands for the page itself
-            for (path, word), n in counts.items():
+            for (path, said), n in counts.items():
                 v = _hash(f"{key} {n}")
-                s = sums.setdefault((host, path, word), [0, 0, 0, 0])
+                s = sums.setdefault((host, path, said), [0, 0, 0])
                 s[0] += 1
                 s[1] += v >> 32
                 s[2] += v & 0xFFFFFFFF
-                s[3] += under.get(path, 0) if path is not None else 0
             if len(sums) >= HELD:
                 yield out()
     yield out()
@@ -214,21 +213,21 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def templates(pages: DataFrame, *, url: str = "url", html: str = "html") -> DataFrame:
     """Per host ``pages``, ``article`` (path of the element that spans the article, null if none is named) and
-    ``words`` (hashes of template words with their paths).
+    ``texts`` (hashes of the template's texts with their paths).
 
     A class needs ``LEAST_TOKENS`` tokens and ``SUPPORT`` of the host's pages; of hosts with
     fewer than ``LEAST_PAGES`` pages only the named elements count.
     """
     rows = pages.select(F.col(url).alias("url"), F.col(html).alias("html"), F.monotonically_increasing_id().alias("key"))
-    kinds = "host string, path string, word long, pages long, v1 long, v2 long, words long"
-    tokens = rows.mapInArrow(_vectors, kinds).groupBy("host", "path", "word").agg(*[F.sum(c).alias(c) for c in ("pages", "v1", "v2", "words")])
+    kinds = "host string, path string, said long, pages long, v1 long, v2 long"
+    tokens = rows.mapInArrow(_vectors, kinds).groupBy("host", "path", "said").agg(*[F.sum(c).alias(c) for c in ("pages", "v1", "v2")])
     tokens = materialise(tokens, "tokens")
     hosts = tokens.where("path = ''").select("host", F.col("pages").alias("all"))
     # What is on nearly all pages of a host: as much as one page has, whatever the host's size.
     common = tokens.where("path IS NULL OR path <> ''").join(hosts, "host").where(F.col("pages") >= F.col("all") * SUPPORT)
     classes = common.groupBy("host", "v1", "v2", "pages").agg(F.count(F.lit(1)).alias("_size")).where(F.col("_size") >= LEAST_TOKENS)
     valid = common.join(classes.select("host", "v1", "v2", "pages"), ["host", "v1", "v2", "pages"])
-    words = valid.where(F.col("word").isNotNull() & (F.col("all") >= LEAST_PAGES)).groupBy("host").agg(F.collect_list("word").alias("words"))
+    texts = valid.where(F.col("said").isNotNull() & (F.col("all") >= LEAST_PAGES)).groupBy("host").agg(F.collect_list("said").alias("texts"))
     # Nesting by path: the innermost named element on nearly all pages that still spans the article's blocks.
     last = F.regexp_extract("path", "/([a-z0-9]+)[^/]*$", 1)
     named = common.where(F.col("path").isNotNull()).withColumn("_last", last).where(F.col("_last").isin("article", "main"))
@@ -236,14 +235,14 @@ def templates(pages: DataFrame, *, url: str = "url", html: str = "html") -> Data
     return (
         hosts.select("host", F.col("all").alias("pages"))
         .join(article.select("host", F.col("_a.path").alias("article")), "host", "left")
-        .join(words, "host", "left")
+        .join(texts, "host", "left")
     )
 
 
 _ARTICLE = re.compile(r"/(?:article|main)(?=[./]|$)")
 
 
-def main_text(page: str | None, article: str | None, words: frozenset[int] | set[int]) -> str:
+def main_text(page: str | None, article: str | None, texts: frozenset[int] | set[int]) -> str:
     """The slots of a page inside the template's article, joined by one space.
 
     A page without the template's article uses its own article or main element, and one
@@ -258,23 +257,15 @@ def main_text(page: str | None, article: str | None, words: frozenset[int] | set
         chosen = [(p, t) for p, t in found if inside(p)]
         if chosen:
             break
-    if words:
-        chosen = [(p, t) for p, t in chosen if not all(_signed(_hash(f"{p} {w}")) in words for w in t.split())]
+    if texts:
+        chosen = [(p, t) for p, t in chosen if said_hash(p, t) not in texts]
     return " ".join(t for _, t in chosen)
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known: dict[int, frozenset[int]] = {}
     for batch in batches:
-        ids, urls, pages, articles, words = (batch.column(i).to_pylist() for i in range(5))
-        texts = []
-        for page, article, w in zip(pages, articles, words, strict=True):
-            key = hash(tuple(w or ()))
-            if key not in known:
-                if len(known) > 1000:
-                    known.clear()
-                known[key] = frozenset(w or ())
-            texts.append(main_text(page, article, known[key]))
+        ids, urls, pages, articles, said = (batch.column(i).to_pylist() for i in range(5))
+        texts = [main_text(page, article, frozenset(s or ())) for page, article, s in zip(pages, articles, said, strict=True)]
         yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(urls, pa.string()), pa.array(texts, pa.string())], names=["id", "url", "text"])
 
 
@@ -289,11 +280,11 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url: str = "url", html
     A null or empty page has an empty text; pages of null or unreadable URLs share the empty
     host.  Repeated rows and ids each get their text; other columns are left behind.
     """
-    found = materialise(templates(pages, url=url, html=html).select("host", "article", "words"), "templates")
+    found = materialise(templates(pages, url=url, html=html).select("host", "article", "texts"), "templates")
     few = found.count() <= BROADCAST_HOSTS
     rows = pages.select(
         F.col(id_col).cast("long").alias("id"), F.col(url).alias("url"), F.col(html).alias("html"), _host(F.col(url)).alias("host")
     )
-    joined = rows.join(F.broadcast(found) if few else found, "host", "left").select("id", "url", "html", "article", "words")
+    joined = rows.join(F.broadcast(found) if few else found, "host", "left").select("id", "url", "html", "article", "texts")
     texts = joined.mapInArrow(_texts, "id long, url string, text string")
     return texts.select(F.col("id").alias(id_col), F.col("url").alias("url"), "text")
