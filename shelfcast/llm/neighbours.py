@@ -32,6 +32,8 @@ SAMPLE = 20_000
 BLOCK = 8_192
 LEAF = 32
 QUERIES = 2_048
+# Points verified by one numpy call, as many leaves as they fill.
+TOGETHER = 512
 # Chance with which a point is let go that would have been among the best.
 CONFIDENCE = 0.98
 SEED = 5
@@ -143,15 +145,16 @@ def cell_distances(nodes: list[tuple], point: np.ndarray) -> list[tuple[int, flo
 def search(queries: pd.DataFrame, rows: pd.DataFrame, k: int, directions: np.ndarray, stop: float) -> pd.DataFrame:
     """For each query the vectors of a block that are among its best, until they hold ``k`` ids.
 
-    Leaves are met in the order of their projected distance and verified whole; the search
-    ends when the next one passes the chi-square test against the ``k``-th best, or against
-    the bound that came with the query.
+    Leaves are met in the order of their projected distance and verified whole, ``TOGETHER``
+    points at a time; the search ends when the next one passes the chi-square test against
+    the ``k``-th best, or against the bound that came with the query.
     """
     vectors = _vectors(list(rows["raw"]))
     norms = np.sqrt((vectors**2).sum(axis=1))
     points = _projected(vectors, directions)
     leaves = kd_leaves(points, LEAF)
     low, high = np.stack([x[1] for x in leaves]), np.stack([x[2] for x in leaves])
+    sizes = np.array([len(x[0]) for x in leaves])
     held = np.array([len(x) for x in rows["ids"]])
     asked = _vectors(list(queries["raw"]))
     places = _projected(asked, directions)
@@ -159,24 +162,29 @@ def search(queries: pd.DataFrame, rows: pd.DataFrame, k: int, directions: np.nda
     for i in range(len(asked)):
         gap = np.maximum(np.maximum(low - places[i], places[i] - high), 0)
         nearest = (gap**2).sum(axis=1)
+        turn = np.argsort(nearest, kind="stable")
+        met = np.cumsum(sizes[turn])
         q, norm = asked[i], math.sqrt((asked[i] ** 2).sum())
-        best = np.zeros(0, dtype=np.int64)
-        scores = np.zeros(0)
+        best, scores, last = np.zeros(0, dtype=np.int64), np.zeros(0), -2.0
         bound = queries["bound"].iloc[i]
-        for leaf in np.argsort(nearest, kind="stable"):
-            if nearest[leaf] > stop * bound:
-                break
-            found = leaves[leaf][0]
-            best = np.concatenate([best, found])
-            scores = np.concatenate([scores, (vectors[found] * q).sum(axis=1) / (norms[found] * norm)])
+        at = 0
+        while at < len(turn) and nearest[turn[at]] <= stop * bound:
+            to = max(at + 1, int(np.searchsorted(met, met[at] + TOGETHER)))
+            found = np.concatenate([leaves[leaf][0] for leaf in turn[at:to]])
+            at = to
+            score = (vectors[found] * q).sum(axis=1) / (norms[found] * norm)
+            better = score >= last
+            if not better.any():
+                continue
+            best, scores = np.concatenate([best, found[better]]), np.concatenate([scores, score[better]])
             order = np.argsort(-scores, kind="stable")
-            full = np.searchsorted(np.cumsum(held[best[order]]), k) + 1
-            # Equal scores stay: their ids decide.
-            last = scores[order[min(full, len(order)) - 1]]
-            keep = order[scores[order] >= last]
-            best, scores = best[keep], scores[keep]
-            if held[best].sum() >= k:
+            full = int(np.searchsorted(np.cumsum(held[best[order]]), k)) + 1
+            if full <= len(order):
+                # Equal scores stay: their ids decide.
+                last = scores[order[full - 1]]
+                order = order[scores[order] >= last]
                 bound = min(bound, max(0.0, 2 - 2 * last) + 1e-12)
+            best, scores = best[order], scores[order]
         out.append(pd.DataFrame({"raw": [queries["raw"].iloc[i]] * len(best), "score": scores, "ids": list(rows["ids"].iloc[best]), "bound": bound}))
     return pd.concat(out) if out else pd.DataFrame({"raw": [], "score": [], "ids": [], "bound": []})
 

@@ -1,0 +1,222 @@
+"""Operators with a model or an index: mixing, neighbours, secrets, toxicity, extraction."""
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from shelfcast.llm import html_template, mixing, neighbours, secret_scan, toxicity
+
+FOLDER = "/root/testdata/sf0.01"
+
+
+# --- mixing ----------------------------------------------------------------------------------
+
+
+def soft_rows(spark, n=400, seed=3):
+    rng = np.random.default_rng(seed)
+    p = rng.dirichlet([0.4, 0.3, 0.2], n)
+    return spark.createDataFrame([(i, int(t), [float(x) for x in q]) for i, (t, q) in enumerate(zip(rng.integers(1, 500, n), p))], "id long, tokens long, posterior array<double>")
+
+
+def test_rates_meet_targets_and_stay_above_their_bound(spark):
+    soft = soft_rows(spark)
+    total = soft.agg(F.sum("tokens")).first()[0]
+    for share in ([0.5, 0.3, 0.2], [0.85, 0.1, 0.05]):
+        rated = mixing.fit_rates(soft, [total * s for s in share]).toPandas()
+        got = (np.stack(rated["posterior"]) * (rated["tokens"] * rated["rate"]).to_numpy()[:, None]).sum(axis=0)
+        assert rated["rate"].min() >= 0 and np.abs(got / total - share).max() < 0.02
+    held = mixing.fit_rates(soft.withColumn("low", F.lit(0.9)), [total * s for s in (0.5, 0.3, 0.2)], least="low").toPandas()
+    assert held["rate"].min() >= 0.9
+
+
+def test_mixing_moves_tokens_towards_the_targets(spark):
+    docs = spark.createDataFrame(
+        [(i, ("tea milk sugar cup " if i % 4 else "gear motor wheel oil ") * (5 + i % 7), "x", 1.0) for i in range(200)] + [(None, None, None, None), (900, "", "y", 2.0), (1, "tea milk", "z", 3.0)],
+        "doc_id long, text string, posterior string, rate double",
+    )
+    labels = spark.createDataFrame([(i, "kitchen" if i % 4 else "garage") for i in range(0, 200, 3)] + [(None, "garage"), (5, None)], "doc_id long, domain string")
+    mixed = mixing.mix(docs, labels, {"kitchen": 0.5, "garage": 0.5})
+    assert mixed.columns == [*docs.columns, "mixing"] and mixed.count() == docs.count()
+    sums = mixed.agg(*[F.sum(F.col(f"mixing.posterior.{d}") * F.col("mixing.tokens") * F.col("mixing.rate")).alias(d) for d in ("kitchen", "garage")]).first()
+    assert abs(sums.kitchen / (sums.kitchen + sums.garage) - 0.5) < 0.02
+    again = mixing.mix(docs.repartition(5), labels, {"kitchen": 0.5, "garage": 0.5})
+    rates = lambda m: sorted((str(r.doc_id), r.text or "", round(r.mixing.rate, 6), r.mixing.copies) for r in m.collect())
+    a, b = rates(again), rates(mixed)
+    assert a == b, [x for x in zip(a, b) if x[0] != x[1]][:4]
+    kept = mixing.realise(mixing.mix(docs, labels, {"kitchen": 0.9, "garage": 0.1}, keep=("kitchen",)))
+    assert kept.columns == docs.columns
+    assert {r[0] for r in kept.select("doc_id").collect()} >= {i for i in range(200) if i % 4}
+    assert kept.where("doc_id % 4 = 0 AND doc_id < 200").count() < 50
+    assert mixing.mix(docs.limit(0), labels, {"kitchen": 1.0}).isEmpty()
+    assert mixing.mix(docs, labels.limit(0), {"kitchen": 1.0}).where("mixing.rate <> 1").isEmpty()
+
+
+def test_mixing_runs_no_python(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    labels = mixing.label_domains(spark.read.parquet(f"{FOLDER}/labels.parquet"))
+    plan = mixing.mix(docs, labels, {"clean": 0.9, "toxic": 0.1})._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
+# --- neighbours ------------------------------------------------------------------------------
+
+
+def exact(rows, k):
+    ids = np.array([r[0] for r in rows])
+    v = np.array([r[1] for r in rows], dtype=np.float64)
+    n = np.sqrt((v**2).sum(axis=1))
+    out = {}
+    for i in range(len(rows)):
+        s = (v * v[i]).sum(axis=1) / (n * n[i])
+        order = [j for j in np.lexsort((ids, -np.round(s, 12))) if j != i][:k]
+        out[ids[i]] = [(ids[j], s[j]) for j in order]
+    return out
+
+
+def test_recall_on_the_table(spark):
+    vectors = spark.read.parquet(f"{FOLDER}/embeddings.parquet")
+    want = exact([(r.vec_id, r.embedding) for r in vectors.collect()], 5)
+    got = {}
+    for r in neighbours.nearest(vectors, queries=lambda i: i % 10 == 0).collect():
+        got.setdefault(r.query_id, {})[r["rank"]] = (r.vec_id, r.score)
+    hits = 0
+    for q, ranks in got.items():
+        assert sorted(ranks) == [1, 2, 3, 4, 5]
+        true = {i for i, _ in want[q]}
+        hits += len(true & {i for i, _ in ranks.values()})
+        scores = [ranks[i][1] for i in range(1, 6)]
+        assert scores == sorted(scores, reverse=True)
+    assert len(got) == 50 and hits / 250 >= 0.9
+
+
+def test_copies_ties_and_vectors_that_take_no_part(spark):
+    rows = [(i, [1.0, 2.0, 2.0]) for i in range(30, 0, -1)] + [(40, [2.0, 4.0, 4.0]), (41, [0.0, 1.0, 0.0]), (42, [0.0, 0.0, 0.0]), (43, None), (44, [1.0, None, 2.0]),
+            (45, [float("nan"), 1.0, 1.0]), (46, [float("inf"), 1.0, 1.0]), (47, [1.0]), (None, [1.0, 2.0, 2.0]), (41, [0.0, 1.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = {}
+    for r in neighbours.nearest(df).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
+    assert set(got) == {*range(1, 31), 40, 41}
+    assert sorted(got[20]) == [(1, 1), (2, 2), (3, 3), (4, 4), (5, 5)]
+    assert sorted(got[3]) == [(1, 1), (2, 2), (3, 4), (4, 5), (5, 6)]
+    assert sorted(got[41])[:2] == [(1, 41), (1, 41)] and len(got[41]) == 10
+    few = neighbours.nearest(df.where("vec_id IN (1, 2, 41)").dropDuplicates(["vec_id"]))
+    assert sorted((r.query_id, r["rank"]) for r in few.collect()) == [(q, k) for q in (1, 2, 41) for k in (1, 2)]
+    assert neighbours.nearest(df.limit(0)).isEmpty()
+
+
+def test_chi_square_and_cells():
+    assert abs(neighbours.chi_square_cdf(7.344, 8) - 0.5) < 1e-3 and abs(neighbours.chi_square_quantile(0.95, 8) - 15.507) < 1e-2
+    rng = np.random.default_rng(0)
+    points = rng.standard_normal((500, neighbours.DIRECTIONS))
+    nodes = neighbours.cells_of(points, 20)
+    cells = neighbours.cell_numbers(nodes, points)
+    for p in points[:20]:
+        bound = dict(neighbours.cell_distances(nodes, p))
+        true = ((points - p) ** 2).sum(axis=1)
+        assert all(true[i] >= bound[cells[i]] - 1e-9 for i in range(500))
+
+
+# --- secrets ---------------------------------------------------------------------------------
+
+
+def test_forest_learns_from_labelled_findings(spark):
+    rng = np.random.default_rng(1)
+    hexes = lambda n: "".join(rng.choice(list("0123456789abcdef"), n))
+    docs = []
+    for i in range(120):
+        docs += [(4 * i, f'the key word token = "{hexes(40)}" of the', "src/app.py", 1), (4 * i + 1, f"commit {hexes(40)} of the tree", "notes", 0),
+                 (4 * i + 2, f"call {''.join(rng.choice(list('0123456789'), 16))} now", "notes", 0), (4 * i + 3, f"password={hexes(18)} here", "src/app.py", 1)]
+    docs += [(None, None, None, None), (1000, "", "", None), (1001, "no finding at all", "x", None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, path string, label int")
+    lang = secret_scan.language(df)
+    found = secret_scan.candidates(df, lang, path="path")
+    assert found.count() == 480
+    labelled = found.join(df.select("doc_id", "label"), "doc_id").where("doc_id < 240")
+    judged = secret_scan.judge(found, labelled).join(df.select("doc_id", "label"), "doc_id").where("doc_id >= 240")
+    assert judged.where("is_secret <> label").count() <= 2
+    assert secret_scan.judge(found, labelled.where("label = 0")).where("is_secret = 1").isEmpty()
+    assert secret_scan.judge(found, labelled.limit(0)).where("score <> 0.5").isEmpty()
+    assert secret_scan.candidates(df.limit(0), lang).isEmpty()
+    row = found.where("doc_id = 0").first()
+    assert docs[0][1][row.start : row.start + len(row.finding)] == row.finding
+
+
+# --- toxicity --------------------------------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def toxic_model():
+    rng = np.random.default_rng(2)
+    plain, bad = [f"{a}{b}" for a in "ban cor dil fen gom hul".split() for b in "ar eth ino ul".split()], ["moronic", "stupid", "idiot"]
+    texts, labels = [], []
+    for i in range(400):
+        words = list(rng.choice(plain, 40))
+        if i % 4 == 0:
+            words[rng.integers(40)] = bad[i // 4 % 3]
+            words[rng.integers(40)] = bad[i // 4 % 3]
+        texts.append(" ".join(words))
+        labels.append(int(i % 4 == 0))
+    return toxicity.train(pa.array(texts), np.array(labels), epochs=20), plain
+
+
+def test_misspellings_share_ngrams_with_known_words(toxic_model):
+    model, plain = toxic_model
+    base = " ".join(plain)
+    scores = toxicity.score(model, pa.array([base, f"{base} idiot {base}", f"{base} idioot {base}", f"{base} stupidd {base}", "", None, base * 50, base * 50 + " moronic stupid"]))
+    assert scores[0] < 0.1 and scores[6] < 0.1
+    assert scores[1] >= 0.7 and scores[7] >= 0.7
+    assert all(s >= 4 * scores[0] for s in scores[[2, 3]])
+    alone = toxicity.score(model, pa.array(["idioot", "stupidd", "moronik", *plain]))
+    assert all(alone[:3] >= 0.7) and all(alone[3:] < 0.5)
+    assert scores[4] == scores[5]
+
+
+def test_windows_tile_whole_texts():
+    bag = toxicity._bags(pa.array(["a " * 100, None, "", "one", "b " * 24]))
+    assert np.diff(bag.text_at).tolist() == [5, 0, 0, 1, 1]
+    assert bag.at[0] == 0 and bag.at[-1] == 125 and np.diff(bag.at).max() <= toxicity.WINDOW
+
+
+def test_scores_on_rows_and_single_classes(spark, toxic_model):
+    model, plain = toxic_model
+    docs = spark.createDataFrame([(1, " ".join(plain), "x"), (1, " ".join(plain), "y"), (None, None, None), (2, "idiot", "z")], "doc_id long, text string, score string")
+    rows = toxicity.scored(docs, model).collect()
+    assert len(rows) == 4 and all(0 <= r.score <= 1 for r in rows)
+    assert {r.doc_id: r.predicted for r in rows}[2] == 1 and {r.doc_id: r.predicted for r in rows}[1] == 0
+    none = toxicity.fit(docs, spark.createDataFrame([], "doc_id long, toxic int"))
+    assert {r.score for r in toxicity.scored(docs, none).collect()} == {0.5}
+    one = toxicity.fit(docs, spark.createDataFrame([(1, 0)], "doc_id long, toxic int"))
+    assert all(r.score < 0.01 for r in toxicity.scored(docs, one).collect())
+
+
+# --- extraction ------------------------------------------------------------------------------
+
+PAGE = """<!DOCTYPE html><html><head><title>T {i}</title><style>p{{}}</style><script>var t="</p><article>";</script></head><body>
+<nav><ul><li><a href=/>Home</a><li>News {i}</ul></nav><div class="cookie-notice">We use cookies</div><div class="ad">Buy {i}</div>
+<article class="post"><h1>Title&nbsp;{i} &amp; more</h1><p>First <b>pa</b>ra&#39;{i}<br>line<p>Second   {i}
+para<div class="share-bar">Share this {i}</div><p>Follow our channel for news</p><form>Name {i}<input></form><!-- hidden {i} --></article>
+<section id="comments"><p>I liked it {i}</p></section><aside>Side {i}</aside><footer>&copy; host &middot; {i}</footer></body></html>"""
+
+
+def test_text_is_the_articles_slots(spark):
+    rows = [(i, f"http://a.example/{i}", PAGE.format(i=i)) for i in range(12)]
+    rows += [(50, "https://A.example:80/x", None), (51, None, ""), (52, "http://[bad", "<p>lone &lt;b&gt; text"), (53, "http://b.example", "<body><nav>no</nav><p>yes<p>too</body>"), (3, "http://a.example/3", PAGE.format(i=3))]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {}
+    for r in html_template.extract(pages).collect():
+        got.setdefault(r.page_id, []).append(r.text)
+    for i in range(12):
+        assert set(got[i]) == {f"Title {i} & more First para'{i} line Second {i} para"}, got[i]
+    assert len(got[3]) == 2 and got[50] == [""] and got[51] == [""]
+    assert got[52] == ["lone <b> text"] and got[53] == ["yes too"]
+    assert html_template.extract(pages.limit(0)).isEmpty()
+    assert html_template.extract(pages.select(F.col("page_id"), "url", "html", F.lit(1).alias("host"), F.lit("x").alias("texts"))).count() == len(rows)
+
+
+def test_vectors_make_classes(spark):
+    pages = spark.createDataFrame([(i, "http://a.example/x", PAGE.format(i=i)) for i in range(12)], "page_id long, url string, html string")
+    t = html_template.templates(pages).first()
+    assert t.pages == 12 and t.article.endswith("/article.post")
+    assert html_template.said_hash(t.article + "/p", "Follow our channel for news") in t.texts
