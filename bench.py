@@ -14,7 +14,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from shelfcast.catalog import collect_entries
-from shelfcast.session import local_session
+from shelfcast.session import local_session, run_tables
 
 HEADLINE = [
     "r01_reorder_plan",
@@ -47,7 +47,8 @@ def main() -> None:
     entries, seconds = collect_entries(), {}
     for name in names:
         start = time.time()
-        entries[name].run(spark, folder).write.format("noop").mode("overwrite").save()
+        with run_tables(spark):
+            entries[name].run(spark, folder).write.format("noop").mode("overwrite").save()
         seconds[name] = round(time.time() - start, 2)
         print(f"{name}: {seconds[name]}", file=sys.stderr, flush=True)
     print(

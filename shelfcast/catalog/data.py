@@ -29,7 +29,7 @@ def entry(name: str, sql: str | None = None):
 
 
 def panel(spark: SparkSession, folder: str) -> DataFrame:
-    return sales_panel(retail.sales(spark, folder))
+    return sales_panel(retail.sales(spark, folder), scope="global")
 
 
 # --- sources --------------------------------------------------------------------------------
@@ -475,7 +475,7 @@ FROM t WHERE price IS NOT NULL GROUP BY product_id
 )
 def _(spark, folder):
     """The way for groups of unlimited size, on every group."""
-    q = group_quantiles(gappy(spark, folder), ["product_id"], "price", [0.1, 0.5, 0.9], hot_distinct=0)
+    q = group_quantiles(gappy(spark, folder), ["product_id"], "price", [0.1, 0.5, 0.9])
     return q.select("product_id", *[F.round(F.col("quantiles")[i], 4).alias(n) for i, n in enumerate(("p10", "p50", "p90"))])
 
 
@@ -582,7 +582,16 @@ def _(spark, folder):
     return hot.select(*SERIES, "date", *[F.col(f"store_id_{s}").alias(f"store_id_{s.replace(' ', '_')}") for s in _STORES])
 
 
-@entry("f11_numeric_features")
+_SEEN = (
+    "promotion day_of_week day_of_month week_of_year month quarter day_of_year is_weekend sin_day_of_week cos_day_of_week sin_month "
+    "cos_month lag_1 lag_7 lag_14 lag_28 has_lag_1 has_lag_7 has_lag_14 has_lag_28 rolling_mean_7 rolling_std_7 rolling_min_7 "
+    "rolling_max_7 rolling_mean_14 rolling_mean_28 rolling_std_28 rolling_min_28 rolling_max_28 trend_ratio is_promotion "
+    "previous_price price_change price_change_pct"
+).split()
+_PRESENT = " UNION ALL ".join(f"SELECT '{n}' AS feature, count({n}) AS present FROM f" for n in _SEEN)
+
+
+@entry("f11_numeric_features", query("featured", f", f AS MATERIALIZED (SELECT *, {_FLAGS}, {_TREND}, {_CHANGE}, {_CHANGE_PCT} FROM featured) {_PRESENT}"))
 def _(spark, folder):
     """The columns a model may see, with how many rows have them."""
     engineered = features.engineer(panel(spark, folder))

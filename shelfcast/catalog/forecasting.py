@@ -213,6 +213,18 @@ def _(spark, folder):
     return selection.score_candidates(boosted.predict_boosted(model, names, scored))
 
 
+@entry("m17_boosted_champions")
+def _(spark, folder):
+    """Champions with the pooled trees as a candidate, and their demand of the coming week."""
+    engineered = materialise(features.engineer(panel(spark, folder)), "features")
+    pooled = flows.learn_boosted(engineered)
+    champions = materialise(flows.choose_models(engineered, pooled=pooled), "champions")
+    demand = flows.coming_demand(engineered, champions, pooled=pooled)
+    week = demand.groupBy(*SERIES).agg(F.sum("predicted_demand").alias("week_demand"), F.count(F.lit(1)).alias("days"))
+    chosen = champions.select(*SERIES, "model_type", F.size("all_results").alias("candidates"), "wape")
+    return chosen.join(week, SERIES)
+
+
 @entry("m16_recursive_forecast")
 def _(spark, folder):
     engineered, split = _learnt(spark, folder)

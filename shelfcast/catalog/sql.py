@@ -23,7 +23,9 @@ def query(needs: str, sql: str) -> str:
 
     for name in needs.split():
         visit(name)
-    parts = ",\n".join(f"{n} AS ({PARTS[n]})" for n in order)
+    # Candidates are used by several parts: made once, a reader that wants few rows waits for no repeats.
+    once = {n: "MATERIALIZED " if n.endswith("_cand") else "" for n in order}
+    parts = ",\n".join(f"{n} AS {once[n]}({PARTS[n]})" for n in order)
     rest = sql.strip()
     if not parts:
         return rest

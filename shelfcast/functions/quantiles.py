@@ -18,48 +18,34 @@ def group_quantiles(
     probs: Sequence[float],
     *,
     name: str = "quantiles",
-    hot_distinct: int = 1_000_000,
+    counts: DataFrame | None = None,
 ) -> DataFrame:
     """One row per group with an array of exact quantiles of the non-null values.
 
-    Values are first counted per ``(group, value)`` with map-side combine, so a
-    group of any number of rows spreads over the cluster and shrinks to its
-    distinct values.  Groups with up to ``hot_distinct`` distinct values finish
-    with the built-in weighted percentile.  For larger ones a sketch gives a
-    narrow bracket around every wanted rank, the counts below it are summed, and
-    only values inside the bracket are ranked.  Both ways are exact.
+    One way for groups of all sizes.  Values are counted per ``(group, value)`` with map-side
+    combine, so a group of any number of rows spreads over the cluster.  A sketch gives a
+    bracket around every wanted rank, widened to the next value on either side; counts below
+    it are summed and only the values inside are ranked.  A bracket that misses its rank
+    raises, so what comes out is exact and the same for any partitioning.  ``counts`` takes
+    the counted values (``keys``, ``_v``, ``_n``) where the caller has them.
     """
     keys = list(keys)
     present = rows.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
-    counts = present.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n"))
-    sizes = counts.groupBy(*keys).agg(F.count(F.lit(1)).alias("_distinct"), F.sum("_n").alias("_total"))
-    hot = sizes.where((F.col("_distinct") > hot_distinct) & (F.col("_total") > hot_distinct))
-
-    wanted = F.array(*[F.lit(float(p)) for p in probs])
-    usual = (
-        counts.join(hot.select(*keys), keys, "left_anti")
-        .groupBy(*keys)
-        .agg(F.percentile("_v", wanted, F.col("_n")).alias(name))
+    if counts is None:
+        counts = present.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n"))
+    margin = 2.0 / _ACCURACY
+    edges = [max(p - margin, 0.0) for p in probs] + [min(p + margin, 1.0) for p in probs]
+    sketch = present.groupBy(*keys).agg(
+        F.percentile_approx("_v", F.array(*[F.lit(e) for e in edges]), F.lit(_ACCURACY)).alias("_edges"),
+        F.count(F.lit(1)).alias("_total"),
     )
-    return usual.unionByName(_bracketed(present, counts, hot, keys, probs, name))
+    return _ranked(counts, sketch, keys, probs, name)
 
 
-def _bracketed(present, counts, hot, keys, probs, name) -> DataFrame:
-    margin = 2.0 / _ACCURACY
-    edges = [max(p - margin, 0.0) for p in probs] + [min(p + margin, 1.0) for p in probs]
+def _ranked(counts: DataFrame, sketch: DataFrame, keys: Sequence[str], probs: Sequence[float], name: str) -> DataFrame:
+    """Quantiles from counted values and, per group, ``_edges`` (lower, then upper) and ``_total``."""
     k = len(probs)
-    # With few rows the margin is less than a rank or two: the bracket is the whole range.
-    few = F.col("_total") <= 2 * _ACCURACY
-    sketch = (
-        present.join(hot.select(*keys), keys, "left_semi")
-        .groupBy(*keys)
-        .agg(
-            F.percentile_approx("_v", F.array(*[F.lit(e) for e in edges]), F.lit(_ACCURACY)).alias("_edges"),
-            F.min("_v").alias("_lo"),
-            F.max("_v").alias("_hi"),
-        )
-    )
-    brackets = sketch.join(hot.select(*keys, "_total"), keys).select(
+    brackets = sketch.select(
         *keys,
         F.inline(
             F.array(
@@ -67,8 +53,8 @@ def _bracketed(present, counts, hot, keys, probs, name) -> DataFrame:
                     F.struct(
                         F.lit(i).alias("_i"),
                         (F.lit(float(p)) * (F.col("_total") - 1)).alias("_rank"),
-                        (F.col("_lo") if p <= margin else F.when(few, F.col("_lo")).otherwise(F.col("_edges")[i])).alias("_from"),
-                        (F.col("_hi") if p >= 1 - margin else F.when(few, F.col("_hi")).otherwise(F.col("_edges")[k + i])).alias("_to"),
+                        F.col("_edges")[i].alias("_from"),
+                        F.col("_edges")[k + i].alias("_to"),
                     )
                     for i, p in enumerate(probs)
                 ]
@@ -77,16 +63,28 @@ def _bracketed(present, counts, hot, keys, probs, name) -> DataFrame:
     )
     group = [*keys, "_i"]
     placed = counts.join(brackets, keys)
-    below = placed.where(F.col("_v") < F.col("_from")).groupBy(*group).agg(F.sum("_n").alias("_below"))
-    inside = placed.where(F.col("_v").between(F.col("_from"), F.col("_to"))).join(below, group, "left")
+    under, over = F.col("_v") < F.col("_from"), F.col("_v") > F.col("_to")
+    around = placed.groupBy(*group).agg(
+        F.coalesce(F.sum(F.when(under, F.col("_n"))), F.lit(0)).alias("_below"),
+        F.max(F.when(under, F.col("_v"))).alias("_prev"),
+        F.max_by(F.when(under, F.col("_n")), F.when(under, F.col("_v"))).alias("_prev_n"),
+        F.min(F.when(over, F.col("_v"))).alias("_next"),
+    )
+    inside = placed.join(around, group).where(
+        (F.col("_v") >= F.coalesce("_prev", "_from")) & (F.col("_v") <= F.coalesce("_next", "_to"))
+    )
+    before = F.col("_below") - F.coalesce("_prev_n", F.lit(0))
     upto = Window.partitionBy(*group).orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = inside.withColumn("_cum", F.coalesce("_below", F.lit(0)) + F.sum("_n").over(upto))
+    ranked = inside.withColumn("_before", before).withColumn("_cum", F.col("_before") + F.sum("_n").over(upto))
+    lower, upper = F.floor("_rank"), F.ceil("_rank")
     picked = ranked.groupBy(*group, "_rank").agg(
-        F.min(F.when(F.col("_cum") > F.floor("_rank"), F.col("_v"))).alias("_a"),
-        F.min(F.when(F.col("_cum") > F.ceil("_rank"), F.col("_v"))).alias("_b"),
+        F.min(F.when(F.col("_cum") > lower, F.col("_v"))).alias("_a"),
+        F.min(F.when(F.col("_cum") > upper, F.col("_v"))).alias("_b"),
+        F.min("_before").alias("_before"),
     )
-    part = F.col("_rank") - F.floor("_rank")
-    picked = picked.withColumn("_q", F.when(part == 0, F.col("_a")).otherwise((1 - part) * F.col("_a") + part * F.col("_b")))
+    found = (F.col("_before") <= lower) & F.col("_a").isNotNull() & F.col("_b").isNotNull()
+    value = F.when(lower == upper, F.col("_a")).otherwise((upper - F.col("_rank")) * F.col("_a") + (F.col("_rank") - lower) * F.col("_b"))
+    picked = picked.withColumn("_q", F.when(found, value).otherwise(F.raise_error(F.lit("quantile outside its bracket")).cast("double")))
     return picked.groupBy(*keys).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("_i", "_q"))), lambda s: s["_q"]).alias(name)
     )

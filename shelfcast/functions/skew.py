@@ -9,14 +9,17 @@ from pyspark.sql import functions as F
 
 
 def hot_keys(rows: DataFrame, keys: Sequence[str], *, shares: int = 1000) -> DataFrame:
-    """Keys holding more than ``1/shares`` of all rows.
+    """Keys holding more than ``1/shares`` of all rows, and ``_fan``, the partitions each fills.
 
     There can be at most ``shares`` of them, whatever the data: that is the size
-    bound that makes broadcasting the result safe.
+    bound that makes broadcasting the result safe.  A key with half of the rows fills half
+    of the shuffle partitions, so no part of it is larger than an even partition.
     """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     tally = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
     everything = tally.agg(F.sum("_rows")).scalar()
-    return tally.where(F.col("_rows") * F.lit(shares) > everything).select(*keys)
+    fan = F.greatest(F.lit(2), F.ceil(F.col("_rows") * F.lit(parts) / everything)).cast("int")
+    return tally.where(F.col("_rows") * F.lit(shares) > everything).select(*keys, fan.alias("_fan"))
 
 
 def skew_join(
@@ -27,34 +30,33 @@ def skew_join(
     spread: Sequence[str],
     how: str = "inner",
     shares: int = 1000,
-    fan: int = 64,
     hot: DataFrame | None = None,
 ) -> DataFrame:
-    """Equi-join in which hot keys of ``rows`` are spread over ``fan`` partitions.
+    """Equi-join in which hot keys of ``rows`` are spread in proportion to their share.
 
     ``spread`` names columns that tell the rows of one key apart (an id); the salt
     is a hash of them, so a retried task salts its rows the same way.  Only the
-    lookup rows of hot keys are repeated, ``fan`` times each.  ``hot`` takes the
+    lookup rows of hot keys are repeated, ``_fan`` times each.  ``hot`` takes the
     result of ``hot_keys`` where several joins share it.
     """
     keys = list(keys)
     hot = hot_keys(rows, keys, shares=shares) if hot is None else hot
-    hot = F.broadcast(hot.withColumn("_hot", F.lit(True)))
+    hot = F.broadcast(hot)
     salted = (
         rows.join(hot, keys, "left")
         .withColumn(
             "_salt",
-            F.when(F.col("_hot"), F.pmod(F.xxhash64(*spread), F.lit(fan)).cast("int")).otherwise(F.lit(0)),
+            F.when(F.col("_fan").isNotNull(), F.pmod(F.xxhash64(*spread), F.col("_fan")).cast("int")).otherwise(F.lit(0)),
         )
-        .drop("_hot")
+        .drop("_fan")
     )
     repeated = (
         lookup.join(hot, keys, "left")
         .withColumn(
             "_salt",
-            F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(fan - 1))).otherwise(F.array(F.lit(0)))),
+            F.explode(F.when(F.col("_fan").isNotNull(), F.sequence(F.lit(0), F.col("_fan") - 1)).otherwise(F.array(F.lit(0)))),
         )
-        .drop("_hot")
+        .drop("_fan")
     )
     return salted.join(repeated, [*keys, "_salt"], how).drop("_salt")
 

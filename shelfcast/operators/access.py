@@ -22,8 +22,8 @@ def restrict(rows: DataFrame, users: DataFrame, user: str) -> DataFrame:
     """The rows of one user's stores; nothing for an unknown user or one without stores.
 
     The list is one field of one user, so it enters the filter as a value and the
-    rows are read once, without a join.
+    rows are read once, without a join.  A user with several rows has the union of their stores.
     """
-    mine = granted_stores(users.where(F.col("user") == user)).agg(F.first("stores")).scalar()
+    mine = granted_stores(users.where(F.col("user") == user)).agg(F.array_distinct(F.flatten(F.collect_list("stores")))).scalar()
     allowed = F.array_contains(mine, F.lit(ANY_STORE)) | F.array_contains(mine, F.col("store_id"))
     return rows.where(F.coalesce(allowed, F.lit(False)))

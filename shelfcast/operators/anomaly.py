@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfcast.functions.keys import SERIES, by_date, whole_series
@@ -113,8 +113,9 @@ def rule_flags(columns: Sequence[str], rules: AnomalyRules) -> list[tuple[Column
     spike_text = F.concat(
         F.lit("Unexplained demand spike ("), sales.cast("double").cast("string"), F.lit(") exceeds context boundaries.")
     )
+    missing = truthy(F.col("sales_missing")) if "sales_missing" in columns else F.lit(False)
     ranked: list[tuple[Column, Column]] = [
-        (sales.isNull(), flag("MISSING_DATA", "CRITICAL", 1.0, "Missing sales record.")),
+        (sales.isNull() | missing, flag("MISSING_DATA", "CRITICAL", 1.0, "Missing sales record.")),
         (
             truthy((sales == 0) & (F.col("_mean") > rules.drop_mean)),
             flag("DEMAND_DROP", "MEDIUM", 0.8, "Sudden 0-demand drop against high rolling average."),
@@ -259,8 +260,31 @@ def page(
     store_id: str | None = None,
     product_id: str | None = None,
 ) -> DataFrame:
-    """Q6: one page of records in series and date order."""
+    """Q6: one page of records in series and date order.
+
+    Records are counted per series; only the series the page falls in are ranked, so a deep
+    page gathers no earlier rows.  A series has one record per day at most.
+    """
     if page < 1 or not 1 <= page_size <= MAX_PAGE_SIZE:
         raise ValueError(f"page starts at 1 and page_size lies between 1 and {MAX_PAGE_SIZE}")
-    ordered = _chosen(found, store_id, product_id).orderBy(*SERIES, "date")
-    return ordered.offset((page - 1) * page_size).limit(page_size)
+    chosen = _chosen(found, store_id, product_id)
+    skip = (page - 1) * page_size
+    sizes = chosen.groupBy(*SERIES).agg(F.count(F.lit(1)).alias("_size"))
+    # Sizes are summed by store first, then within the stores the page touches.
+    stores = sizes.groupBy("store_id").agg(F.sum("_size").alias("_all"))
+    upto = Window.orderBy("store_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    stores = stores.withColumn("_start", F.sum("_all").over(upto) - F.col("_all"))
+    stores = stores.where((F.col("_start") < skip + page_size) & (F.col("_start") + F.col("_all") > skip))
+    inside = Window.partitionBy("store_id").orderBy("product_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    series = sizes.join(stores, "store_id").withColumn("_before", F.col("_start") + F.sum("_size").over(inside) - F.col("_size"))
+    series = series.where((F.col("_before") < skip + page_size) & (F.col("_before") + F.col("_size") > skip))
+    rank = F.row_number().over(Window.partitionBy(*SERIES).orderBy("date"))
+    place = F.col("_before") + rank
+    # At most as many series as rows on a page.
+    return (
+        chosen.join(F.broadcast(series.select(*SERIES, "_before")), SERIES)
+        .withColumn("_place", place)
+        .where((F.col("_place") > skip) & (F.col("_place") <= skip + page_size))
+        .orderBy("_place")
+        .select(*found.columns)
+    )

@@ -49,6 +49,9 @@ def train_boosted(
         maxDepth=depth,
         seed=SEED,
         checkpointInterval=10,
+        # Node ids are kept between levels; the histograms of a level fit one pass.
+        cacheNodeIds=True,
+        maxMemoryInMB=1024,
     ).fit(_vectors(learnt, features).select("sales", "_features"))
     return model, features
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from shelfcast.functions.keys import SERIES, by_date, by_series, whole_series
 from shelfcast.functions.numeric import no_nan
@@ -20,12 +21,13 @@ OUTLIER_MULTIPLIER = 1.5
 CARRIED = ["category", "price", "safety_stock", "lead_time_days"]
 
 
-def daily(df: DataFrame, *, by_category: bool = False, carry_supplied: bool = True) -> DataFrame:
+def daily(df: DataFrame, *, by_category: bool = False, carry_supplied: bool = True, keep_missing: bool = False) -> DataFrame:
     """One row per series and day.
 
     Unparseable dates and null keys are dropped.  With ``carry_supplied`` a
     supplied promotion, safety stock or lead time survives as its daily maximum;
-    without it the defaults replace them.  The aggregate combines before the
+    without it the defaults replace them.  ``keep_missing`` adds ``sales_missing``, true on
+    days without any known sale, for the anomaly scan.  The aggregate combines before the
     shuffle and its key holds the day, so long series spread out.
     """
     df = normalise_columns(df)
@@ -39,9 +41,13 @@ def daily(df: DataFrame, *, by_category: bool = False, carry_supplied: bool = Tr
     if "category" in df.columns and not by_category:
         aggs.append(F.min("category").alias("category"))
     supplied = [c for c in ("promotion", "safety_stock", "lead_time_days") if c in df.columns and carry_supplied]
-    aggs += [F.max(c).alias(c) for c in supplied]
+    # Texts become numbers first: the largest of '9' and '10' is 10, and 'n/a' counts as missing.
+    aggs += [F.max(c if isinstance(df.schema[c].dataType, NumericType) else _as_number(df, c)).alias(c) for c in supplied]
     if "Discount_Applied" in df.columns:
-        aggs.append(F.max("Discount_Applied").alias("Discount_Applied"))
+        aggs.append(F.max(no_nan(_as_number(df, "Discount_Applied"))).alias("Discount_Applied"))
+    if keep_missing:
+        # A day whose sales are all missing, which the sum turns into 0.
+        aggs.append((F.count(no_nan(_as_number(df, "sales"))) == 0).alias("sales_missing"))
     out = typed.dropna(subset=keys).groupBy(*keys).agg(*aggs)
 
     if "promotion" not in out.columns:
@@ -89,12 +95,13 @@ def clean(df: DataFrame, *, by_category: bool = False, carry_supplied: bool = Tr
 
 
 def densify(
-    panel: DataFrame, *, scope: str = "global", extent: DataFrame | None = None, flag: bool = False
+    panel: DataFrame, *, scope: str = "observed", extent: DataFrame | None = None, flag: bool = False
 ) -> DataFrame:
     """A row for every day of every series.
 
-    ``global``: every store with every product over the whole date range.
     ``observed``: only pairs that occur, each over its own range.
+    ``global``: every store with every product over the whole date range; that is stores x
+    products x days, for tables of few stores and products.
 
     Each row grows into itself plus the empty days up to the next row of its
     series, so the calendar is never joined or shuffled: the sparse rows move

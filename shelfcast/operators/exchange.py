@@ -69,8 +69,8 @@ def listings_of(listings: DataFrame, store_id: str) -> DataFrame:
 
 def requests_for(listings: DataFrame, requests: DataFrame, store_id: str) -> DataFrame:
     """Requests on a store's listings."""
-    own = listings_of(listings, store_id).select(F.col("id").alias("listing_id"))
-    return requests.join(own, "listing_id", "left_semi")
+    own = listings_of(listings, store_id).select(F.col("id").alias("listing_id")).distinct()
+    return skew_join(requests, own, ["listing_id"], spread=["id"]).select(*requests.columns)
 
 
 def buyer_needs(daily_forecasts: DataFrame, policy: InventoryPolicy = InventoryPolicy()) -> DataFrame:
@@ -146,7 +146,9 @@ def apply_requests(listings: DataFrame, requests: DataFrame) -> DataFrame:
 
 def matched_listings(listings: DataFrame, judged: DataFrame) -> DataFrame:
     """Listings after requests: those with an accepted request are MATCHED."""
-    taken = judged.where(F.col("outcome") == "accepted").select(F.col("listing_id").alias("id"), F.lit(True).alias("_taken"))
+    # One row per listing, however many requests of one date and id were accepted.
+    accepted = judged.where(F.col("outcome") == "accepted").groupBy(F.col("listing_id").alias("id"))
+    taken = accepted.agg(F.lit(True).alias("_taken"))
     return listings.join(taken, "id", "left").select(
         *[F.when(F.col("_taken"), MATCHED).otherwise(F.col("status")).alias("status") if c == "status" else c for c in listings.columns]
     )

@@ -18,6 +18,7 @@ from pyspark.sql.types import DateType, NumericType, StringType, TimestampNTZTyp
 
 from shelfcast.functions.quantiles import group_quantiles
 from shelfcast.functions.skew import skew_join
+from shelfcast.session import materialise
 from shelfcast.sources.sales import normalise_columns
 
 # Columns a sales table must have, and may have.
@@ -28,6 +29,16 @@ MISSING_DATE_PERCENT = 10
 OUTLIER_MULTIPLIER = 1.5
 OUTLIER_MIN_VALUES = 4
 
+# Date formats besides ISO, each with the shape of the texts it is tried on: month first.
+DATE_FORMATS = (
+    ("M/d/yyyy", r"^\d{1,2}/\d{1,2}/\d{4}$"),
+    ("M/d/yyyy H:mm", r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}$"),
+    ("M/d/yyyy H:mm:ss", r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}:\d{2}$"),
+    ("yyyy/M/d", r"^\d{4}/\d{1,2}/\d{1,2}$"),
+    ("M-d-yyyy", r"^\d{1,2}-\d{1,2}-\d{4}$"),
+    ("yyyyMMdd", r"^\d{8}$"),
+)
+
 CHECK_COLUMNS = "check string, severity string, scope string, n bigint, message string"
 _RANK = {"ERROR": 3, "WARNING": 2, "INFO": 1}
 
@@ -65,11 +76,14 @@ def _as_number(df: DataFrame, column: str) -> Column:
     return F.col(column).cast("string").try_cast("double")
 
 
-def _as_date(df: DataFrame, column: str = "date") -> Column:
+def _as_date(df: DataFrame, column: str = "date", formats: Sequence[str] = DATE_FORMATS) -> Column:
+    """The day of a date, a timestamp or a text; texts are ISO or in the first of ``formats`` that fits."""
     kind = df.schema[column].dataType
     if isinstance(kind, (DateType, TimestampType, TimestampNTZType)):
         return F.col(column).cast("date")
-    return F.to_date(F.try_to_timestamp(F.col(column).cast("string")))
+    text = F.trim(F.col(column).cast("string"))
+    tried = [F.when(text.rlike(shape), F.try_to_timestamp(text, F.lit(f))) for f, shape in formats]
+    return F.to_date(F.coalesce(F.try_to_timestamp(text), *tried))
 
 
 def _is_missing(df: DataFrame, column: str) -> Column:
@@ -124,19 +138,30 @@ def check_leakage(df: DataFrame) -> DataFrame:
 # --- counting checks ---------------------------------------------------------------------
 
 
-def check_single_store(df: DataFrame) -> DataFrame:
-    """V4"""
+# Checks that count over all rows: what they aggregate, and their findings on that one row.
+Counting = tuple[list[Column], list[Column]]
+
+
+def _checked(df: DataFrame, counting: Counting) -> DataFrame:
+    counts, found = counting
+    return _rows(df.agg(*counts), found) if counts else df.sparkSession.createDataFrame([], CHECK_COLUMNS)
+
+
+def _single_store(df: DataFrame) -> Counting:
     if "store_id" not in df.columns:
-        return df.sparkSession.createDataFrame([], CHECK_COLUMNS)
-    one = df.agg(F.countDistinct("store_id").alias("s"))
-    return _rows(one, [_finding("single_store", "INFO", (F.col("s") == 1).cast("int"), "Dataset contains only one store")])
+        return [], []
+    # The least and greatest store tell one from several without keeping them all.
+    one = (F.col("_store_lo") == F.col("_store_hi")).cast("int")
+    counts = [F.min("store_id").alias("_store_lo"), F.max("store_id").alias("_store_hi")]
+    return counts, [_finding("single_store", "INFO", one, "Dataset contains only one store")]
 
 
-def check_types(df: DataFrame) -> DataFrame:
-    """V6 and V7: values that are no numbers or dates.
+def check_single_store(df: DataFrame) -> DataFrame:
+    """V4"""
+    return _checked(df, _single_store(df))
 
-    Typed columns cannot fail, so only string columns are looked at.
-    """
+
+def _types(df: DataFrame) -> Counting:
     counts, found = [], []
     for column, label in (("sales", "Sales"), ("price", "Price")):
         if column in df.columns and not isinstance(df.schema[column].dataType, NumericType):
@@ -145,37 +170,58 @@ def check_types(df: DataFrame) -> DataFrame:
             found.append(_finding(f"{column}_numeric", "ERROR", F.col(f"_{column}"), f"{label} column is not numeric."))
     if isinstance(df.schema["date"].dataType, StringType):
         counts.append(F.count_if(F.col("date").isNotNull() & _as_date(df).isNull()).alias("_date"))
+        counts.append(F.count(_as_date(df)).alias("_dates"))
         found.append(_finding("date_format", "WARNING", F.col("_date"), "Date column contains unparseable values."))
-    return _rows(df.agg(*counts), found) if counts else df.sparkSession.createDataFrame([], CHECK_COLUMNS)
+        none = F.when((F.col("_dates") == 0) & (F.col("_date") > 0), F.col("_date"))
+        found.append(_finding("no_dates", "ERROR", none, "Date column has no readable date."))
+    return counts, found
+
+
+def check_types(df: DataFrame) -> DataFrame:
+    """V6 and V7: values that are no numbers or dates; a date column without any date is an error.
+
+    Typed columns cannot fail, so only string columns are looked at.
+    """
+    return _checked(df, _types(df))
+
+
+def _missing_counts(df: DataFrame) -> list[Column]:
+    counts = [
+        F.count_if(_as_date(df).isNull() if c == "date" else _is_missing(df, c)).alias(f"_m{i}")
+        for i, c in enumerate(df.columns)
+    ]
+    return [F.count(F.lit(1)).alias("_total"), *counts]
 
 
 def missing_values(df: DataFrame) -> DataFrame:
     """Missing values of every column, dates counted after parsing: ``(column, n, total)``."""
-    counts = [
-        F.count_if(_as_date(df).isNull() if c == "date" else _is_missing(df, c)).alias(f"m{i}")
+    pairs = [
+        F.struct(F.lit(c).alias("column"), F.col(f"_m{i}").alias("n"), F.col("_total").alias("total")) for i, c in enumerate(df.columns)
+    ]
+    return df.agg(*_missing_counts(df)).select(F.inline(F.array(*pairs)))
+
+
+def _missing(df: DataFrame) -> Counting:
+    found = [
+        _finding(
+            "missing_values",
+            "WARNING",
+            F.col(f"_m{i}"),
+            f"Column '{c}' has ",
+            F.col(f"_m{i}"),
+            " missing values (",
+            _percent(F.col(f"_m{i}"), F.col("_total")),
+            "%).",
+            scope=F.lit(c),
+        )
         for i, c in enumerate(df.columns)
     ]
-    one = df.agg(F.count(F.lit(1)).alias("total"), *counts)
-    pairs = [F.struct(F.lit(c).alias("column"), F.col(f"m{i}").alias("n"), F.col("total")) for i, c in enumerate(df.columns)]
-    return one.select(F.inline(F.array(*pairs)))
+    return _missing_counts(df), found
 
 
 def check_missing(df: DataFrame) -> DataFrame:
     """V8"""
-    found = _finding(
-        "missing_values",
-        "WARNING",
-        F.col("n"),
-        "Column '",
-        F.col("column"),
-        "' has ",
-        F.col("n"),
-        " missing values (",
-        _percent(F.col("n"), F.col("total")),
-        "%).",
-        scope=F.col("column"),
-    )
-    return missing_values(df).where(F.col("n") > 0).select(found.alias("f")).select("f.*")
+    return _checked(df, _missing(df))
 
 
 def extra_copies(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -193,25 +239,33 @@ def check_exact_duplicates(df: DataFrame) -> DataFrame:
     return _rows(one, [_finding("exact_duplicates", "WARNING", F.col("n"), "Found ", F.col("n"), " exact duplicate rows.")])
 
 
-def check_key_duplicates(df: DataFrame) -> DataFrame:
+def counted(df: DataFrame) -> DataFrame:
+    """Rows per series, date as given (``_raw``), day (``_d``) and sales (``_v``): what V10 and V15 to V17 count on."""
+    number = _as_number(df, "sales")
+    raw, day = (F.col("date"), _as_date(df)) if "date" in df.columns else (F.lit(None).cast("date"),) * 2
+    cells = df.select(*_key(df), raw.alias("_raw"), day.alias("_d"), F.when(~F.isnan(number), number).alias("_v"))
+    return cells.groupBy(*cells.columns).agg(F.count(F.lit(1)).alias("_c"))
+
+
+def check_key_duplicates(df: DataFrame, cells: DataFrame | None = None) -> DataFrame:
     """V10"""
     keys = ["date", "product_id"] + (["store_id"] if "store_id" in df.columns else [])
     label = f" duplicate rows based on ({', '.join(keys)})."
-    one = extra_copies(df, keys)
+    cells = counted(df) if cells is None else cells
+    one = cells.groupBy("_raw", *_key(df)).agg(F.sum("_c").alias("_c")).agg(F.coalesce(F.sum(F.col("_c") - 1), F.lit(0)).alias("n"))
     return _rows(one, [_finding("key_duplicates", "WARNING", F.col("n"), "Found ", F.col("n"), label)])
 
 
-def check_values(df: DataFrame, as_of: date) -> DataFrame:
-    """V11 to V14 in one pass: future dates, negative, zero and infinite sales."""
+def _values(df: DataFrame, as_of: date) -> Counting:
     sales = _as_number(df, "sales")
-    one = df.agg(
+    counts = [
         F.count_if(_as_date(df) > F.lit(as_of)).alias("future"),
         F.count_if((sales < 0) & ~F.isnan(sales)).alias("negative"),
         F.count_if(sales == 0).alias("zero"),
         F.count_if(F.abs(sales) == F.lit(float("inf"))).alias("infinite"),
-    )
-    return _rows(
-        one,
+    ]
+    return (
+        counts,
         [
             _finding("future_dates", "WARNING", F.col("future"), "Found ", F.col("future"), " rows with future dates."),
             _finding(
@@ -228,7 +282,12 @@ def check_values(df: DataFrame, as_of: date) -> DataFrame:
     )
 
 
-def sales_spikes(df: DataFrame) -> DataFrame:
+def check_values(df: DataFrame, as_of: date) -> DataFrame:
+    """V11 to V14 in one pass: future dates, negative, zero and infinite sales."""
+    return _checked(df, _values(df, as_of))
+
+
+def sales_spikes(df: DataFrame, cells: DataFrame | None = None) -> DataFrame:
     """Rows above the upper IQR fence of their series, as one count.
 
     Works on ``(series, value)`` counts: the rows of a series shrink to its
@@ -238,10 +297,11 @@ def sales_spikes(df: DataFrame) -> DataFrame:
     known = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
     number = _as_number(df, "sales")
     rows = df.where(known).select(*keys, F.when(~F.isnan(number), number).alias("_v")).where(F.col("_v").isNotNull())
-    counts = rows.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n"))
+    cells = counted(df) if cells is None else cells
+    counts = cells.where(known & F.col("_v").isNotNull()).groupBy(*keys, "_v").agg(F.sum("_c").alias("_n"))
     enough = counts.groupBy(*keys).agg(F.sum("_n").alias("_m")).where(F.col("_m") >= OUTLIER_MIN_VALUES)
     fence = (
-        group_quantiles(rows, keys, "_v", [0.25, 0.75])
+        group_quantiles(rows, keys, "_v", [0.25, 0.75], counts=counts)
         .join(enough, keys)
         .select(
             *keys,
@@ -252,9 +312,9 @@ def sales_spikes(df: DataFrame) -> DataFrame:
     return skew_join(counts, fence, keys, spread=["_v"]).agg(F.coalesce(F.sum(above), F.lit(0)).cast("bigint").alias("n"))
 
 
-def check_spikes(df: DataFrame) -> DataFrame:
+def check_spikes(df: DataFrame, cells: DataFrame | None = None) -> DataFrame:
     return _rows(
-        sales_spikes(df),
+        sales_spikes(df, cells),
         [
             _finding(
                 "sales_spikes",
@@ -268,18 +328,14 @@ def check_spikes(df: DataFrame) -> DataFrame:
     )
 
 
-def series_history(df: DataFrame) -> DataFrame:
+def series_history(df: DataFrame, cells: DataFrame | None = None) -> DataFrame:
     """Per series: records, expected days, missing days and their percentage."""
     keys = _key(df)
     known = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
     # Days are counted in two steps (series and day, then series): a long series
     # reaches the second step as one row per day.
-    daily = (
-        df.where(known)
-        .withColumn("_d", _as_date(df))
-        .groupBy(*keys, "_d")
-        .agg(F.count(F.lit(1)).alias("_c"))
-    )
+    cells = counted(df) if cells is None else cells
+    daily = cells.where(known).groupBy(*keys, "_d").agg(F.sum("_c").alias("_c"))
     spans = daily.groupBy(*keys).agg(
         F.sum("_c").alias("records"),
         (F.datediff(F.max("_d"), F.min("_d")) + 1).cast("bigint").alias("expected_days"),
@@ -291,7 +347,7 @@ def series_history(df: DataFrame) -> DataFrame:
     )
 
 
-def check_history(df: DataFrame, min_history: int) -> DataFrame:
+def check_history(df: DataFrame, min_history: int, cells: DataFrame | None = None) -> DataFrame:
     """Short series and series with many days missing."""
     name = F.concat_ws("-", *_key(df))
     short = _finding(
@@ -318,7 +374,7 @@ def check_history(df: DataFrame, min_history: int) -> DataFrame:
         "% missing rate).",
         scope=name,
     )
-    return series_history(df).select(F.inline(F.array(short, gaps))).where(F.col("n").isNotNull())
+    return series_history(df, cells).select(F.inline(F.array(short, gaps))).where(F.col("n").isNotNull())
 
 
 # --- all together -------------------------------------------------------------------------
@@ -328,22 +384,31 @@ def validate(df: DataFrame, *, min_history: int = 30, as_of: date) -> DataFrame:
     """All findings on a raw table.
 
     A missing required column ends the checks (V2).  When sales or price do not
-    parse as numbers, the checks on their values are held back (V20); typed
-    columns cannot fail that way, so the gate costs nothing for them.
+    parse as numbers, the checks on their values are held back (V20).  All counting checks
+    share one aggregate over the rows, the gate included; the checks on series read the
+    counted cells, written once.
     """
     df = normalise_columns(df)
     schema = check_schema(df)
     if any(c not in df.columns for c in REQUIRED_COLUMNS):
         return schema
-    types = check_types(df)
-    first = [schema, check_single_store(df), types, check_missing(df), check_exact_duplicates(df), check_key_duplicates(df)]
-    later = [check_values(df, as_of), check_spikes(df), check_history(df, min_history), check_leakage(df)]
-    gated = reduce(DataFrame.unionByName, later)
-    typed = all(isinstance(df.schema[c].dataType, NumericType) for c in ("sales", "price") if c in df.columns)
-    if not typed:
-        errors = types.agg(F.count_if(F.col("severity") == "ERROR")).scalar()
-        gated = gated.where(errors == 0)
-    return reduce(DataFrame.unionByName, [*first, gated])
+    cells = materialise(counted(df), "cells")
+    plain = [_single_store(df), _types(df), _missing(df)]
+    values = _values(df, as_of)
+    one = df.agg(*[c for counts, _ in [*plain, values] for c in counts])
+    # A check of values counts only if no text failed to be a number.
+    open_ = reduce(lambda x, y: x & y, [F.col(f"_{c}") == 0 for c in _untyped(df)], F.lit(True))
+    gated = [f.withField("n", F.when(open_, f["n"])) for f in values[1]]
+    first = [schema, _rows(one, [f for _, found in plain for f in found] + gated), check_exact_duplicates(df), check_key_duplicates(df, cells)]
+    later = [check_spikes(df, cells), check_history(df, min_history, cells), check_leakage(df)]
+    rest = reduce(DataFrame.unionByName, later)
+    if _untyped(df):
+        rest = rest.where(df.agg(*_types(df)[0]).select(open_).scalar())
+    return reduce(DataFrame.unionByName, [*first, rest])
+
+
+def _untyped(df: DataFrame) -> list[str]:
+    return [c for c in ("sales", "price") if c in df.columns and not isinstance(df.schema[c].dataType, NumericType)]
 
 
 def verdict(findings: DataFrame) -> DataFrame:

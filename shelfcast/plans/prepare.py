@@ -29,7 +29,14 @@ def daily_table(df: DataFrame, **options) -> DataFrame:
     return flag_outliers(_written(df, **options)[1])
 
 
-def sales_panel(df: DataFrame, *, scope: str = "global", **options) -> DataFrame:
+def sales_panel(df: DataFrame, *, scope: str = "observed", **options) -> DataFrame:
     """Raw rows to the gap-free daily panel."""
     days, filled = _written(df, **options)
     return densify(filled, scope=scope, extent=days, flag=True)
+
+
+def prepared(df: DataFrame, *, scope: str = "observed", **options) -> tuple[DataFrame, DataFrame]:
+    """The daily rows that exist (for the anomaly scan, with ``sales_missing``) and the panel, from one reading of the raw rows."""
+    days, filled = _written(df, keep_missing=True, **options)
+    panel = densify(filled.drop("sales_missing"), scope=scope, extent=days, flag=True)
+    return flag_outliers(filled), panel

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,6 +48,32 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+_written: list[str] = []
+
+
+def drop_written(spark: SparkSession, since: int = 0) -> None:
+    """Delete the tables ``materialise`` wrote in this process (from the ``since``-th on).
+
+    The owner of a run calls it once its results are stored: frames that read the tables
+    are of no use afterwards.
+    """
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    while len(_written) > since:
+        path = hadoop(_written.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
+@contextmanager
+def run_tables(spark: SparkSession) -> Iterator[None]:
+    """Tables written inside the block are deleted at its end."""
+    mark = len(_written)
+    try:
+        yield
+    finally:
+        drop_written(spark, mark)
+
+
 def materialise(df: DataFrame, name: str = "table") -> DataFrame:
     """Write ``df`` once to the shared folder and continue from the files.
 
@@ -54,5 +82,6 @@ def materialise(df: DataFrame, name: str = "table") -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/shelfcast-{name}-{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -2,9 +2,10 @@ import random
 from datetime import date, timedelta
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
-from shelfcast.functions.quantiles import group_quantiles
+from shelfcast.functions.quantiles import _ranked, group_quantiles
 from shelfcast.functions.skew import all_pairs_of, skew_join
 from shelfcast.operators import clean
 from shelfcast.plans.prepare import sales_panel
@@ -77,7 +78,7 @@ def test_panel_equals_the_same_steps_in_pandas(spark):
         (r.store_id, r.product_id, r.date.date()): (r.sales, int(r.promotion), int(r.is_outlier), None if pd.isna(r.price) else round(r.price, 9))
         for r in by_hand(rows).itertuples()
     }
-    for made in (sales_panel(df), clean.densify(clean.clean(df))):
+    for made in (sales_panel(df, scope="global"), clean.densify(clean.clean(df), scope="global")):
         got = {
             (r.store_id, r.product_id, r.date): (r.sales, r.promotion, r.is_outlier, None if r.price is None else round(r.price, 9))
             for r in made.collect()
@@ -99,21 +100,33 @@ def test_mixed_categories_keep_their_rows(spark):
         [(date(2026, 1, 1), "A", "X", "c1", 1.0), (date(2026, 1, 1), "A", "X", "c2", 2.0), (date(2026, 1, 3), "A", "X", "c1", 4.0)],
         "date date, store_id string, product_id string, category string, sales double",
     )
-    rows = clean.densify(clean.clean(df, by_category=True)).orderBy("date", "category").collect()
+    rows = clean.densify(clean.clean(df, by_category=True), scope="global").orderBy("date", "category").collect()
     assert [(r.date.day, r.category, r.sales) for r in rows] == [(1, "c1", 1.0), (1, "c2", 2.0), (2, "c2", 0.0), (3, "c1", 4.0)]
 
 
-def test_quantiles_agree_on_both_ways(spark):
+def test_quantiles_are_exact_for_groups_of_all_sizes(spark):
     rng = random.Random(1)
     rows = [("hot", rng.gauss(0, 5)) for _ in range(40000)] + [("hot", 1.0)] * 5000 + [("cold", float(i)) for i in range(7)] + [("one", 3.0), ("cold", None)]
+    rows += [(f"n{n}", float(rng.randint(0, 9))) for n in range(2, 14) for _ in range(n)]
     df = spark.createDataFrame(rows, "k string, v double")
-    probs = [0.0, 0.25, 0.5, 0.9, 1.0]
-    truth = {k: [pd.Series([v for x, v in rows if x == k and v is not None]).quantile(p) for p in probs] for k in ("hot", "cold", "one")}
-    for limit in (0, 100, 10**6):
-        got = {r.k: r.quantiles for r in group_quantiles(df, ["k"], "v", probs, hot_distinct=limit).collect()}
-        assert set(got) == set(truth)
-        for k in truth:
-            assert all(abs(a - b) < 1e-9 for a, b in zip(got[k], truth[k])), (limit, k)
+    probs = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
+    truth = {k: [pd.Series([v for x, v in rows if x == k and v is not None]).quantile(p) for p in probs] for k in {r[0] for r in rows}}
+    got = None
+    for parts in (1, 7):
+        before, got = got, {r.k: r.quantiles for r in group_quantiles(df.repartition(parts), ["k"], "v", probs).collect()}
+        assert before is None or before == got
+    assert set(got) == set(truth)
+    for k in truth:
+        assert all(abs(a - b) < 1e-9 for a, b in zip(got[k], truth[k])), k
+
+
+def test_a_bracket_that_misses_its_rank_raises(spark):
+    counts = spark.createDataFrame([("a", float(i), 1) for i in range(100)], "k string, _v double, _n long")
+    sketch = spark.createDataFrame([("a", [10.0, 12.0], 100)], "k string, _edges array<double>, _total long")
+    with pytest.raises(Exception, match="outside its bracket"):
+        _ranked(counts, sketch, ["k"], [0.5], "q").collect()
+    right = spark.createDataFrame([("a", [49.0, 49.0], 100)], "k string, _edges array<double>, _total long")
+    assert _ranked(counts, right, ["k"], [0.5], "q").first().q == [49.5]
 
 
 def test_skew_join_equals_plain_join(spark):
@@ -121,7 +134,7 @@ def test_skew_join_equals_plain_join(spark):
     lookup = spark.range(40).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
     for how in ("inner", "left"):
         want = {tuple(r) for r in rows.join(lookup, "k", how).select("id", "k", "v").collect()}
-        joined = skew_join(rows, lookup, ["k"], spread=["id"], how=how, shares=10, fan=8).select("id", "k", "v").collect()
+        joined = skew_join(rows, lookup, ["k"], spread=["id"], how=how, shares=10).select("id", "k", "v").collect()
         assert len(joined) == len(want) and {tuple(r) for r in joined} == want
 
 
