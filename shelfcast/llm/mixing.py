@@ -129,8 +129,8 @@ def fit_rates(soft: DataFrame, targets: Sequence[float], *, least: str | None =
 
     Projected gradient on the squared misfit of the expected domain totals, over rates of at
     least 0 (or of column ``least``), from rate 1.  The gradient is scaled by the second
-    moments of the documents that are free, not held at their bound: in that metric a step
-    that holds no further document lands on the targets.  A step that makes the misfit worse
+    moments of the documents, those held at their bound counting less: in that metric a step
+    that holds no further document nearly lands on the targets.  A step that makes the misfit worse
     is halved.  Documents move in proportion to the posterior, whatever their length.
 
     Every pass is one aggregation over the documents, of which the totals and moments (some
@@ -159,7 +159,8 @@ def fit_rates(soft: DataFrame, targets: Sequence[float], *, least: str | None =
     least_worst, step = math.inf, [0.0] * k
     for _ in range(STEPS):
         rated = now.withColumn("rate", stepped(F.col("rate"), steps))
-        free = F.when(F.col("rate") > bound, n).otherwise(0.0)
+        # Documents at their bound count a tenth: most stay there, some may leave it.
+        free = F.when(F.col("rate") > bound, n).otherwise(n / 10)
         sums = rated.agg(
             *[F.sum(F.col("rate") * n * p[i]).alias(f"t{i}") for i in range(k)],
             *[F.sum(free * p[i] * p[j]).alias(f"m{i}_{j}") for i, j in pairs],
@@ -179,7 +180,7 @@ def fit_rates(soft: DataFrame, targets: Sequence[float], *, least: str | None =
             now, steps = materialise(rated, "rates"), []
         a = [[(sums[f"m{min(i, j)}_{max(i, j)}"] or 0.0) for j in range(k)] for i in range(k)]
         for i in range(k):
-            a[i][i] += max(1e-6 * sum(sums[f"m{d}_{d}"] or 0.0 for d in range(k)), 1e-9)
+            a[i][i] += max(1e-9 * sum(sums[f"m{d}_{d}"] or 0.0 for d in range(k)), 1e-9)
         step = _solve(a, misfit)
         steps.append(step)
     return now.withColumn("rate", stepped(F.col("rate"), steps))
