@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfcast.catalog import Entry, plain, rounded
-from shelfcast.catalog.sql import part, query, r
+from shelfcast.catalog.sql import NEEDS, PARTS, part, query, r
 from shelfcast.functions.keys import SERIES
 from shelfcast.functions.quantiles import group_quantiles
 from shelfcast.operators import anomaly, clean, features, overview, validate
@@ -826,6 +827,99 @@ def _(spark, folder):
     return anomaly.page_totals(anomaly.records(anomaly.detect(scanned(spark, folder))), page_size=50, store_id="EUROPE")
 
 
+# The same over steadier sales in which every finding occurs.  Days and series are those of
+# the sales table; values follow from day and brand number, with an event every few days.
+_EVENT_SQL = """
+SELECT store_id, product_id, date, k % 5 AS calm, CASE WHEN k % 5 = 0 OR (k % 5 = 1 AND e > 1) THEN 96 ELSE e END AS e, base, price FROM (
+  SELECT store_id, product_id, date, k, (dn * 31 + k * 17) % 97 AS e, 40 + (dn * 13 + k) % 9 AS base, 10 + k % 3 AS price FROM (
+    SELECT store_id, product_id, date, CAST(date - DATE '1990-01-01' AS INTEGER) AS dn,
+           CAST(substr(product_id, 7) AS INTEGER) + length(store_id) AS k FROM days))
+"""
+part("y_events", "days", _EVENT_SQL)
+part(
+    "y_scan",
+    "y_events",
+    """
+SELECT store_id, product_id, date,
+       CAST(CASE WHEN e IN (0, 1, 8) THEN base * 30 WHEN e IN (2, 9) THEN 0 WHEN e = 3 THEN NULL ELSE base END AS DOUBLE) AS sales,
+       CAST(CASE WHEN e IN (4, 9) THEN 0 WHEN e = 5 THEN price * 5 ELSE price END AS DOUBLE) AS price,
+       CASE WHEN e = 1 THEN 1 ELSE 0 END AS is_promotion, isodow(date) - 1 AS day_of_week,
+       CAST(CASE WHEN e IN (6, 8) THEN -5 WHEN e = 7 THEN 3000 ELSE 500 END AS BIGINT) AS current_stock
+FROM y_events
+""",
+)
+part(
+    "y_fences",
+    "y_scan",
+    """
+SELECT store_id, product_id, quantile_cont(sales, 0.25) AS q1, quantile_cont(sales, 0.75) AS q3
+FROM y_scan GROUP BY store_id, product_id
+""",
+)
+for _name in ("measured", "bounded", "compared", "flagged", "series_quality"):
+    part(
+        f"y_{_name}",
+        " ".join(f"y_{n}" for n in NEEDS[_name]),
+        re.sub(r"\b(FROM|JOIN) (?=[a-z])", r"\1 y_", PARTS[_name]).replace(
+            "WHEN sales = 0 AND rmean > 10",
+            "WHEN sales IS NULL THEN {'t': 'MISSING_DATA', 's': 'CRITICAL', 'v': CAST(1 AS DOUBLE), 'r': 'Missing sales record.'}\n  WHEN sales = 0 AND rmean > 10",
+        ),
+    )
+
+
+def steady(spark, folder) -> DataFrame:
+    days = clean.daily(retail.sales(spark, folder)).select(*SERIES, "date")
+    dn = F.datediff("date", F.lit(date(1990, 1, 1)))
+    k = F.substring("product_id", 7, 9).cast("int") + F.length("store_id")
+    e = (dn * 31 + k * 17) % 97
+    days = days.select(*SERIES, "date", dn.alias("dn"), k.alias("k"), F.when((k % 5 == 0) | ((k % 5 == 1) & (e > 1)), 96).otherwise(e).alias("e"))
+    base, price, e = 40 + (F.col("dn") * 13 + F.col("k")) % 9, 10 + F.col("k") % 3, F.col("e")
+    sales = F.when(e.isin(0, 1, 8), base * 30).when(e.isin(2, 9), 0).when(e == 3, F.lit(None)).otherwise(base)
+    rows = days.select(
+        *SERIES,
+        "date",
+        sales.cast("double").alias("sales"),
+        F.when(e.isin(4, 9), 0).when(e == 5, price * 5).otherwise(price).cast("double").alias("price"),
+        (e == 1).cast("int").alias("promotion"),
+        F.when(e.isin(6, 8), -5).when(e == 7, 3000).otherwise(500).cast("bigint").alias("current_stock"),
+    )
+    return features.promotion_features(features.calendar_features(rows))
+
+
+@entry(
+    "a05_a13_steady_detect",
+    query(
+        "y_flagged",
+        f"""
+SELECT {_KEY}, sales, f.s <> 'NONE' AS is_anomaly, f.v AS anomaly_score, f.t AS anomaly_type,
+       f.s AS anomaly_severity, f.r AS anomaly_reason FROM y_flagged
+""",
+    ),
+)
+def _(spark, folder):
+    return anomaly.detect(steady(spark, folder)).select(*SERIES, "date", "sales", *anomaly.FLAG_COLUMNS)
+
+
+@entry(
+    "a14_finding_counts",
+    query("y_flagged", "SELECT f.t AS anomaly_type, f.s AS anomaly_severity, f.r LIKE '%price%' AS about_price, count(*) AS n FROM y_flagged GROUP BY ALL"),
+)
+def _(spark, folder):
+    """Rows per finding; every finding of the rules occurs."""
+    flags = anomaly.detect(steady(spark, folder))
+    return flags.groupBy("anomaly_type", "anomaly_severity", F.col("anomaly_reason").contains("price").alias("about_price")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@entry("q03_steady_quality", query("y_series_quality", "SELECT * FROM y_series_quality"))
+def _(spark, folder):
+    return anomaly.quality(anomaly.detect(steady(spark, folder)), SERIES)
+
+
+@entry("q04_status_counts", query("y_series_quality", "SELECT status, count(*) AS series FROM y_series_quality GROUP BY status"))
+def _(spark, folder):
+    return anomaly.quality(anomaly.detect(steady(spark, folder)), SERIES).groupBy("status").agg(F.count(F.lit(1)).alias("series"))
+
+
 # --- overview -------------------------------------------------------------------------------
 
 
