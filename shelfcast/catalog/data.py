@@ -13,7 +13,7 @@ from shelfcast.catalog.sql import NEEDS, PARTS, part, query, r
 from shelfcast.functions.keys import SERIES
 from shelfcast.functions.quantiles import group_quantiles
 from shelfcast.operators import anomaly, clean, features, overview, validate
-from shelfcast.plans.prepare import daily_table, sales_panel
+from shelfcast.plans.prepare import daily_table, prepared, sales_panel
 from shelfcast.sources import reports, retail, sales
 from shelfcast.streaming.sources import scratch
 
@@ -663,7 +663,16 @@ _STOCK_SQL = "CAST((CAST(date - DATE '1995-01-01' AS INTEGER) * 37 + CAST(sales
 
 
 def scanned(spark, folder) -> DataFrame:
-    days = daily_table(retail.sales(spark, folder))
+    return to_scan(daily_table(retail.sales(spark, folder)))
+
+
+def panel_and_scan(spark, folder) -> tuple[DataFrame, DataFrame]:
+    """The dense panel and the rows to scan, from one reading of the sales."""
+    days, dense = prepared(retail.sales(spark, folder), scope="global")
+    return dense, to_scan(days)
+
+
+def to_scan(days: DataFrame) -> DataFrame:
     day = F.datediff("date", F.lit(date(1995, 1, 1)))
     stock = (day * 37 + F.col("sales").cast("int") * 11) % 1400 - 20
     days = days.withColumn("price", F.round("price", 4)).withColumn("current_stock", stock.cast("bigint"))

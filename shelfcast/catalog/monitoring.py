@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfcast.catalog import Entry, plain, rounded
-from shelfcast.catalog.data import panel, scanned
+from shelfcast.catalog.data import panel, panel_and_scan
 from shelfcast.catalog.forecasting import serving
 from shelfcast.catalog.sql import part, query, r
 from shelfcast.functions.keys import SERIES
@@ -146,9 +146,13 @@ _FIGURES = ", ".join(
 )
 
 
-def engineered(spark, folder) -> DataFrame:
+def written_features(dense: DataFrame) -> DataFrame:
     """Written features, rounded so that equal values are equal in every engine's arithmetic."""
-    return materialise(rounded(features.engineer(panel(spark, folder)), 6), "features")
+    return materialise(rounded(features.engineer(dense), 6), "features")
+
+
+def engineered(spark, folder) -> DataFrame:
+    return written_features(panel(spark, folder))
 
 
 def sides(frame: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -202,10 +206,11 @@ def _has_model():
 
 
 def health(spark, folder) -> DataFrame:
-    frame = engineered(spark, folder)
+    dense, scan = panel_and_scan(spark, folder)
+    frame = written_features(dense)
     champions, pairs = served(frame)
     models = champions.where(_has_model()).withColumn("registered_at", F.lit(datetime(2002, 1, 1)))
-    quality = anomaly.quality(anomaly.detect(scanned(spark, folder)))
+    quality = anomaly.quality(anomaly.detect(scan))
     return flows.health_reports(frame, pairs, models, quality)
 
 
@@ -262,10 +267,11 @@ JOIN (SELECT store_id AS s, product_id AS x, data_quality_score AS quality FROM
 )
 def _(spark, folder):
     """Each series decided with its own quality score."""
-    frame = engineered(spark, folder)
+    dense, scan = panel_and_scan(spark, folder)
+    frame = written_features(dense)
     champions, pairs = served(frame)
     error = monitor.performance(pairs, champions.select(*SERIES, (F.col("wape") / 100).alias("ref_wape")))
-    quality = anomaly.quality(anomaly.detect(scanned(spark, folder)), SERIES)
+    quality = anomaly.quality(anomaly.detect(scan), SERIES)
     rows = (
         error.join(monitor.drift_summary(drift(frame)), SERIES)
         .join(quality.select(*SERIES, F.col("data_quality_score").alias("quality")), SERIES)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfcast.functions.keys import SERIES, by_series
@@ -45,30 +45,43 @@ def _deciles() -> Column:
     return F.array(*[F.lit(i / BUCKETS) for i in range(BUCKETS + 1)])
 
 
-def _bin() -> Column:
+def _bin(value: Column, edges: Column) -> Column:
     """The bin of ``value`` among ``edges``; null outside them or with fewer than two."""
-    value = F.col("value")
-    last = F.size("edges") - 1
-    inside = (last > 0) & (value >= F.element_at("edges", 1)) & (value <= F.element_at("edges", -1))
+    last = F.size(edges) - 1
+    inside = (last > 0) & (value >= F.element_at(edges, 1)) & (value <= F.element_at(edges, -1))
     # Spelt out edge by edge: a lambda over the array would be interpreted.
-    reached = sum((F.coalesce((F.get("edges", F.lit(i)) <= value).cast("int"), F.lit(0)) for i in range(BUCKETS + 1)), F.lit(0))
+    reached = sum((F.coalesce((F.get(edges, F.lit(i)) <= value).cast("int"), F.lit(0)) for i in range(BUCKETS + 1)), F.lit(0))
     return F.when(inside, F.least(reached, last))
 
 
-def _bins_of_series(long: DataFrame, group: Sequence[str]) -> DataFrame:
+def _bins_of_series(sides: DataFrame, features: Sequence[str], by: Sequence[str]) -> DataFrame:
     """Counts per bin where a group is a feature of one series.
 
-    Such a group has at most one value per day, so its edges come from a window and
-    nothing is moved beyond the rows of the series.
+    Such a group has at most one value per day.  One aggregate per series gives the edges of
+    all features; the wide rows meet them where they are and turn long with their bins only.
     """
     reference, production = F.col("side") == "reference", F.col("side") == "production"
-    edges = F.percentile(F.when(reference, F.col("value")), _deciles()).over(Window.partitionBy(*group))
-    return (
-        long.withColumn("edges", F.array_sort(F.array_distinct(edges)))
-        .where(F.col("edges").isNotNull())
-        .withColumn("bin", _bin())
-        .groupBy(*group, "bin")
-        .agg(F.count_if(reference).alias("r"), F.count_if(production).alias("p"), F.first(F.size("edges") - 1).alias("bins"))
+    edges = sides.groupBy(*by).agg(
+        *[
+            F.array_sort(F.array_distinct(F.percentile(F.when(reference, F.col(f).cast("double")), _deciles()))).alias(f"_e{i}")
+            for i, f in enumerate(features)
+        ]
+    )
+
+    def cell(i: int, feature: str) -> Column:
+        value, own = F.col(feature).cast("double"), F.col(f"_e{i}")
+        return F.struct(
+            F.lit(feature).alias("feature"),
+            F.lit(i).alias("position"),
+            (value.isNotNull() & own.isNotNull()).alias("_in"),
+            _bin(value, own).alias("bin"),
+            (F.size(own) - 1).alias("_bins"),
+        )
+
+    cells = F.array(*[cell(i, f) for i, f in enumerate(features)])
+    long = sides.join(edges, list(by)).select(*by, "side", F.inline(cells)).where("_in")
+    return long.groupBy(*by, "feature", "position", "bin").agg(
+        F.count_if(reference).alias("r"), F.count_if(production).alias("p"), F.first("_bins").alias("bins")
     )
 
 
@@ -86,22 +99,19 @@ def _bins_of_groups(long: DataFrame, group: Sequence[str]) -> DataFrame:
     edges = edges.withColumn("edges", F.array_sort(F.array_distinct("edges")))
     return (
         skew_join(counts, edges, group, spread=["value"])
-        .withColumn("bin", _bin())
+        .withColumn("bin", _bin(F.col("value"), F.col("edges")))
         .groupBy(*group, "bin")
         .agg(F.sum("r").alias("r"), F.sum("p").alias("p"), F.first(F.size("edges") - 1).alias("bins"))
     )
 
 
-def stability_index(long: DataFrame, by: Sequence[str] = SERIES) -> DataFrame:
-    """Population stability index per group and feature.
+def stability_index(bins: DataFrame, group: Sequence[str]) -> DataFrame:
+    """Population stability index per group from its counts per bin.
 
-    ``side`` is ``reference`` or ``production``.  The edges are the deciles of the
-    reference; values outside them are left out, the last bin includes its upper
-    edge, and every bin counts at least 1.  Fewer than two distinct edges, or no
-    production values, give 0.
+    The edges of the bins are the deciles of the reference; values outside them are left
+    out, the last bin includes its upper edge, and every bin counts at least 1.  Fewer than
+    two distinct edges, or no production values, give 0.
     """
-    group = [*by, "feature", "position"]
-    bins = (_bins_of_series if set(SERIES) <= set(by) else _bins_of_groups)(long, group)
     used = F.col("bin").isNotNull()
     floored = {s: F.when(used, F.greatest(F.col(s), F.lit(1))) for s in ("r", "p")}
     totals = bins.groupBy(*group).agg(
@@ -137,15 +147,19 @@ def feature_drift(
 ) -> DataFrame:
     """D2 for all groups and features in one job; absent features are skipped.
 
-    Per series the wide rows move to their series before they are made long.
+    Per series the wide rows move to their series once and stay there; ``side`` is
+    ``reference`` or ``production``.
     """
     kept = [f for f in features if f in reference.columns and f in production.columns]
     sides = reference.select(*by, *kept, F.lit("reference").alias("side")).unionByName(
         production.select(*by, *kept, F.lit("production").alias("side"))
     )
+    group = [*by, "feature", "position"]
     if set(SERIES) <= set(by):
-        sides = by_series(sides)
-    return stability_index(to_long(sides, kept, by), by)
+        bins = _bins_of_series(by_series(sides), kept, by)
+    else:
+        bins = _bins_of_groups(to_long(sides, kept, by), group)
+    return stability_index(bins, group)
 
 
 def drift_summary(drift: DataFrame, by: Sequence[str] = SERIES) -> DataFrame:
