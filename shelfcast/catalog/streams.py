@@ -10,6 +10,7 @@ from shelfcast.catalog.sql import query, r
 from shelfcast.catalog.stock import _ALERT
 from shelfcast.functions.keys import SERIES
 from shelfcast.operators import anomaly, clean, inventory
+from shelfcast.session import materialise
 from shelfcast.sources import retail
 from shelfcast.streaming import sales as stream_sales
 from shelfcast.streaming import transfers
@@ -44,6 +45,18 @@ def _(spark, folder):
     return rounded(run_available(totals, scratch(spark, "w01")))
 
 
+@entry(
+    "w01_all_days",
+    f"SELECT CAST(ts AS DATE) AS date, user_id, event_type, count(*) AS events, {r('sum(value)')} AS sales FROM events GROUP BY ALL",
+)
+def _(spark, folder):
+    """Every day, the last ones as they stand: the stream in update mode, newest row of each key."""
+    events = event_time(table_stream(spark, folder, "events"))
+    totals = stream_sales.daily_totals(events, ["user_id", "event_type"], value="value")
+    updates = run_available(totals, scratch(spark, "w01"), mode="update")
+    return rounded(newest(updates, ["date", "user_id", "event_type"]))
+
+
 @entry(
     "w02_rule_flags",
     query(
@@ -76,7 +89,8 @@ def _(spark, folder):
             F.weekday(F.col("l_shipdate").cast("date")).alias("day_of_week"),
         )
     )
-    bounds = anomaly.demand_bounds(clean.daily(retail.sales(spark, folder)))
+    # Written once: a micro-batch reads a row per series, not the sales again.
+    bounds = materialise(anomaly.demand_bounds(clean.daily(retail.sales(spark, folder))), "bounds")
     flags = run_available(stream_sales.rule_flags(rows, bounds), scratch(spark, "w02"))
     return flags.groupBy(*SERIES, "date", "anomaly_type").agg(
         F.count(F.lit(1)).alias("n"), F.round(F.sum("anomaly_score"), 2).alias("score")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -15,7 +16,13 @@ from shelfcast.operators.inventory import alerts
 STATE = "state string, at array<bigint>, id array<bigint>, action array<string>"
 
 
-def _advance(key: tuple, batches: Iterator[pd.DataFrame], memory: GroupState) -> Iterator[pd.DataFrame]:
+# A transfer without actions for so long is forgotten; its last state stays in the sink.
+KEEP_DAYS = 90
+
+
+def _advance(
+    key: tuple, batches: Iterator[pd.DataFrame], memory: GroupState, keep_days: int = KEEP_DAYS
+) -> Iterator[pd.DataFrame]:
     """Hold actions until the watermark has passed them, then apply them in time order."""
     state, at, ids, actions = memory.get if memory.exists else (FIRST_STATE, [], [], [])
     waiting = list(zip(at, ids, actions))
@@ -27,19 +34,26 @@ def _advance(key: tuple, batches: Iterator[pd.DataFrame], memory: GroupState) ->
     waiting = waiting[len(ready) :]
     for _, _, action in ready:
         state = TRANSITIONS.get((state, action), state)
+    if memory.hasTimedOut and not waiting and not ready:
+        memory.remove()
+        return
     memory.update((state, [w[0] for w in waiting], [w[1] for w in waiting], [w[2] for w in waiting]))
     if waiting:
         memory.setTimeoutTimestamp(max(waiting[0][0] // 1000 + 1, memory.getCurrentWatermarkMs() + 1))
+    else:
+        memory.setTimeoutTimestamp(memory.getCurrentWatermarkMs() + 1 + keep_days * 86_400_000)
     if ready:
         yield pd.DataFrame({"transfer_id": [key[0]], "state": [state]})
 
 
-def transfer_states(actions: DataFrame, *, delay: str = "1 day") -> DataFrame:
+def transfer_states(actions: DataFrame, *, delay: str = "1 day", keep_days: int = KEEP_DAYS) -> DataFrame:
     """``(transfer_id, state)`` whenever a transfer has moved on; run in update mode.
 
     Only the three actions that can move a transfer are kept, and of these only the
     ones inside the watermark's delay wait in state, so the state of a transfer is
-    bounded by its actions of that time span, not by its history.
+    bounded by its actions of that time span, not by its history.  Transfers idle for
+    ``keep_days`` of event time leave the state store; for many of them set the RocksDB
+    store (``spark.sql.streaming.stateStore.providerClass``).
     """
     steps = [a for a, _ in STEPS]
     return (
@@ -48,7 +62,7 @@ def transfer_states(actions: DataFrame, *, delay: str = "1 day") -> DataFrame:
         .select("transfer_id", "ts", "event_id", "action", F.unix_micros("ts").alias("at_us"))
         .groupBy("transfer_id")
         .applyInPandasWithState(
-            _advance, "transfer_id string, state string", STATE, "update", GroupStateTimeout.EventTimeTimeout
+            partial(_advance, keep_days=keep_days), "transfer_id string, state string", STATE, "update", GroupStateTimeout.EventTimeTimeout
         )
     )
 
