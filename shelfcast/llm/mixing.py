@@ -85,7 +85,7 @@ def train(docs: DataFrame, labelled: DataFrame, *, id_col: str, text: str, domai
     first domain in order.
     """
     one = labelled.where(F.col(id_col).isNotNull() & F.col(domain).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.min(F.col(domain).cast("string")).alias("_domain"))
-    chosen = one.orderBy(F.xxhash64("_id"), "_id").limit(sample)
+    chosen = materialise(one.orderBy(F.xxhash64("_id"), "_id").limit(sample), "sample")
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(chosen), "_id")  # ``sample`` rows
     rows = materialise(rows.select("_domain", "_text", (F.pmod(F.xxhash64("_id", F.lit(2)), F.lit(3)) == 0).alias("_aside")), "labelled")
     sizes = {r[0]: r[1] for r in rows.groupBy("_domain").count().collect()}

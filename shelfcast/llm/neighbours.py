@@ -231,7 +231,9 @@ def nearest(
             )
 
     rows = materialise(plain.mapInArrow(packed, "raw binary, ids array<long>, asked array<long>"), "vectors")
-    sample = rows.select("raw").orderBy(F.xxhash64("raw"), "raw").limit(SAMPLE).toPandas()["raw"].tolist()
+    # Written first, so that the tasks' samples meet in a shuffle and ``SAMPLE`` rows reach the driver.
+    sample = materialise(rows.select("raw").orderBy(F.xxhash64("raw"), "raw").limit(SAMPLE), "sample").toPandas()["raw"].tolist()
+    sample.sort()
     lengths = pd.Series([len(r) for r in sample], dtype="int64").value_counts()
     size = max((n, b) for b, n in lengths.items())[1] if len(lengths) else 8
     sample = [r for r in sample if len(r) == size]

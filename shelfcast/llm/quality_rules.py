@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfcast.llm.tables import words_of
+from shelfcast.llm.tables import free_name, words_of
 
 # Common function words of the four languages of the corpus.
 STOP_WORDS = (
@@ -154,4 +154,9 @@ def judge(docs: DataFrame, *, rules: Sequence[Rule] = RULES, text: str = "text",
 
 def keep_good(docs: DataFrame, *, rules: Sequence[Rule] = RULES, text: str = "text") -> DataFrame:
     """The documents that pass, with their columns unchanged."""
-    return judge(docs, rules=rules, text=text, out="quality ").where(F.col("`quality `.kept")).drop("quality ")
+    verdict, number = free_name(docs, "quality"), free_name(docs, "number")
+    judged = judge(docs, rules=rules, text=text, out=verdict)
+    # A filter on a plain column is moved below its projections, with the whole verdict copied
+    # into it and worked out anew for every use; one that also reads a row number stays above.
+    judged = judged.withColumn(number, F.monotonically_increasing_id())
+    return judged.where(F.col(f"{verdict}.kept") & (F.col(number) >= 0)).drop(verdict, number)

@@ -56,7 +56,8 @@ def language(docs: DataFrame, *, text: str = "text", size: int = DICTIONARY) ->
     """The most frequent words of all documents (ties by the word), counted by Spark."""
     words = docs.select(F.explode(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), "[^\\p{L}]+")).alias("w"))
     words = words.where(F.length("w").between(2, 24)).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-    top = words.orderBy(F.desc("n"), "w").limit(size).toPandas()  # bounded by ``size``
+    # Written before it is read here: the tasks' own top words meet in a shuffle, not in the driver.
+    top = materialise(words.orderBy(F.desc("n"), "w").limit(size), "dictionary").orderBy(F.desc("n"), "w").toPandas()
     counts = np.ones((128, 128))
     for w, n in zip(top["w"], top["n"], strict=True):
         codes = [ord(c) for c in f" {w} " if ord(c) < 128]

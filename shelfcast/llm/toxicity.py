@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfcast.llm.shingles import span_hashes, word_spans
+from shelfcast.session import materialise
 
 # Size of the table and of its vectors, n-gram lengths in bytes.
 BUCKETS = 1 << 20
@@ -222,6 +223,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text: str
     chosen = one.where("_label = 1").orderBy(order, "_id").limit(sample).unionByName(
         one.where("_label = 0").orderBy(order, "_id").limit(sample)
     )
+    chosen = materialise(chosen, "sample")
     # Two samples of fixed size: safe to broadcast, and the texts to the driver are as many.
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(chosen), "_id")
     rows = rows.select("_id", "_text", F.col("_label").cast("int").alias("_label")).toArrow().sort_by([("_id", "ascending"), ("_text", "ascending")])
