@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from shelfcast.session import materialise
+
 # Rank error of the sketch is rows / _ACCURACY; the bracket is twice as wide.
 _ACCURACY = 10_000
 
@@ -39,7 +41,8 @@ def group_quantiles(
         F.percentile_approx("_v", F.array(*[F.lit(e) for e in edges]), F.lit(_ACCURACY)).alias("_edges"),
         F.count(F.lit(1)).alias("_total"),
     )
-    return _ranked(counts, sketch, keys, probs, name)
+    # A row per group, written: the brackets are used twice.
+    return _ranked(counts, materialise(sketch, "sketch"), keys, probs, name)
 
 
 def _ranked(counts: DataFrame, sketch: DataFrame, keys: Sequence[str], probs: Sequence[float], name: str) -> DataFrame:
