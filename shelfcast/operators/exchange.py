@@ -11,6 +11,7 @@ from shelfcast.functions.keys import SERIES
 from shelfcast.functions.numeric import half_even
 from shelfcast.functions.skew import hot_keys, skew_join
 from shelfcast.operators.inventory import InventoryPolicy, daily_units, decide
+from shelfcast.session import materialise
 
 # Assumed stock and lead time of a buyer, score parts, state steps.
 BUYER_STOCK = 5
@@ -128,13 +129,14 @@ def apply_requests(listings: DataFrame, requests: DataFrame) -> DataFrame:
     a listing with very many requests is not gathered.
     """
     offers = listings.select(F.col("id").alias("listing_id"), F.col("status").alias("_status"), F.col("available_qty").alias("_qty"))
-    hot = hot_keys(requests, ["listing_id"])
-    seen = skew_join(requests, offers, ["listing_id"], spread=["id"], hot=hot)
+    # Written once: the tally of hot listings, the search for the first and the verdict read it.
+    rows = materialise(requests, "requests")
+    hot = hot_keys(rows, ["listing_id"])
+    seen = skew_join(rows, offers, ["listing_id"], spread=["id"], how="left", hot=hot)
     valid = F.coalesce((F.col("_status") == LISTED) & (F.col("requested_qty") <= F.col("_qty")), F.lit(False))
     order = F.struct("requested_on", "id")
     first = seen.where(valid).groupBy("listing_id").agg(F.min(order).alias("_first"))
-    lookup = offers.join(first, "listing_id", "left")
-    judged = skew_join(requests, lookup, ["listing_id"], spread=["id"], how="left", hot=hot)
+    judged = skew_join(seen, first, ["listing_id"], spread=["id"], how="left", hot=hot)
     too_late = order > F.col("_first")
     outcome = (
         F.when(F.coalesce(F.col("_status") != LISTED, F.lit(True)) | F.coalesce(too_late, F.lit(False)), "Listing unavailable")
@@ -163,7 +165,7 @@ def fold_transfers(actions: DataFrame, key: str = "transfer_id") -> DataFrame:
     transfer are never listed.  Actions out of turn are counted as refused.
     """
     at = F.struct("ts", "event_id")
-    rows = actions.select(key, "ts", "event_id", "action")
+    rows = materialise(actions.select(key, "ts", "event_id", "action"), "actions")  # every step reads them
     hot = hot_keys(rows, [key])
     moments = rows.where(F.col("action") == STEPS[0][0]).groupBy(key).agg(F.min(at).alias("_t0"))
     for i, (action, _) in enumerate(STEPS[1:], start=1):
