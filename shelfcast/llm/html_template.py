@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from shelfcast.functions.skew import skew_join
 from shelfcast.session import materialise
 
 # A host needs so many pages before texts can count as template.
@@ -224,7 +225,9 @@ def templates(pages: DataFrame, *, url: str = "url", html: str = "html") -> Data
     tokens = materialise(tokens, "tokens")
     hosts = tokens.where("path = ''").select("host", F.col("pages").alias("all"))
     # What is on nearly all pages of a host: as much as one page has, whatever the host's size.
-    common = tokens.where("path IS NULL OR path <> ''").join(hosts, "host").where(F.col("pages") >= F.col("all") * SUPPORT)
+    # A host with a third of the pages has a large share of the tokens: hot hosts are spread.
+    own = tokens.where("path IS NULL OR path <> ''")
+    common = skew_join(own, hosts, ["host"], spread=["said", "path"]).where(F.col("pages") >= F.col("all") * SUPPORT)
     classes = common.groupBy("host", "v1", "v2", "pages").agg(F.count(F.lit(1)).alias("_size")).where(F.col("_size") >= LEAST_TOKENS)
     valid = common.join(classes.select("host", "v1", "v2", "pages"), ["host", "v1", "v2", "pages"])
     texts = valid.where(F.col("said").isNotNull() & (F.col("all") >= LEAST_PAGES)).groupBy("host").agg(F.collect_list("said").alias("texts"))
