@@ -186,7 +186,8 @@ class JaccardJoin:
 
     def _sets_of(self, pairs: DataFrame) -> DataFrame:
         keys = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
-        ids = self.members.join(keys, "key").groupBy("key").agg(F.min("id").alias("id")).select("id").distinct()
+        # Copies combine before they move: a class leaves each task as one row.
+        ids = self.members.groupBy("key").agg(F.min("id").alias("id")).join(keys, "key").select("id").distinct()
         ids = materialise(ids, "ids")
         few = ids.count() <= BROADCAST_IDS
         ids = ids.withColumnRenamed("id", "_id")

@@ -134,15 +134,12 @@ def judge(docs: DataFrame, *, rules: Sequence[Rule] = RULES, text: str = "text",
     """``docs`` with a struct ``out``: the measures, ``base_failed``, ``broken`` rules and ``kept``.
 
     Rows are judged one by one, so repeated rows and null ids get their own verdicts; an
-    empty table gives an empty table.  Columns of ``docs`` may have any name but ``out``
-    and the operator's own, which start with an underscore; those raise.
+    empty table gives an empty table.  Columns of ``docs`` may have any name but ``out``.
     """
-    own = {out, "_m", "_w", "_l", "_h", "_full", "_again", "_s", "_p", "_n", "_chars", "_sym", "_ex", "_lines", "_dup", "_rep", "_stop", "_cap"}
-    kept_names = [f"c{i}" for i in range(len(docs.columns))]
     if out in docs.columns:
         raise ValueError(f"{out} is already a column")
-    # Own names while measuring, so that no column of the caller can clash with an inner one.
-    assert not own & set(kept_names)
+    # Plain names while measuring, so that no column of the caller can clash with an inner one.
+    kept_names = [f"c{i}" for i in range(len(docs.columns))]
     inner = docs.toDF(*kept_names)
     measured = measure(inner, kept_names[docs.columns.index(text)])
     m = F.col("_m")

@@ -9,7 +9,6 @@ candidates are secrets.  Dictionary and transitions come from the words of all d
 
 from __future__ import annotations
 
-import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
