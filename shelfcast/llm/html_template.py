@@ -10,6 +10,9 @@ hold the text; texts in it that are template tokens themselves are no data and g
 Vectors are never gathered: a page adds a hash of (page, count) to two sums per token, and
 equal sums stand for equal vectors, so a host with a third of all pages combines in every
 task and no group is collected.  A host's template is as small as one page.
+
+Pages are counted as different pages: copies of one HTML text on a host are one page, or
+an article that fills nine tenths of a host's rows would be taken for its template.
 """
 
 from __future__ import annotations
@@ -29,13 +32,15 @@ from pyspark.sql import types as T
 from shelfcast.functions.skew import skew_join
 from shelfcast.session import materialise
 
-# A host needs so many pages before texts can count as template.
+# A host needs so many different pages before texts can count as template.
 LEAST_PAGES = 5
 # A class is on this share of a host's pages at least, and has so many tokens.
 SUPPORT = 0.9
 LEAST_TOKENS = 4
 # Templates of so many hosts are broadcast; beyond that they are joined by shuffle.
 BROADCAST_HOSTS = 20_000
+# Hashes of pages found more than once are broadcast up to this count; beyond it they are joined by shuffle.
+BROADCAST_COPIES = 500_000
 # Tokens a task holds before it passes its sums on; a bound on memory only.
 HELD = 100_000
 
@@ -194,8 +199,8 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
     for batch in batches:
-        for url, page, key in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            host, counts = host_of(url), Counter()
+        for host, page, key in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            counts = Counter()
             for path, dropped, text, opened in blocks(page):
                 counts.update((p, None) for p in opened)
                 if not dropped and text:
@@ -212,14 +217,41 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield out()
 
 
+@F.arrow_udf(T.StringType())
+def _host(urls: pa.Array) -> pa.Array:
+    return pa.array([host_of(u) for u in urls.to_pylist()], pa.string())
+
+
+def different_pages(pages: DataFrame, *, url: str = "url", html: str = "html") -> DataFrame:
+    """``host``, ``html`` and ``key`` (a hash of the HTML): one row for all copies of a page on a host.
+
+    Only hashes of all pages are shuffled, and the HTML of pages that have copies; those
+    combine before they move.
+    """
+    body = F.coalesce(F.col(html), F.lit(""))
+    rows = pages.select(
+        _host(F.col(url)).alias("host"), body.alias("html"), F.xxhash64(body).alias("key"), F.xxhash64(F.lit(1), body).alias("key2")
+    )
+    same = ["host", "key", "key2"]
+    copies = rows.groupBy(*same).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(*same, F.lit(True).alias("_copied"))
+    copies = materialise(copies, "copies")
+    n = copies.count()
+    if n == 0:
+        return rows.select("host", "html", "key")
+    # A broadcast moves no HTML; copies of a hot host differ by hash, so they don't meet in one task.
+    marked = rows.join(F.broadcast(copies) if n <= BROADCAST_COPIES else copies, same, "left")
+    alone = marked.where("_copied IS NULL").select("host", "html", "key")
+    return alone.unionByName(marked.where("_copied").dropDuplicates(same).select("host", "html", "key"))
+
+
 def templates(pages: DataFrame, *, url: str = "url", html: str = "html") -> DataFrame:
-    """Per host ``pages``, ``article`` (path of the element that spans the article, null if none is named) and
+    """Per host ``pages`` (different ones), ``article`` (path of the element that spans the article, null if none is named) and
     ``texts`` (hashes of the template's texts with their paths).
 
     A class needs ``LEAST_TOKENS`` tokens and ``SUPPORT`` of the host's pages; of hosts with
     fewer than ``LEAST_PAGES`` pages only the named elements count.
     """
-    rows = pages.select(F.col(url).alias("url"), F.col(html).alias("html"), F.monotonically_increasing_id().alias("key"))
+    rows = different_pages(pages, url=url, html=html)
     kinds = "host string, path string, said long, pages long, v1 long, v2 long"
     tokens = rows.mapInArrow(_vectors, kinds).groupBy("host", "path", "said").agg(*[F.sum(c).alias(c) for c in ("pages", "v1", "v2")])
     tokens = materialise(tokens, "tokens")
@@ -272,11 +304,6 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(urls, pa.string()), pa.array(texts, pa.string())], names=["id", "url", "text"])
 
 
-@F.arrow_udf(T.StringType())
-def _host(urls: pa.Array) -> pa.Array:
-    return pa.array([host_of(u) for u in urls.to_pylist()], pa.string())
-
-
 def extract(pages: DataFrame, *, id_col: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """``id_col`` (long), ``url`` and ``text`` for each row of ``pages``.
 

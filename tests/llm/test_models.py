@@ -220,3 +220,16 @@ def test_vectors_make_classes(spark):
     t = html_template.templates(pages).first()
     assert t.pages == 12 and t.article.endswith("/article.post")
     assert html_template.said_hash(t.article + "/p", "Follow our channel for news") in t.texts
+
+
+ARTICLE = "<html><body><article><h1>Head {i}</h1><p>First {i}</p><p>Second {i}</p><p>Third {i}</p><h2>Part {i}</h2></article></body></html>"
+
+
+def test_copies_of_a_page_make_no_template(spark):
+    own = lambda i: f"Head {i} First {i} Second {i} Third {i} Part {i}"
+    hosts = {"equal": [0] * 20, "most": [0] * 18 + [1, 2], "many": [0] * 90 + list(range(1, 9))}
+    rows = [(n, f"http://{host}.example/{n}", ARTICLE.format(i=i), own(i)) for host, kinds in hosts.items() for n, i in enumerate(kinds)]
+    pages = spark.createDataFrame([*rows, rows[0]], "page_id long, url string, html string, want string")
+    got = sorted((r.page_id, r.url, r.text) for r in html_template.extract(pages).collect())
+    assert got == sorted((r[0], r[1], r[3]) for r in [*rows, rows[0]])
+    assert {r.host: r.pages for r in html_template.templates(pages).collect()} == {"equal.example": 1, "most.example": 3, "many.example": 9}
