@@ -62,20 +62,35 @@ DROPPED = frozenset(
     "dialog menu search head title input label fieldset noembed noframes xmp".split()
 )
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
-# Words in a class or id that name such a part of a page.
+# Classes and ids that name such a part of a page, as whole tokens.
 DROPPED_NAMES = frozenset(
     "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices "
     "notification alert popup modal overlay newsletter subscribe subscription signup nav navbar navigation menu breadcrumb breadcrumbs "
     "sidebar aside widget footer header masthead share sharing social related recommended recommendations comment comments disqus "
     "discussion replies reply respond pagination pager toolbar skip".split()
+) | frozenset(
+    # Known compounds.  Others that hold such a word (has-comments, no-sidebar) tell of a layout or state.
+    "ad-banner ad-block ad-box ad-container ad-slot ad-unit ad-wrapper ads-container banner-ad google-ad cookie-banner cookie-bar "
+    "cookie-consent cookie-message cookie-notice cookie-popup consent-banner gdpr-banner gdpr-notice privacy-notice share-bar share-box "
+    "share-buttons share-links sharing-buttons social-bar social-buttons social-icons social-links social-media social-share "
+    "related-articles related-content related-links related-posts related-stories recommended-articles recommended-posts comment-body "
+    "comment-form comment-list comment-respond comment-section comments-area comments-list comments-section disqus-thread reply-form "
+    "newsletter-box newsletter-form newsletter-signup signup-box signup-form subscribe-box subscribe-form site-footer site-header "
+    "site-nav site-navigation page-footer global-footer global-header global-nav main-menu main-nav main-navigation nav-bar nav-links "
+    "nav-menu post-navigation posts-navigation side-bar side-nav sidebar-widget sub-menu top-nav widget-area breadcrumb-nav skip-link "
+    "skip-links skip-nav modal-dialog popup-overlay promo-banner promo-box sponsored-content sponsored-links".split()
 )
+# Elements that no class or id makes a part to drop.
+KEPT = frozenset("html body main article".split())
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|[^<]+|<",
     re.S,
 )
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
-_NAME = re.compile("[a-z]+")
+# Between the words of a class, and the number at its end (ad-2, comment_17).
+_JOINT = re.compile("[-_]+")
+_NUMBER = re.compile("[-_]*[0-9]+$")
 
 
 def host_of(url: str | None) -> str:
@@ -86,16 +101,57 @@ def host_of(url: str | None) -> str:
         return ""
 
 
-def _named(attributes: str) -> tuple[str, bool, bool]:
-    """Mark for the path, whether the element is one to drop, whether it says it is the main part."""
+def _named(attributes: str) -> tuple[str, bool, bool, bool]:
+    """Mark for the path, whether the element is one to drop by its role, or by its names, whether it says it is the main part."""
     if "=" not in attributes:
-        return "", False, False
+        return "", False, False, False
     found = {k.lower(): entities.unescape(a or b or c or "").lower() for k, a, b, c in _ATTRIBUTE.findall(attributes)}
     names = f"{found.get('class', '')} {found.get('id', '')}"
     role = found.get("role", "")
     hidden = "hidden" in found or found.get("aria-hidden") == "true"
-    drop = role in DROPPED_ROLES or hidden or not DROPPED_NAMES.isdisjoint(_NAME.findall(names))
-    return "." + ".".join(sorted(found.get("class", "").split())) if found.get("class") else "", drop, role == "main"
+    named = any(_JOINT.sub("-", _NUMBER.sub("", n)).strip("-") in DROPPED_NAMES for n in names.split())
+    mark = "." + ".".join(sorted(found.get("class", "").split())) if found.get("class") else ""
+    return mark, role in DROPPED_ROLES or hidden, named, role == "main"
+
+
+class _Element:
+    """An open element: its path, what it lies in, and whether it is dropped as an element or by its names."""
+
+    __slots__ = ("above", "barred", "dropped", "name", "named", "path")
+
+    def __init__(self, name: str, path: str, above: _Element | None, barred: bool, named: bool):
+        self.name, self.path, self.above, self.named = name, path, above, named
+        self.barred = barred or (above is not None and above.barred)
+        self.dropped = self.barred or named or (above is not None and above.dropped)
+
+    def around(self) -> Iterator[_Element]:
+        e = self
+        while e is not None:
+            yield e
+            e = e.above
+
+
+def _spare(elements: list[_Element], found: list[tuple[_Element | None, str, list[str]]]) -> None:
+    """Lift the names of what the article lies in.
+
+    That is what the first main element lies in, and the article with the most text if it
+    has more than all that the names leave.
+    """
+    spared = next((list(e.around()) for e in elements if e.path.endswith("/main") or "/main." in e.path[e.path.rfind("/") :]), [])
+    if not any(e.named and not e.barred for e in spared):
+        held = Counter()
+        for e, text, _ in found:
+            if e is not None and e.dropped and not e.barred:
+                held.update({a: len(text) for a in e.around() if a.name == "article"})
+        best = max(held, key=held.__getitem__, default=None)
+        left = sum(len(text) for e, text, _ in found if e is None or not e.dropped)
+        if best is not None and held[best] > left:
+            spared = list(best.around())
+    if any(e.named for e in spared):
+        for e in spared:
+            e.named = False
+        for e in elements:  # outer ones come first
+            e.dropped = e.barred or e.named or (e.above is not None and e.above.dropped)
 
 
 def blocks(page: str | None) -> Iterator[tuple[str, bool, str, list[str]]]:
@@ -103,9 +159,12 @@ def blocks(page: str | None) -> Iterator[tuple[str, bool, str, list[str]]]:
 
     Paths name block elements only, with their classes.  Unclosed elements end where the
     standard ends them; comments, scripts and styles give nothing.  A part that isn't closed
-    by the end of the page ends there.
+    by the end of the page ends there.  The html, body, main and article elements, and what
+    the article lies in, are no parts to drop whatever their classes and ids.
     """
-    stack: list[tuple[str, str, bool]] = []  # name, path, dropped
+    stack: list[_Element] = []
+    elements: list[_Element] = []
+    found: list[tuple[_Element | None, str, list[str]]] = []
     text: list[str] = []
     opened: list[str] = []
 
@@ -113,8 +172,7 @@ def blocks(page: str | None) -> Iterator[tuple[str, bool, str, list[str]]]:
         words = entities.unescape("".join(text)).split()
         text.clear()
         if words or opened:
-            path, dropped = (stack[-1][1], stack[-1][2]) if stack else ("", False)
-            yield path, dropped, " ".join(words), list(opened)
+            found.append((stack[-1] if stack else None, " ".join(words), list(opened)))
             opened.clear()
 
     page = page or ""
@@ -138,10 +196,10 @@ def blocks(page: str | None) -> Iterator[tuple[str, bool, str, list[str]]]:
             if name == "br":
                 text.append(" ")
             continue
-        yield from flush()
+        flush()
         if closing:
             for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
+                if stack[i].name == name:
                     del stack[i:]
                     break
             continue
@@ -149,26 +207,31 @@ def blocks(page: str | None) -> Iterator[tuple[str, bool, str, list[str]]]:
             continue
         if name in CLOSE_P:
             for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == "p":
+                if stack[i].name == "p":
                     del stack[i:]
                     break
-                if stack[i][0] in ("td", "th", "li", "div", "article", "section", "body"):
+                if stack[i].name in ("td", "th", "li", "div", "article", "section", "body"):
                     break
         if name in SELF_CLOSING_SIBLINGS:
             for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in SELF_CLOSING_SIBLINGS[name]:
+                if stack[i].name in SELF_CLOSING_SIBLINGS[name]:
                     del stack[i:]
                     break
-                if stack[i][0] in ("ul", "ol", "dl", "table", "select", "menu", "tr" if name in ("td", "th") else "tbody"):
+                if stack[i].name in ("ul", "ol", "dl", "table", "select", "menu", "tr" if name in ("td", "th") else "tbody"):
                     break
-        mark, drop, main = _named(m.group(3) or m.group(6) or "")
-        above, dropped = (stack[-1][1], stack[-1][2]) if stack else ("", False)
-        path = f"{above}/{'main' if main else name}{mark}"
-        stack.append((name, path, dropped or drop or name in DROPPED))
+        mark, drop, named, main = _named(m.group(3) or m.group(6) or "")
+        above = stack[-1] if stack else None
+        path = f"{above.path if above else ''}/{'main' if main else name}{mark}"
+        stack.append(_Element(name, path, above, drop or name in DROPPED, named and not main and name not in KEPT))
+        elements.append(stack[-1])
         opened.append(path)
         if (m.group(3) or m.group(6) or "").endswith("/") and name not in BLOCKS:
             stack.pop()
-    yield from flush()
+    flush()
+    if any(e.named and not e.barred for e in elements):
+        _spare(elements, found)
+    for e, said, tags in found:
+        yield (e.path, e.dropped, said, tags) if e is not None else ("", False, said, tags)
 
 
 def _hash(text: str) -> int:

@@ -233,3 +233,25 @@ def test_copies_of_a_page_make_no_template(spark):
     got = sorted((r.page_id, r.url, r.text) for r in html_template.extract(pages).collect())
     assert got == sorted((r[0], r[1], r[3]) for r in [*rows, rows[0]])
     assert {r.host: r.pages for r in html_template.templates(pages).collect()} == {"equal.example": 1, "most.example": 3, "many.example": 9}
+
+
+def test_names_of_layouts_and_states_drop_no_article(spark):
+    inner = "<h1>Head</h1><p>Some text of the article</p>"
+    tail = '<div class="comments">Liked it</div><div class="ad-2">Buy</div><div id="comment_17">Me too</div><div class="cookie__banner">Eat</div></body></html>'
+    starts = {
+        '<html class="has-banner"><body class="no-sidebar">{}': True,
+        '<body class="comments-open"><article>{}</article>': True,
+        '<body id="comments" class="sidebar"><article class="post has-comments ad">{}</article>': True,
+        '<body><div class="content with-sidebar">{}</div>': True,
+        '<body><div class="overlay"><div class="modal"><article>{}</article></div></div>': True,
+        '<body><div class="banner"><main id="header">{}</main></div>': True,
+        '<body><div class="sidebar"><div role="main" class="widget">{}</div></div>': True,
+        '<body><div class="related-posts">{}</div>': False,
+        '<body><nav class="x"><article>{}</article></nav>': False,
+    }
+    got = [html_template.main_text(start.format(inner) + tail, None, set()) for start in starts]
+    assert got == ["Head Some text of the article" if kept else "" for kept in starts.values()]
+    talk = '<body><main><p>A text that is longer than its comment</p></main><div id="comments"><article class="comment">Short one</article></div>'
+    assert html_template.main_text(talk, None, set()) == "A text that is longer than its comment"
+    pages = spark.createDataFrame([(i, "http://a.example", f'<body class="no-sidebar"><article class="post has-comments">{inner} {i}</article>{tail}') for i in range(8)], "page_id long, url string, html string")
+    assert all(r.text == str(r.page_id) for r in html_template.extract(pages).collect())  # the rest is on all pages
