@@ -4,8 +4,9 @@ Tokens are tags and the texts between them, with their path of elements.  Over t
 each token has an occurrence vector (how often it is on each page); tokens with equal
 vectors form an equivalence class.  Classes that are large enough and on nearly all pages
 belong to the template, nested by their paths: a class whose paths lie under a path of
-another is inside it.  The remaining slots of the innermost class that spans the article
-hold the text; texts in it that are template tokens themselves are no data and go.
+another is inside it.  The element whose slots hold most text that varies, without that of
+classes inside it, is the article; the names article and main decide where that is close, and
+on hosts of too few pages.  Texts in it that are template tokens themselves are no data and go.
 
 Vectors are never gathered: a page adds a hash of (page, count) to two sums per token, and
 equal sums stand for equal vectors, so a host with a third of all pages combines in every
@@ -80,6 +81,8 @@ DROPPED_NAMES = frozenset(
     "nav-menu post-navigation posts-navigation side-bar side-nav sidebar-widget sub-menu top-nav widget-area breadcrumb-nav skip-link "
     "skip-links skip-nav modal-dialog popup-overlay promo-banner promo-box sponsored-content sponsored-links".split()
 )
+# Elements that can span an article; others are parts of a text.
+SLOTS = frozenset("html body main article section div center td".split())
 # Elements that no class or id makes a part to drop.
 KEPT = frozenset("html body main article".split())
 
@@ -88,6 +91,7 @@ _TOKEN = re.compile(
     re.S,
 )
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
+_LAST = re.compile("/([^/.]*)[^/]*$")
 # Between the words of a class, and the number at its end (ad-2, comment_17).
 _JOINT = re.compile("[-_]+")
 _NUMBER = re.compile("[-_]*[0-9]+$")
@@ -110,7 +114,7 @@ def _named(attributes: str) -> tuple[str, bool, bool, bool]:
     role = found.get("role", "")
     hidden = "hidden" in found or found.get("aria-hidden") == "true"
     named = any(_JOINT.sub("-", _NUMBER.sub("", n)).strip("-") in DROPPED_NAMES for n in names.split())
-    mark = "." + ".".join(sorted(found.get("class", "").split())) if found.get("class") else ""
+    mark = "." + ".".join(sorted(found.get("class", "").replace("/", "|").split())) if found.get("class") else ""
     return mark, role in DROPPED_ROLES or hidden, named, role == "main"
 
 
@@ -244,8 +248,76 @@ def said_hash(path: str, text: str) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
+def _around(path: str) -> list[str]:
+    """A path and the paths it lies in, outer ones first."""
+    parts = path.split("/")
+    return ["/".join(parts[:i]) for i in range(2, len(parts) + 1)]
+
+
+def spanning(tags: dict[str, tuple[int, bool]], texts: list[tuple[int, int]], pages: int) -> str | None:
+    """The path of the element that spans the article of a host.
+
+    ``tags`` has for each path on nearly all pages the characters under it and whether it is
+    in a class; ``texts`` the path's hash and the characters of each text of the template.
+    """
+    last = {p: _LAST.search(p).group(1) for p in tags}
+    named = sorted((p for p in tags if last[p] in ("article", "main")), key=lambda p: (last[p] != "article", len(p), p))
+    if pages < LEAST_PAGES:
+        return named[0] if named else None
+    varying = {p: n for p, (n, _) in tags.items()}
+    places = {said_hash(p, ""): p for p in tags}
+    for at, n in texts:
+        for p in _around(places.get(at, "")):
+            if p in varying:
+                varying[p] -= n
+    # Each class element's parent is the longest path around it; a slot is what its children leave.
+    nodes = {p for p, (_, valid) in tags.items() if (valid and last[p] in SLOTS) or p in named}
+    parents = {p: next((q for q in reversed(_around(p)[:-1]) if q in nodes), None) for p in nodes}
+    slots = {p: varying[p] for p in nodes}
+    for p, q in parents.items():
+        if q is not None:
+            slots[q] -= varying[p]
+    best = min(nodes, key=lambda p: (-slots[p], last[p] != "article", last[p] != "main", -len(p), p), default=None)
+    if best is None or slots[best] <= 0:
+        return named[0] if named else None
+    # Names decide between elements of about as much text: an article has its title and notes, too.
+    for p in sorted(named, key=lambda p: (last[p] != "article", -varying[p], p)):
+        spans = best == p or best.startswith(p + "/")
+        if last[p] == "article" and (slots[best] if spans else varying[p]) * 2 >= (varying[p] if spans else slots[best]):
+            return p
+        if last[p] == "main" and spans and slots[best] * 10 >= varying[p] * 9:
+            return p
+    # A title beside the text belongs to it.
+    up = parents[best]
+    while up is not None:
+        titles = [p for p in tags if last[p] == "h1" and p.startswith(up + "/") and not p.startswith(best + "/")]
+        if varying[up] - varying[best] != sum(varying[p] for p in titles):
+            break
+        if titles:
+            best = up
+            break
+        up = parents[up]
+    return best
+
+
+def _nested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per host its article and the template's texts, from its tokens on nearly all pages."""
+    for batch in batches:
+        hosts, pages, tokens = (batch.column(i).to_pylist() for i in range(3))
+        articles, texts = [], []
+        for n, found in zip(pages, tokens, strict=True):
+            said = [t for t in found if t["said"] is not None] if n >= LEAST_PAGES else []
+            tags = {t["path"]: (t["chars"], t["valid"]) for t in found if t["path"] is not None}
+            articles.append(spanning(tags, [(t["at"], t["chars"]) for t in said], n))
+            texts.append([t["said"] for t in said] or None)
+        yield pa.record_batch(
+            [pa.array(hosts, pa.string()), pa.array(articles, pa.string()), pa.array(texts, pa.list_(pa.int64()))], names=["host", "article", "texts"]
+        )
+
+
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per host and token (a tag's path or a text's hash): pages with it, and two sums that stand for its vector."""
+    """Per host and token (a tag's path or a text's hash): pages with it, two sums that stand for its vector, characters
+    (of the text, or of all undropped text under the path) over all pages, and a hash of the token's path."""
     sums: dict[tuple, list[int]] = {}
 
     def out() -> pa.RecordBatch:
@@ -256,25 +328,32 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pa.array([k[0] for k in keys], pa.string()),
                 pa.array([k[1] for k in keys], pa.string()),
                 pa.array([k[2] for k in keys], pa.int64()),
-                *[pa.array([v[i] for v in values], pa.int64()) for i in range(3)],
+                *[pa.array([v[i] for v in values], pa.int64()) for i in range(5)],
             ],
-            names=["host", "path", "said", "pages", "v1", "v2"],
+            names=["host", "path", "said", "pages", "v1", "v2", "chars", "at"],
         )
 
     for batch in batches:
         for host, page, key in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            counts = Counter()
+            counts, chars, places = Counter(), Counter(), {}
             for path, dropped, text, opened in blocks(page):
                 counts.update((p, None) for p in opened)
                 if not dropped and text:
-                    counts[(None, said_hash(path, text))] += 1
+                    token = (None, said_hash(path, text))
+                    counts[token] += 1
+                    chars[token] += len(text)
+                    places[token] = path
+                    chars.update(dict.fromkeys(((p, None) for p in _around(path)), len(text)))
             counts[("", None)] = 1  # stands for the page itself
-            for (path, said), n in counts.items():
+            for token, n in counts.items():
                 v = _hash(f"{key} {n}")
-                s = sums.setdefault((host, path, said), [0, 0, 0])
+                s = sums.get((host, *token))
+                if s is None:
+                    s = sums[(host, *token)] = [0, 0, 0, 0, said_hash(places.get(token, token[0]), "")]
                 s[0] += 1
                 s[1] += v >> 32
                 s[2] += v & 0xFFFFFFFF
+                s[3] += chars[token]
             if len(sums) >= HELD:
                 yield out()
     yield out()
@@ -308,15 +387,16 @@ def different_pages(pages: DataFrame, *, url: str = "url", html: str = "html") -
 
 
 def templates(pages: DataFrame, *, url: str = "url", html: str = "html") -> DataFrame:
-    """Per host ``pages`` (different ones), ``article`` (path of the element that spans the article, null if none is named) and
+    """Per host ``pages`` (different ones), ``article`` (path of the element that spans the article, null if there is none) and
     ``texts`` (hashes of the template's texts with their paths).
 
     A class needs ``LEAST_TOKENS`` tokens and ``SUPPORT`` of the host's pages; of hosts with
     fewer than ``LEAST_PAGES`` pages only the named elements count.
     """
     rows = different_pages(pages, url=url, html=html)
-    kinds = "host string, path string, said long, pages long, v1 long, v2 long"
-    tokens = rows.mapInArrow(_vectors, kinds).groupBy("host", "path", "said").agg(*[F.sum(c).alias(c) for c in ("pages", "v1", "v2")])
+    kinds = "host string, path string, said long, pages long, v1 long, v2 long, chars long, at long"
+    sums = [F.sum(c).alias(c) for c in ("pages", "v1", "v2", "chars")]
+    tokens = rows.mapInArrow(_vectors, kinds).groupBy("host", "path", "said").agg(*sums, F.max("at").alias("at"))
     tokens = materialise(tokens, "tokens")
     hosts = tokens.where("path = ''").select("host", F.col("pages").alias("all"))
     # What is on nearly all pages of a host: as much as one page has, whatever the host's size.
@@ -324,17 +404,14 @@ def templates(pages: DataFrame, *, url: str = "url", html: str = "html") -> Data
     own = tokens.where("path IS NULL OR path <> ''")
     common = skew_join(own, hosts, ["host"], spread=["said", "path"]).where(F.col("pages") >= F.col("all") * SUPPORT)
     classes = common.groupBy("host", "v1", "v2", "pages").agg(F.count(F.lit(1)).alias("_size")).where(F.col("_size") >= LEAST_TOKENS)
-    valid = common.join(classes.select("host", "v1", "v2", "pages"), ["host", "v1", "v2", "pages"])
-    texts = valid.where(F.col("said").isNotNull() & (F.col("all") >= LEAST_PAGES)).groupBy("host").agg(F.collect_list("said").alias("texts"))
-    # Nesting by path: the innermost named element on nearly all pages that still spans the article's blocks.
-    last = F.regexp_extract("path", "/([a-z0-9]+)[^/]*$", 1)
-    named = common.where(F.col("path").isNotNull()).withColumn("_last", last).where(F.col("_last").isin("article", "main"))
-    article = named.groupBy("host").agg(F.min(F.struct((F.col("_last") != "article").alias("_no"), F.length("path"), "path")).alias("_a"))
-    return (
-        hosts.select("host", F.col("all").alias("pages"))
-        .join(article.select("host", F.col("_a.path").alias("article")), "host", "left")
-        .join(texts, "host", "left")
+    classes = classes.select("host", "v1", "v2", "pages", F.lit(True).alias("_valid"))
+    marked = common.join(classes, ["host", "v1", "v2", "pages"], "left").withColumn("valid", F.col("_valid").isNotNull())
+    # A host's tokens on nearly all pages are as many as one page has: they are nested together.
+    kept = marked.where("path IS NOT NULL OR valid").groupBy("host").agg(
+        F.max("all").alias("all"), F.collect_list(F.struct("path", "said", "chars", "at", "valid")).alias("tokens")
     )
+    found = kept.select("host", "all", "tokens").mapInArrow(_nested, "host string, article string, texts array<long>")
+    return hosts.select("host", F.col("all").alias("pages")).join(found, "host", "left")
 
 
 _ARTICLE = re.compile(r"/(?:article|main)(?=[./]|$)")

@@ -255,3 +255,26 @@ def test_names_of_layouts_and_states_drop_no_article(spark):
     assert html_template.main_text(talk, None, set()) == "A text that is longer than its comment"
     pages = spark.createDataFrame([(i, "http://a.example", f'<body class="no-sidebar"><article class="post has-comments">{inner} {i}</article>{tail}') for i in range(8)], "page_id long, url string, html string")
     assert all(r.text == str(r.page_id) for r in html_template.extract(pages).collect())  # the rest is on all pages
+
+
+def test_article_is_the_slot_of_most_varying_text(spark):
+    words = lambda i, n: " ".join(f"w{i}x{k}" for k in range(n))
+    text = lambda i: "".join(f"<p>{words(i, 30 + k)}</p>" for k in range(2 + i % 3))
+    page = lambda i: (
+        f"<html><body><div class=top><ul><li>Menu {i}<li>More {i}</ul></div><div class=page><h1>Head {i}</h1><div class=text>{text(i)}"
+        f"<p>Read on</p></div></div><div class=readers><p>Reader {i} liked it</p></div><div class=low>Seen {i} times</div></body></html>"
+    )
+    # The article's title and text stay with it; an article of hardly any text isn't chosen by its name.
+    named = lambda i: f"<html><body><div class=a>Menu {i}</div><article><div class=b><h1>Head {i}</h1></div><div class=c>{text(i)}</div></article><div class=d>x {i}</div></body></html>"
+    teaser = lambda i: f"<html><body><article>Teaser {i}</article><div class=text>{text(i)}</div><div class=c>y</div><div class=d>x {i}</div></body></html>"
+    rows = [(i, f"http://{h}.example/{i}", make(i)) for h, make in (("div", page), ("named", named), ("teaser", teaser)) for i in range(12)]
+    rows += [(i, f"http://few.example/{i}", page(i)) for i in range(3)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    said = lambda i: " ".join(words(i, 30 + k) for k in range(2 + i % 3))
+    articles = {r.host: r.article for r in html_template.templates(pages).collect()}
+    assert articles == {"div.example": "/html/body/div.page", "named.example": "/html/body/article", "teaser.example": "/html/body/div.text", "few.example": None}
+    got = {(html_template.host_of(r.url), r.page_id): r.text for r in html_template.extract(pages).collect()}
+    for i in range(12):
+        assert got[("div.example", i)] == got[("named.example", i)] == f"Head {i} {said(i)}"
+        assert got[("teaser.example", i)] == said(i)
+    assert "Menu 1" in got[("few.example", 1)] and said(1) in got[("few.example", 1)]
