@@ -1,16 +1,16 @@
-"""N-gram Jaccard join: texts whose sets of word shingles are alike, and their groups.
+"""N-gram Jaccard join: groups of texts whose sets of word shingles are alike, and links that connect them.
 
-Exact, by set-relation skipping on inverted lists:
+Groups are exact, by set-relation skipping on inverted lists:
 
 * Texts with equal sets are one class; only one set per class goes further.
 * A class puts a prefix of its shingles into the lists, frequent ones last.  Whatever the
   order, two sets that are alike share a shingle of their prefixes.
 * Block skip: a list entry carries set size and position, which bound the overlap that is
   still possible, so entries of unfit size blocks and positions never meet.
-* Answers from a similar set's answers: in each list one entry, the least edited text, is
-  compared with all others first.  What is linked to it needs no answers of its own
-  among the rest of that group: only entries of different groups still meet, so a group
-  of a million near copies costs a million comparisons with one set, not their square.
+* Connecting links only: in each list one entry, the least edited text, is compared with
+  all others first.  After that only entries of different groups still meet; pairs inside
+  a group are skipped, not derived, so not all alike pairs are links.  A group of
+  a million near copies costs a million comparisons with one set, not their square.
 
 Comparisons look at the prefixes first (the count of shared shingles bounds the overlap)
 and at whole sets only for the few pairs left.  Shingles and sets are told apart by
@@ -143,7 +143,8 @@ def _fit(n: Column, m: Column, percent: int) -> Column:
 
 
 class JaccardJoin:
-    """One join: ``members`` (a row per text) and ``links`` (pairs of classes, verified).
+    """One join: ``members`` (a row per text) and ``links`` (verified pairs of
+    classes, as many as connect the groups, not all alike pairs).
 
     ``members`` has ``id``, ``key`` (class; null for an empty set) and ``n`` (set size) for
     each row of ``docs``, repeated rows and null ids included.  Sets are lower-cased A-Z,
@@ -215,7 +216,7 @@ class JaccardJoin:
         return good.select("a", "b")
 
     def links(self) -> DataFrame:
-        """Verified links between classes, ``(a, b)``: enough of them that groups are whole."""
+        """Verified links between classes, ``(a, b)``: enough of them that groups are whole, not all alike pairs."""
         prefixes = self._prefix_table()
         lists = self._lists(prefixes)
         fits = lambda n, m, at, bt: _fit(n, m, self.percent) & (
