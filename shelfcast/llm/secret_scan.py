@@ -1,6 +1,7 @@
 """Secret scan: candidate strings judged by a random forest, to take false alarms out.
 
-Candidates are long runs of key characters with a digit.  Each gets features of its length
+Candidates are long runs of key characters with a digit, values of any length and alphabet
+assigned to a credential's name, and known formats.  Each gets features of its length
 and characters, of how likely its character transitions are in ordinary words, of how much
 of it a dictionary covers, of the path it was found under and of the words beside it.  A
 random forest (``spark.ml``, so training is Spark's) learns from labelled findings which
@@ -30,6 +31,18 @@ SAMPLE = 20_000
 TREES, DEPTH, SEED = 24, 6, 11
 
 _CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{%d,}" % LEAST_LENGTH)
+# A value assigned to a credential's name: quoted, or up to the next white space.  Short names need a
+# border before them (monkey is no key), and what follows a name is a part of its own (secretary is no secret).
+_ASSIGNED = re.compile(
+    r"(?:(?i:password|passwd|passphrase|secret|token|api[_-]?key|credential)|(?<![A-Za-z])(?i:pass|pwd|key|api|auth|private|access|bearer|login)"
+    r"|(?<=[a-z0-9])(?:Pass|Pwd|Key|Auth))(?:s|S)?(?:[_-][A-Za-z0-9_-]{0,40}|[A-Z0-9][A-Za-z0-9_-]{0,40})?"
+    r"[\"'`]?[ \t]{0,8}(?::=|=>|==?|:)[ \t]{0,8}(?:\"([^\"\n]+)\"|'([^'\n]+)'|`([^`\n]+)`|([^\s\"'`]\S*))"
+)
+# Formats that are known by their start.
+_FORMAT = re.compile(
+    r"(?<![A-Za-z0-9_-])(?:AKIA[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{16,}|sk[-_][A-Za-z0-9_-]{16,}|xox[a-z]-[A-Za-z0-9-]{10,}"
+    r"|eyJ[A-Za-z0-9_-]{6,}\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*|AIza[A-Za-z0-9_-]{30,}|glpat-[A-Za-z0-9_-]{16,})(?![A-Za-z0-9_-])"
+)
 _WORD = re.compile(r"[^\W\d_]+")
 # Words that tend to stand beside secrets, beside other long strings, and in
 # paths of samples.
@@ -89,7 +102,7 @@ def features(s: str, left: str, right: str, path: str | None, lang: Language) ->
     kinds = [_kind(c) for c in s]
     n = len(s)
     counts = np.unique([ord(c) for c in s], return_counts=True)[1] / n
-    codes = np.array([32, *[ord(c) for c in s.lower()], 32])
+    codes = np.array([32, *[min(ord(c), 127) for c in s.lower()], 32])
     before = [w.lower() for w in _WORD.findall(left)][-4:]
     path = (path or "").lower()
     parts = re.split(r"[^a-z0-9]+", path)
@@ -105,7 +118,7 @@ def features(s: str, left: str, right: str, path: str | None, lang: Language) ->
         sum(a != b for a, b in zip(kinds, kinds[1:], strict=False)) / max(1, n - 1),
         float(lang.transitions[codes[:-1], codes[1:]].mean()),
         _coverage(s, lang.words),
-        float(unquoted in "=:" and unquoted != ""),
+        float((unquoted in "=:" and unquoted != "") or left.rstrip().rstrip("\"'`").rstrip().endswith("=>")),
         float(lead in "\"'`"),
         float(len(near)),
         float(away),
@@ -120,6 +133,20 @@ def features(s: str, left: str, right: str, path: str | None, lang: Language) ->
     ]
 
 
+def spans(body: str) -> list[tuple[int, int]]:
+    """Start and end of each candidate of a text, ascending, none twice."""
+    found = {m.span() for m in _CANDIDATE.finditer(body) if any(c.isdigit() for c in m.group())}
+    found.update(m.span() for m in _FORMAT.finditer(body))
+    at = 0
+    while m := _ASSIGNED.search(body, at):
+        a, b = m.span(m.lastindex)
+        if m.lastindex == 4:
+            b = a + (len(body[a:b].rstrip(",;\"'`")) or b - a)
+        found.add((a, b))
+        at = a  # a value may hold a name and its value: url=x?token=y
+    return sorted(found)
+
+
 def candidates(docs: DataFrame, lang: Language, *, id_col: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
     """A row per candidate: ``id_col`` (long), ``start`` (code points), ``finding``, ``left`` (60 characters before) and ``features``.
 
@@ -132,11 +159,9 @@ def candidates(docs: DataFrame, lang: Language, *, id_col: str = "doc_id", text:
         for batch in batches:
             rows: list[tuple] = []
             for key, body, where in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                for m in _CANDIDATE.finditer(body or ""):
-                    s = m.group()
-                    if any(c.isdigit() for c in s):
-                        left, right = body[max(0, m.start() - 60) : m.start()], body[m.end() : m.end() + 30]
-                        rows.append((key, m.start(), s, left, features(s, left, right, where, shared.value)))
+                for a, b in spans(body or ""):
+                    s, left, right = body[a:b], body[max(0, a - 60) : a], body[b : b + 30]
+                    rows.append((key, a, s, left, features(s, left, right, where, shared.value)))
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.float64())]
             yield pa.record_batch([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], names=["id", "start", "finding", "left", "features"])
@@ -172,10 +197,11 @@ def judge(found: DataFrame, labelled: DataFrame, *, label: str = "label", sample
 
 def rule_labels(found: DataFrame) -> DataFrame:
     """Labels from plain rules, for corpora without reviewed findings: known formats and values
-    assigned to a credential's name are secrets, bare numbers and values beside words for
+    assigned to a credential's name are secrets unless they are dictionary words without quotes, bare numbers and values beside words for
     checksums are not, the rest has no label.
     """
     f = {name: F.col("features")[i] for i, name in enumerate(FEATURES)}
-    secret = (f["known_prefix"] == 1) | ((f["assigned"] == 1) & (f["near_dist"] == 0) & (f["digits_only"] == 0))
+    word = (f["coverage"] >= 0.9) & (f["quoted"] == 0)
+    secret = (f["known_prefix"] == 1) | ((f["assigned"] == 1) & (f["near_dist"] == 0) & (f["digits_only"] == 0) & ~word)
     other = (f["digits_only"] == 1) | ((f["away_words"] > 0) & (f["near_words"] == 0))
     return found.withColumn("label", F.when(secret, 1).when(other, 0))
