@@ -24,8 +24,9 @@ from pyspark.sql import functions as F
 from shelfcast.session import materialise
 
 LEAST_LENGTH = 12
-# The dictionary: so many of the most frequent words of all documents.
-DICTIONARY = 20_000
+# The dictionary: words that make up this share of all words at least, whatever the size of the
+# corpus.  There can be at most 1 / DICTIONARY of them, which bounds the broadcast.
+DICTIONARY = 5e-6
 # Labelled findings read for training at most, those whose hash is least: a documented bound.
 SAMPLE = 20_000
 TREES, DEPTH, SEED = 24, 6, 11
@@ -64,18 +65,21 @@ class Language:
     transitions: np.ndarray
 
 
-def language(docs: DataFrame, *, text: str = "text", size: int = DICTIONARY) -> Language:
-    """The most frequent words of all documents (ties by the word), counted by Spark."""
+def language(docs: DataFrame, *, text: str = "text", share: float = DICTIONARY) -> Language:
+    """The words with a ``share`` of all words of all documents, and the transitions of every word, counted by Spark."""
     words = docs.select(F.explode(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), "[^\\p{L}]+")).alias("w"))
-    words = words.where(F.length("w").between(2, 24)).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-    # Written before it is read here: the tasks' own top words meet in a shuffle, not in the driver.
-    top = materialise(words.orderBy(F.desc("n"), "w").limit(size), "dictionary").orderBy(F.desc("n"), "w").toPandas()
+    words = materialise(words.where("w <> ''").groupBy("w").agg(F.count(F.lit(1)).alias("n")), "words")
+    # Sums of 128 x 128 pairs of letters: combined in every task, and as many rows in the driver.
+    letters = F.concat(F.array(F.lit(" ")), F.filter(F.split("w", ""), lambda c: c.between("\x01", "\x7f")), F.array(F.lit(" ")))
+    pairs = words.select("n", letters.alias("l")).select(
+        "n", F.explode(F.arrays_zip(F.slice("l", F.lit(1), F.size("l") - 1).alias("a"), F.slice("l", F.lit(2), F.size("l") - 1).alias("b"))).alias("p")
+    )
+    pairs = pairs.groupBy(F.ascii("p.a").alias("a"), F.ascii("p.b").alias("b")).agg(F.sum("n").alias("n")).toPandas()
     counts = np.ones((128, 128))
-    for w, n in zip(top["w"], top["n"], strict=True):
-        codes = [ord(c) for c in f" {w} " if ord(c) < 128]
-        for a, b in zip(codes, codes[1:], strict=False):
-            counts[a, b] += n
-    return Language(frozenset(w for w in top["w"] if len(w) >= 3), np.log(counts / counts.sum(axis=1, keepdims=True)))
+    counts[pairs["a"].to_numpy(dtype=int), pairs["b"].to_numpy(dtype=int)] += pairs["n"].to_numpy(dtype=float)
+    total = words.agg(F.sum("n")).first()[0] or 0
+    known = words.where(F.length("w").between(3, 24) & (F.col("n") >= F.lit(total * share))).select("w").toPandas()["w"]
+    return Language(frozenset(known), np.log(counts / counts.sum(axis=1, keepdims=True)))
 
 
 def _kind(c: str) -> int:

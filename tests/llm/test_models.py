@@ -156,6 +156,24 @@ def test_values_of_credentials_are_candidates_whatever_their_letters(spark):
     assert all(list(said)[r.doc_id][r.start :].startswith(r.finding) and len(r.features) == len(secret_scan.FEATURES) for r in found)
 
 
+def test_language_is_that_of_all_words_whatever_the_size(spark):
+    rare = [f"{a}{b}{c}q" for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstuvwxyz" for c in "abcdefghijklmnopqrstuvwxyzéßжяü"]
+    rows = [(0, " ".join(rare)), (1, "zz " * 500 + "i" * 40), (2, None), (3, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    lang = secret_scan.language(docs)
+    assert len(rare) > 20_000 and lang.words == set(rare)
+    counts = np.ones((128, 128))
+    for _, text in rows:
+        for w in (text or "").split():
+            codes = [ord(c) for c in f" {w} " if ord(c) < 128]
+            for a, b in zip(codes, codes[1:]):
+                counts[a, b] += 1
+    assert np.allclose(lang.transitions, np.log(counts / counts.sum(axis=1, keepdims=True)))
+    again = secret_scan.language(docs.union(docs).union(docs))
+    assert again.words == lang.words and secret_scan.language(docs, share=0.01).words == set()
+    assert secret_scan.language(docs.limit(0)).words == set()
+
+
 # --- toxicity --------------------------------------------------------------------------------
 
 
