@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from shelfcast.catalog import Entry
 from shelfcast.llm import (
+    collocations,
     html_template,
     jaccard_join,
     line_dedup,
@@ -165,6 +166,53 @@ def pieces(spark: SparkSession, folder: str) -> DataFrame:
     return piece_coding.encode_texts(table(spark, folder, "documents"), piece_coding.load_vocabulary())
 
 
+def phrases(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(table(spark, folder, "documents"))
+
+
+PHRASES_SQL = f"""
+WITH doc AS (
+  SELECT row_number() OVER () AS d, coalesce(lang, 'und') AS lang,
+         regexp_split_to_array(regexp_replace(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[.,;:!?\\x0A-\\x0D]+', ' ' || chr(10) || ' ', 'g'), '[\\x20\\x09]+') AS t
+  FROM documents),
+word AS (
+  SELECT * FROM (SELECT d, lang, unnest(t) AS w, generate_subscripts(t, 1) AS i FROM doc) WHERE w NOT IN ('', chr(10))),
+near AS (
+  SELECT lang, i, w AS w1, lead(w, 1) OVER p AS w2, lead(w, 2) OVER p AS w3, lead(w, 3) OVER p AS w4, lead(w, 4) OVER p AS w5,
+         lead(i, 1) OVER p AS i2, lead(i, 2) OVER p AS i3, lead(i, 3) OVER p AS i4, lead(i, 4) OVER p AS i5
+  FROM word WINDOW p AS (PARTITION BY d ORDER BY i)),
+f AS (
+  SELECT lang, phrase, count(*) AS f FROM (
+    SELECT lang, w1 AS phrase FROM near
+    UNION ALL SELECT lang, concat_ws(' ', w1, w2) FROM near WHERE i2 = i + 1
+    UNION ALL SELECT lang, concat_ws(' ', w1, w2, w3) FROM near WHERE i3 = i + 2
+    UNION ALL SELECT lang, concat_ws(' ', w1, w2, w3, w4) FROM near WHERE i4 = i + 3
+    UNION ALL SELECT lang, concat_ws(' ', w1, w2, w3, w4, w5) FROM near WHERE i5 = i + 4)
+  GROUP BY lang, phrase),
+n AS (SELECT lang, count(*) AS n FROM word GROUP BY lang),
+cand AS (
+  SELECT lang, phrase, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE f >= {collocations.LEAST} AND phrase LIKE '% %'),
+part AS (SELECT lang, ws, a, unnest(range(1, len(ws))) AS s FROM cand),
+span AS (SELECT lang, ws, a, s, unnest(range(s + 1, len(ws) + 1)) AS e FROM part),
+held AS (
+  SELECT lang, array_to_string(ws[s:e], ' ') AS phrase, max(a) AS a FROM span WHERE e - s + 1 < len(ws) GROUP BY ALL),
+cut AS (
+  SELECT c.lang, c.phrase, c.a, c.ws, unnest(range(1, len(c.ws))) AS k
+  FROM cand c LEFT JOIN held h ON h.lang = c.lang AND h.phrase = c.phrase WHERE h.a IS NULL OR h.a < c.a),
+scored AS (
+  SELECT cut.lang, cut.phrase, cut.a, k, x.f AS l, y.f AS r, n.n,
+         (CAST(1000 AS HUGEINT) * cut.a * n.n) // (CAST(x.f AS HUGEINT) * y.f) AS score
+  FROM cut JOIN f x ON x.lang = cut.lang AND x.phrase = array_to_string(ws[1:k], ' ')
+  JOIN f y ON y.lang = cut.lang AND y.phrase = array_to_string(ws[k + 1:], ' ') JOIN n ON n.lang = cut.lang),
+best AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n,
+       CAST(score AS BIGINT) AS score
+FROM best QUALIFY rank <= 2000"""
+
+
 ENTRIES = {
     "op4_neighbours": Entry(near_vectors),
     "op5_secret_scan": Entry(secrets),
@@ -176,4 +224,5 @@ ENTRIES = {
     "op3_jaccard_join": Entry(alike),
     "op7_quality_rules": Entry(quality, QUALITY_SQL),
     "op10_sharding": Entry(shards),
+    "op13_collocations": Entry(phrases, PHRASES_SQL),
 }
