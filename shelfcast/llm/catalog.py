@@ -10,6 +10,7 @@ from shelfcast.llm import (
     collocations,
     html_template,
     jaccard_join,
+    language_id,
     line_dedup,
     mixing,
     neighbours,
@@ -166,6 +167,16 @@ def pieces(spark: SparkSession, folder: str) -> DataFrame:
     return piece_coding.encode_texts(table(spark, folder, "documents"), piece_coding.load_vocabulary())
 
 
+def languages(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    fourth = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    profiles = language_id.fit(docs.where(~fourth))
+    said = language_id.identify(docs, profiles)
+    return said.select(
+        "doc_id", fourth.alias("held_out"), F.col("language.lang").alias("lang_pred"), F.col("language.score").alias("score")
+    )
+
+
 def phrases(spark: SparkSession, folder: str) -> DataFrame:
     return collocations.collocations(table(spark, folder, "documents"))
 
@@ -224,5 +235,6 @@ ENTRIES = {
     "op3_jaccard_join": Entry(alike),
     "op7_quality_rules": Entry(quality, QUALITY_SQL),
     "op10_sharding": Entry(shards),
+    "op12_language_id": Entry(languages),
     "op13_collocations": Entry(phrases, PHRASES_SQL),
 }
