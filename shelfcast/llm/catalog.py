@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from shelfcast.catalog import Entry
 from shelfcast.llm import (
     collocations,
+    conversation_repair,
     html_template,
     jaccard_join,
     language_id,
@@ -167,6 +168,11 @@ def pieces(spark: SparkSession, folder: str) -> DataFrame:
     return piece_coding.encode_texts(table(spark, folder, "documents"), piece_coding.load_vocabulary())
 
 
+def conversations(spark: SparkSession, folder: str) -> DataFrame:
+    damaged = conversation_repair.damage(table(spark, folder, "conversations"))
+    return conversation_repair.digest_of_damaged(damaged)
+
+
 def languages(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     fourth = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
@@ -235,6 +241,7 @@ ENTRIES = {
     "op3_jaccard_join": Entry(alike),
     "op7_quality_rules": Entry(quality, QUALITY_SQL),
     "op10_sharding": Entry(shards),
+    "op11_conversation_repair": Entry(conversations),
     "op12_language_id": Entry(languages),
     "op13_collocations": Entry(phrases, PHRASES_SQL),
 }
