@@ -142,5 +142,7 @@ def test_repaired_messages_long_texts_and_empty_tables(spark):
     said = [tuple(r) for r in cr.repaired_messages(chunks).orderBy("conv_id", "at", "place").select("conv_id", "role", "text").collect()]
     # The cut-off message as the user's costs 2 + 1; deleting it and inserting the user's 3 + 2.
     assert said == [(1, "system", "Be kind."), (1, "user", rows[1][3]), (1, "assistant", "Well.")]
-    assert {(r.audit, r.cost) for r in chunks.collect()} == {("KRK", 3), ("D", 3)}
+    # A chunk is closed once it has a million characters.
+    assert {(r.audit, r.cost) for r in chunks.collect()} == {("K", 0), ("R", 3), ("D", 3)}
+    assert {(r.audit, r.cost) for r in cr.digest(chunks).collect()} == {("KRK", 3), ("D", 3)}
     assert cr.repair(docs.limit(0)).isEmpty() and cr.digest_of_damaged(cr.damage(docs.limit(0))).isEmpty()
