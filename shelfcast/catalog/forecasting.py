@@ -9,7 +9,7 @@ from shelfcast.catalog import Entry, plain, rounded
 from shelfcast.catalog.data import panel
 from shelfcast.catalog.sql import part, query, r
 from shelfcast.functions.keys import SERIES, by_date
-from shelfcast.operators import boosted, features, forecast, selection
+from shelfcast.operators import additive, boosted, features, forecast, selection
 from shelfcast.plans import flows
 from shelfcast.session import materialise
 
@@ -75,6 +75,52 @@ def _(spark, folder):
     return rounded(rows.select(*SERIES, "date", forecast.trend_seasonal(F.col("is_promotion")).alias(forecast.TREND)))
 
 
+@entry("m04_additive", query("v_cand", f"SELECT {_KEY}, {r('additive')} AS additive FROM v_cand"))
+def _(spark, folder):
+    rows = targets_and_fit(spark, folder)
+    return rounded(rows.select(*SERIES, "date", additive.additive(F.col("is_promotion")).alias(forecast.ADDITIVE)))
+
+
+@entry(
+    "m04_additive_coefficients",
+    query(
+        "v_solve",
+        f"""
+SELECT store_id, product_id, i - 1 AS term, {r(f"a[i][{additive.SIZE + 1}]")} AS coefficient
+FROM v_solve, range(1, {additive.SIZE + 1}) AS g(i) WHERE step = {additive.SIZE + 1}
+""",
+    ),
+)
+def _(spark, folder):
+    """One row per series and term of the jointly fitted model."""
+    learnt = materialise(split_rows(spark, folder).where("learn"), "learnt")
+    found = additive.fit(learnt, F.col("is_promotion"))
+    return rounded(found.select(*SERIES, F.posexplode("additive").alias("term", "coefficient")))
+
+
+@entry(
+    "m11_wape_by_model",
+    query(
+        "v_long",
+        f"""
+, m AS (SELECT model_type, sum(abs(y - yhat)) / sum(y) * 100 AS wape, count(*) AS n FROM v_long GROUP BY model_type),
+c AS (SELECT model_type, count(*) AS series FROM (SELECT DISTINCT store_id, product_id, model_type FROM v_long) GROUP BY model_type)
+SELECT model_type, {r('wape')} AS wape, n, series FROM m JOIN c USING (model_type)
+""",
+    ),
+)
+def _(spark, folder):
+    """What each candidate errs over all series together."""
+    long = forecast.to_long(candidates(spark, folder))
+    per = long.groupBy("model_type", *SERIES).agg(
+        F.sum(F.abs(F.col("y") - F.col("yhat"))).alias("e"), F.sum("y").alias("y"), F.count(F.lit(1)).alias("n")
+    )
+    total = per.groupBy("model_type").agg(
+        (F.sum("e") / F.sum("y") * 100).alias("wape"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("series")
+    )
+    return rounded(total)
+
+
 @entry(
     "m06_candidates_long",
     query("v_long", f"SELECT {_KEY}, y, model_type, {r('yhat')} AS yhat FROM v_long"),

@@ -107,7 +107,7 @@ part(
     "t_cand best",
     """
 SELECT c.store_id, c.product_id, c.date, greatest(c.sales, 0) AS a, model_type, wape AS trained_wape,
-       CASE model_type WHEN 'trend_seasonal' THEN trend_seasonal WHEN 'baseline_seasonal_naive' THEN baseline_seasonal_naive ELSE baseline_naive END AS f
+       CASE model_type WHEN 'additive' THEN additive WHEN 'trend_seasonal' THEN trend_seasonal WHEN 'baseline_seasonal_naive' THEN baseline_seasonal_naive ELSE baseline_naive END AS f
 FROM t_cand c JOIN best b ON c.store_id = b.store_id AND c.product_id = b.product_id
 JOIN labels l ON c.date = l.date WHERE split = 'test'
 """,

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+
+from shelfcast.operators import additive
+
 NEEDS: dict[str, list[str]] = {}
 PARTS: dict[str, str] = {}
 
@@ -26,11 +30,12 @@ def query(needs: str, sql: str) -> str:
     # Candidates are used by several parts: made once, a reader that wants few rows waits for no repeats.
     once = {n: "MATERIALIZED " if n.endswith("_cand") else "" for n in order}
     parts = ",\n".join(f"{n} AS {once[n]}({PARTS[n]})" for n in order)
+    recursive = "RECURSIVE " if any(n.endswith("_solve") for n in order) else ""
     rest = sql.strip()
     if not parts:
         return rest
     # A query may go on with subqueries of its own after a comma.
-    return f"WITH {parts}{rest}" if rest.startswith(",") else f"WITH {parts}\n{rest}"
+    return f"WITH {recursive}{parts}{rest}" if rest.startswith(",") else f"WITH {recursive}{parts}\n{rest}"
 
 
 def r(expr: str, digits: int = 4) -> str:
@@ -140,6 +145,71 @@ FROM (SELECT date, row_number() OVER (ORDER BY date) - 1 AS i, count(*) OVER ()
 )
 
 
+def additive_terms() -> list[str]:
+    """The terms of a day, from its place ``u`` in the learnt stretch, ``date`` and ``is_promotion``."""
+    a = additive
+    out = ["1.0", "u"] + [f"greatest(u - CAST({a.BENDS_UNTIL * k / (a.BENDS + 1)!r} AS DOUBLE), 0)" for k in range(1, a.BENDS + 1)]
+    for waves, day, length in ((a.WEEK_WAVES, "(isodow(date) - 1)", 7.0), (a.YEAR_WAVES, "dayofyear(date)", a.YEAR)):
+        for j in range(1, waves + 1):
+            angle = f"{day} * CAST({2 * math.pi * j / length!r} AS DOUBLE)"
+            out += [f"sin({angle})", f"cos({angle})"]
+    return [*out, "CAST(is_promotion AS DOUBLE)"]
+
+
+def additive_parts(prefix: str) -> None:
+    """The ridge regression of each series: sums of products, and Gauss-Jordan steps over them."""
+    p, k, n = prefix, "store_id, product_id", additive.SIZE
+    names = [f"x{i}" for i in range(n)]
+    columns = ", ".join(f"{t} AS {x}" for t, x in zip(additive_terms(), names))
+    part(
+        f"{p}terms",
+        f"{p}rows {p}known",
+        f"""
+SELECT {k}, date, sales, learn, {columns}
+FROM (SELECT *, CAST(date - lo AS DOUBLE) / greatest(hi - lo, 1) AS u FROM {p}rows, (SELECT min(date) AS lo, max(date) AS hi FROM {p}known))
+""",
+    )
+    gate = {i: "wk" for i in range(additive.WEEKLY.start, additive.WEEKLY.stop)}
+    gate |= {i: "yr" for i in range(additive.YEARLY.start, additive.YEARLY.stop)} | {n - 1: "pr"}
+
+    def cell(i: int, j: int | None) -> str:
+        gates = sorted({gate[g] for g in (i, j) if g in gate})
+        value = f"sum({names[i]} * {names[j] if j is not None else 'sales'})"
+        value = f"CASE WHEN {' AND '.join(gates)} THEN {value} ELSE 0 END" if gates else value
+        return f"{value} + {additive.PENALTIES[i]!r} * count(*)" if i == j else value
+
+    rows = ", ".join("[" + ", ".join([cell(i, j) for j in range(n)] + [cell(i, None)]) + "]" for i in range(n))
+    gates = f"""span > {additive.WEEKLY_AFTER_DAYS} AS wk, span > {additive.YEARLY_AFTER_DAYS} AS yr, varies AS pr"""
+    part(
+        f"{p}gram",
+        f"{p}terms {p}fit",
+        f"""
+SELECT {k}, [{rows}] AS a FROM {p}terms JOIN (SELECT {k}, {gates} FROM {p}fit) USING ({k})
+WHERE learn GROUP BY {k}, wk, yr, pr
+""",
+    )
+    part(
+        f"{p}solve",
+        f"{p}gram",
+        f"""
+SELECT {k}, 1 AS step, a FROM {p}gram
+UNION ALL
+SELECT {k}, step + 1, list_transform(range(1, {n + 1}), lambda i: CASE WHEN i = step THEN list_transform(a[step], lambda v: v / a[step][step])
+       ELSE list_transform(range(1, {n + 2}), lambda j: a[i][j] - a[i][step] * a[step][j] / a[step][step]) END)
+FROM {p}solve WHERE step <= {n}
+""",
+    )
+    value = " + ".join(f"a[{i + 1}][{n + 1}] * {x}" for i, x in enumerate(names))
+    part(
+        f"{p}additive",
+        f"{p}solve {p}terms",
+        f"""
+SELECT {k}, t.date, greatest({value}, 0) AS additive
+FROM {p}terms t JOIN {p}solve s USING ({k}) WHERE step = {n + 1} AND NOT learn
+""",
+    )
+
+
 def candidate_parts(prefix: str, needs: str, base: str) -> None:
     """Candidate forecasts as joins on fitted tables.
 
@@ -190,19 +260,21 @@ FROM {p}known GROUP BY {k}
         f"SELECT x.* EXCLUDE (rest), rest - coalesce(part, 0) AS rest FROM {p}res2 x LEFT JOIN {p}mo USING ({k}, mon)",
     )
     part(f"{p}pr", f"{p}res3", f"SELECT {k}, is_promotion, avg(rest) AS part FROM {p}res3 WHERE varies GROUP BY {k}, is_promotion")
+    additive_parts(p)
     part(
         f"{p}cand",
-        f"{p}rows {p}fit {p}season {p}wk {p}mo {p}pr",
+        f"{p}rows {p}fit {p}season {p}wk {p}mo {p}pr {p}additive",
         f"""
 SELECT x.store_id, x.product_id, x.date, x.sales, f.naive_only, greatest(f.last_value, 0) AS baseline_naive,
        greatest(coalesce(s.value, f.last_value), 0) AS baseline_seasonal_naive,
        greatest(f.intercept + f.slope * CAST(x.date - f.first_date AS DOUBLE) + coalesce(wk.part, 0) + coalesce(mo.part, 0)
-                + coalesce(pr.part, 0), 0) AS trend_seasonal
+                + coalesce(pr.part, 0), 0) AS trend_seasonal, ad.additive
 FROM {p}rows x JOIN {p}fit f ON x.store_id = f.store_id AND x.product_id = f.product_id
 LEFT JOIN {p}season s ON x.store_id = s.store_id AND x.product_id = s.product_id AND isodow(x.date) - 1 = s.dow
 LEFT JOIN {p}wk wk ON x.store_id = wk.store_id AND x.product_id = wk.product_id AND isodow(x.date) - 1 = wk.dow
 LEFT JOIN {p}mo mo ON x.store_id = mo.store_id AND x.product_id = mo.product_id AND month(x.date) = mo.mon
 LEFT JOIN {p}pr pr ON x.store_id = pr.store_id AND x.product_id = pr.product_id AND x.is_promotion = pr.is_promotion
+JOIN {p}additive ad ON x.store_id = ad.store_id AND x.product_id = ad.product_id AND x.date = ad.date
 WHERE NOT x.learn
 """,
     )
@@ -227,7 +299,7 @@ part(
     "v_cand",
     """
 SELECT store_id, product_id, date, sales AS y, model_type, yhat
-FROM v_cand UNPIVOT (yhat FOR model_type IN (trend_seasonal, baseline_seasonal_naive, baseline_naive))
+FROM v_cand UNPIVOT (yhat FOR model_type IN (additive, trend_seasonal, baseline_seasonal_naive, baseline_naive))
 WHERE NOT naive_only OR model_type = 'baseline_naive'
 """,
 )
@@ -249,7 +321,7 @@ part(
     "scores",
     """
 SELECT *, row_number() OVER (PARTITION BY store_id, product_id ORDER BY wape, mae,
-       CASE model_type WHEN 'trend_seasonal' THEN 1 WHEN 'baseline_seasonal_naive' THEN 2 ELSE 3 END) AS place
+       CASE model_type WHEN 'additive' THEN 0 WHEN 'trend_seasonal' THEN 1 WHEN 'baseline_seasonal_naive' THEN 2 ELSE 3 END) AS place
 FROM scores
 """,
 )
@@ -259,7 +331,7 @@ part(
     "f_cand best",
     """
 SELECT c.store_id, c.product_id, c.date, b.model_type AS selected_model, b.version AS model_version,
-       greatest(CAST(round_even(CASE b.model_type WHEN 'trend_seasonal' THEN trend_seasonal
+       greatest(CAST(round_even(CASE b.model_type WHEN 'additive' THEN additive WHEN 'trend_seasonal' THEN trend_seasonal
             WHEN 'baseline_seasonal_naive' THEN baseline_seasonal_naive ELSE baseline_naive END, 0) AS BIGINT), 0) AS predicted_demand,
        b.wape AS validation_score, b.reliability
 FROM f_cand c JOIN best b ON c.store_id = b.store_id AND c.product_id = b.product_id

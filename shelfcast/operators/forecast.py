@@ -5,7 +5,8 @@ trend and seasonal parts.  Every step is an aggregate with map-side combine over
 ``(series)`` or ``(series, weekday, month, promotion)``, or a top-7 per series that
 is cut before the shuffle, so the learnt rows themselves are never moved.
 ``predict`` joins that row to the days to forecast and evaluates all candidates as
-columns.
+columns.  The jointly fitted model is in ``additive``; the line and means here, taken one after
+another, are the simpler candidate beside it.
 """
 
 from __future__ import annotations
@@ -15,16 +16,18 @@ from pyspark.sql import functions as F
 
 from shelfcast.functions.keys import SERIES, whole_series
 from shelfcast.functions.numeric import non_negative, whole_units
+from shelfcast.operators import additive
 
 # Candidate order on ties, history needed by the seasonal parts.
 NAIVE = "baseline_naive"
 SEASONAL_NAIVE = "baseline_seasonal_naive"
 TREND = "trend_seasonal"
+ADDITIVE = "additive"
 BOOSTED = "boosted_trees"
-CANDIDATES = [BOOSTED, TREND, SEASONAL_NAIVE, NAIVE]
+CANDIDATES = [BOOSTED, ADDITIVE, TREND, SEASONAL_NAIVE, NAIVE]
 SEASON = 7
-WEEKLY_AFTER_DAYS = 14
-YEARLY_AFTER_DAYS = 365
+WEEKLY_AFTER_DAYS = additive.WEEKLY_AFTER_DAYS
+YEARLY_AFTER_DAYS = additive.YEARLY_AFTER_DAYS
 MIN_TRAIN_ROWS = 5
 
 
@@ -111,7 +114,8 @@ def fit_parts(learnt: DataFrame, level: DataFrame) -> DataFrame:
 
 def fit(learnt: DataFrame) -> DataFrame:
     """Everything the candidates know about a series, in one row."""
-    return fit_parts(learnt, fit_level(learnt)).join(fit_recent(learnt), SERIES)
+    parts = fit_parts(learnt, fit_level(learnt)).join(fit_recent(learnt), SERIES)
+    return parts.join(additive.fit(learnt, _promotion(learnt)), SERIES)
 
 
 # --- predicting: columns on the rows to forecast ------------------------------------------------
@@ -160,6 +164,7 @@ def predict(targets: DataFrame, fitted: DataFrame) -> DataFrame:
         NAIVE: naive(),
         SEASONAL_NAIVE: seasonal_naive(),
         TREND: trend_seasonal(_promotion(targets)),
+        ADDITIVE: additive.additive(_promotion(targets)),
         "naive_only": naive_only(),
     }
     return joined.select(*[targets[c] for c in targets.columns], *[c.alias(name) for name, c in columns.items()])
@@ -204,7 +209,7 @@ def forecast(panel: DataFrame, champions: DataFrame, horizon: int = 7) -> DataFr
     here (a model kept elsewhere) falls back to zero.
     """
     served = fit(panel).join(champions.select(*SERIES, "model_type", "version", "wape", "reliability"), SERIES, "inner")
-    values = {NAIVE: naive(), SEASONAL_NAIVE: seasonal_naive(), TREND: trend_seasonal(F.lit(0))}
+    values = {NAIVE: naive(), SEASONAL_NAIVE: seasonal_naive(), TREND: trend_seasonal(F.lit(0)), ADDITIVE: additive.additive(F.lit(0))}
     chosen = F.coalesce(*[F.when(F.col("model_type") == m, v) for m, v in values.items()], F.lit(0.0))
     return future_rows(served, horizon).select(
         *SERIES,
