@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from datetime import date
+from datetime import date, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,8 +12,10 @@ from shelfcast.catalog import Entry, plain, rounded
 from shelfcast.catalog.sql import NEEDS, PARTS, part, query, r
 from shelfcast.functions.keys import SERIES
 from shelfcast.functions.quantiles import group_quantiles
-from shelfcast.operators import anomaly, clean, features, overview, validate
+from shelfcast.operators import anomaly, clean, distinct, features, overview, validate
+from shelfcast.plans.increments import PanelState
 from shelfcast.plans.prepare import daily_table, prepared, sales_panel
+from shelfcast.session import materialise
 from shelfcast.sources import reports, retail, sales
 from shelfcast.streaming.sources import scratch
 
@@ -656,6 +658,66 @@ def _(spark, folder):
     return rounded(features.engineer(panel(spark, folder)))
 
 
+_HISTORY = [f"lag_{n}" for n in features.LAGS] + [f"has_lag_{n}" for n in features.LAGS]
+
+
+@entry(
+    "f05_f06_sparse_history",
+    query(
+        "featured days",
+        f"SELECT {_KEY}, lag_1, lag_7, lag_14, lag_28, {_FLAGS}, {_r_all(_ROLLING)}, {_TREND} FROM featured JOIN (SELECT {_KEY} FROM days) USING ({_KEY})",
+    ),
+)
+def _(spark, folder):
+    """Lags and rolling measures of the rows that exist, from range frames; no grid is made."""
+    days = materialise(clean.daily(retail.sales(spark, folder)), "daily")
+    first = days.agg(F.min("date")).scalar()
+    return _feature_columns(features.sparse_history(days, first=first), *_HISTORY, *_ROLLING, "trend_ratio")
+
+
+part(
+    "observed",
+    "dense days",
+    """
+SELECT d.* FROM dense d JOIN (SELECT store_id, product_id, min(date) AS lo, max(date) AS hi FROM days GROUP BY store_id, product_id) USING (store_id, product_id)
+WHERE date BETWEEN lo AND hi
+""",
+)
+part("featured_observed", "observed", PARTS["featured"].replace("FROM dense", "FROM observed"))
+_PANEL_COLUMNS = ["sales", "promotion", "price", "safety_stock", "lead_time_days"]
+
+
+@entry(
+    "f14_increments",
+    query(
+        "featured_observed",
+        f"""
+SELECT {_KEY}, sales, promotion, {r('price')} AS price, safety_stock, lead_time_days, {', '.join(_CALENDAR)}, {_r_all(_CYCLES)},
+       lag_1, lag_7, lag_14, lag_28, {_FLAGS}, {_r_all(_ROLLING)}, {_TREND}, is_promotion,
+       {r('previous_price')} AS previous_price, {_CHANGE}, {_CHANGE_PCT}
+FROM featured_observed WHERE date > (SELECT max(date) FROM days) - 10
+""",
+    ),
+)
+def _(spark, folder):
+    """The last ten days in four runs on top of a kept state, instead of a rebuild of the panel."""
+    days = materialise(clean.daily(retail.sales(spark, folder)).select(*SERIES, "date", *_PANEL_COLUMNS), "daily")
+    end = days.agg(F.max("date")).first()[0]
+    cut = end - timedelta(days=10)
+    state = PanelState.start(clean.densify(days.where(F.col("date") <= F.lit(cut))))
+    added = None
+    for length in (1, 2, 3, 4):
+        upto = cut + timedelta(days=length)
+        run = days.where((F.col("date") > F.lit(cut)) & (F.col("date") <= F.lit(upto)))
+        rows = materialise(state.rows(run), "increment")
+        added = rows if added is None else added.unionByName(rows)
+        following = state.after(run)
+        state.drop()
+        state, cut = following, upto
+    state.drop()
+    return rounded(added.where(F.col("date") > F.lit(end - timedelta(days=10))))
+
+
 # --- anomalies ------------------------------------------------------------------------------
 
 # Stock levels that swing, fall below zero and jump, from the date and the sales.
@@ -812,6 +874,22 @@ def _(spark, folder):
     return anomaly.quality(anomaly.detect(scanned(spark, folder)), SERIES)
 
 
+@entry(
+    "q01_q03_levels",
+    query(
+        "flagged",
+        f"""
+SELECT * EXCLUDE (score, g), CASE g WHEN 0 THEN 'series' WHEN 1 THEN 'store' ELSE 'all' END AS level, {_STATUS} AS status,
+       round_even(score, 2) AS data_quality_score
+FROM (SELECT *, {_SCORE} AS score FROM (SELECT store_id, product_id, GROUPING(store_id, product_id) AS g, {_COUNTS} FROM flagged GROUP BY ROLLUP (store_id, product_id)))
+""",
+    ),
+)
+def _(spark, folder):
+    """Quality of all series, all stores and the table in one rollup."""
+    return anomaly.quality_levels(anomaly.detect(scanned(spark, folder)))
+
+
 @entry("q05_records", query("found", "SELECT * FROM found"))
 def _(spark, folder):
     return anomaly.records(anomaly.detect(scanned(spark, folder)))
@@ -836,6 +914,64 @@ def _(spark, folder):
     return anomaly.page_totals(anomaly.records(anomaly.detect(scanned(spark, folder))), page_size=50, store_id="EUROPE")
 
 
+# The scan as a training run sees it where every third day's sales are missing.
+_GAPS = "CAST(date - DATE '1990-01-01' AS INTEGER) % 3 = 0"
+part(
+    "m_scan",
+    "raw",
+    f"""
+SELECT store_id, product_id, date, sales, round(price, 4) AS price, is_promotion, isodow(date) - 1 AS day_of_week, {_STOCK_SQL} AS current_stock
+FROM (SELECT store_id, product_id, date, sum(CASE WHEN {_GAPS} THEN NULL ELSE sales END) AS sales, avg(price) AS price,
+             CASE WHEN max(disc) > 0 THEN 1 ELSE 0 END AS is_promotion FROM raw GROUP BY store_id, product_id, date)
+""",
+)
+part(
+    "m_fences",
+    "m_scan",
+    """
+SELECT store_id, product_id, quantile_cont(sales, 0.25) AS q1, quantile_cont(sales, 0.75) AS q3
+FROM m_scan GROUP BY store_id, product_id
+""",
+)
+
+
+def copied_parts(prefix: str, names: tuple[str, ...]) -> None:
+    """The scan's parts over another table of rows, in which sales may be missing."""
+    for name in names:
+        sql = re.sub(r"\b(FROM|JOIN) (?=[a-z])", rf"\1 {prefix}", PARTS[name]).replace(
+            "WHEN sales = 0 AND rmean > 10",
+            "WHEN sales IS NULL THEN {'t': 'MISSING_DATA', 's': 'CRITICAL', 'v': CAST(1 AS DOUBLE), 'r': 'Missing sales record.'}\n  WHEN sales = 0 AND rmean > 10",
+        )
+        part(f"{prefix}{name}", " ".join(f"{prefix}{n}" for n in NEEDS[name]), sql)
+
+
+copied_parts("m_", ("measured", "bounded", "compared", "flagged"))
+
+
+def with_gaps(spark, folder) -> DataFrame:
+    raw = retail.sales(spark, folder)
+    gone = F.datediff("date", F.lit(date(1990, 1, 1))) % 3 == 0
+    return raw.withColumn("sales", F.when(~gone, F.col("sales")))
+
+
+@entry(
+    "a02_a05_missing_in_flow",
+    query(
+        "m_flagged",
+        f"""
+SELECT {_KEY}, sales, {r('bound')} AS bound, f.s <> 'NONE' AS is_anomaly, f.v AS anomaly_score, f.t AS anomaly_type,
+       f.s AS anomaly_severity, f.r AS anomaly_reason FROM m_flagged
+""",
+    ),
+)
+def _(spark, folder):
+    """Rows with missing sales through the plan of a training run: they neither lower the fence nor the means."""
+    days, _ = prepared(with_gaps(spark, folder))
+    scan = to_scan(days)
+    bounds = anomaly.measures(scan).select(*SERIES, "date", F.round("_bound", 4).alias("bound"))
+    return anomaly.detect(scan).select(*SERIES, "date", "sales", *anomaly.FLAG_COLUMNS).join(bounds, [*SERIES, "date"])
+
+
 # The same over steadier sales in which every finding occurs.  Days and series are those of
 # the sales table; values follow from day and brand number, with an event every few days.
 _EVENT_SQL = """
@@ -865,15 +1001,7 @@ SELECT store_id, product_id, quantile_cont(sales, 0.25) AS q1, quantile_cont(sal
 FROM y_scan GROUP BY store_id, product_id
 """,
 )
-for _name in ("measured", "bounded", "compared", "flagged", "series_quality"):
-    part(
-        f"y_{_name}",
-        " ".join(f"y_{n}" for n in NEEDS[_name]),
-        re.sub(r"\b(FROM|JOIN) (?=[a-z])", r"\1 y_", PARTS[_name]).replace(
-            "WHEN sales = 0 AND rmean > 10",
-            "WHEN sales IS NULL THEN {'t': 'MISSING_DATA', 's': 'CRITICAL', 'v': CAST(1 AS DOUBLE), 'r': 'Missing sales record.'}\n  WHEN sales = 0 AND rmean > 10",
-        ),
-    )
+copied_parts("y_", ("measured", "bounded", "compared", "flagged", "series_quality"))
 
 
 def steady(spark, folder) -> DataFrame:
@@ -931,6 +1059,38 @@ def _(spark, folder):
 
 # --- overview -------------------------------------------------------------------------------
 
+_QUARTER = (date(1999, 4, 1), date(1999, 6, 30))
+
+
+@entry(
+    "b03_sketched_distinct",
+    query(
+        "fine",
+        f"""
+SELECT store_id, count(*) AS rows, count(DISTINCT product_id) AS products, count(DISTINCT date) AS dates, true AS products_within, true AS dates_within
+FROM (SELECT (CAST(store_id AS INTEGER) % 3) AS store_id, product_id, date FROM fine) WHERE date BETWEEN '{_QUARTER[0]}' AND '{_QUARTER[1]}' GROUP BY store_id
+""",
+    ),
+)
+def _(spark, folder):
+    """Distinct products and days of a quarter from the days' sketches, beside the exact counts: are they within the stated error?"""
+    rows = retail.sales_fine(spark, folder).withColumn("store_id", F.col("store_id").cast("int") % 3)
+    kept = materialise(distinct.daily_sketches(rows, {"products": "product_id", "dates": "date"}, by=["store_id"]), "distinct")
+    told = distinct.distinct_between(kept, ["products", "dates"], first=_QUARTER[0], last=_QUARTER[1], by=["store_id"])
+    exact = (
+        rows.where(F.col("date").between(*_QUARTER))
+        .groupBy("store_id")
+        .agg(F.countDistinct("product_id").alias("_products"), F.countDistinct("date").alias("_dates"))
+    )
+    off = {n: F.abs(F.col(n) - F.col(f"_{n}")) <= F.col(f"_{n}") * distinct.relative_error() for n in ("products", "dates")}
+    return told.join(exact, "store_id").select(
+        "store_id",
+        "rows",
+        F.col("_products").alias("products"),
+        F.col("_dates").alias("dates"),
+        *[c.alias(f"{n}_within") for n, c in off.items()],
+    )
+
 
 @entry(
     "b01_recent_totals",

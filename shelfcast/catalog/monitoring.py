@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import date, datetime
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,7 +12,7 @@ from shelfcast.catalog.data import panel, panel_and_scan
 from shelfcast.catalog.forecasting import serving
 from shelfcast.catalog.sql import part, query, r
 from shelfcast.functions.keys import SERIES
-from shelfcast.operators import anomaly, features, monitor, registry, selection
+from shelfcast.operators import anomaly, features, monitor, registry, selection, sketches
 from shelfcast.plans import flows
 from shelfcast.session import materialise
 from shelfcast.sources import retail
@@ -155,13 +155,15 @@ def engineered(spark, folder) -> DataFrame:
     return written_features(panel(spark, folder))
 
 
-def sides(frame: DataFrame) -> tuple[DataFrame, DataFrame]:
-    split = features.chronological_split(frame)
-    return split.where(F.col("split") == "validation"), split.where(F.col("split") == "test")
+def drift(frame: DataFrame) -> DataFrame:
+    return monitor.side_drift(flows.later_sides(frame), features.numeric_features(frame))
 
 
-def drift(frame: DataFrame) -> DataFrame:
-    return monitor.feature_drift(*sides(frame), features.numeric_features(frame))
+def drift_of_panel(spark, folder) -> DataFrame:
+    """Drift without writing features: only the later days' are made, and they go where they are counted."""
+    dense = materialise(panel(spark, folder), "panel")
+    frame = rounded(features.engineer(dense), 6)
+    return monitor.side_drift(flows.later_sides(frame, dates=dense), features.numeric_features(frame))
 
 
 @entry(
@@ -169,7 +171,7 @@ def drift(frame: DataFrame) -> DataFrame:
     query("drift", f"SELECT store_id, product_id, feature, {r('psi')} AS psi, {r('psi', 3)} AS drift_score, status FROM drift"),
 )
 def _(spark, folder):
-    return rounded(drift(engineered(spark, folder)).drop("position"))
+    return rounded(drift_of_panel(spark, folder).drop("position"))
 
 
 @entry(
@@ -177,7 +179,116 @@ def _(spark, folder):
     query("drifted", "SELECT * REPLACE (CAST(features_with_drift AS BIGINT) AS features_with_drift) FROM drifted"),
 )
 def _(spark, folder):
-    return monitor.drift_summary(drift(engineered(spark, folder)))
+    return monitor.drift_summary(drift_of_panel(spark, folder))
+
+
+# Two calendar years, compared month by month from sketches.
+_YEARS = ((date(1999, 1, 1), date(1999, 12, 31)), (date(2000, 1, 1), date(2000, 12, 31)))
+part(
+    "feature_values",
+    "featured",
+    f"""
+SELECT store_id, product_id, date, feature, value FROM (
+  SELECT store_id, product_id, date, unnest([{', '.join(f"round(CAST({_DERIVED.get(f, f)} AS DOUBLE), 6)" for f in _FEATURES)}]) AS value,
+         unnest([{', '.join(f"'{f}'" for f in _FEATURES)}]) AS feature FROM featured) WHERE value IS NOT NULL
+""",
+)
+part(
+    "year_values",
+    "feature_values",
+    f"""
+SELECT *, date >= DATE '{_YEARS[1][0]}' AS late FROM feature_values WHERE date BETWEEN '{_YEARS[0][0]}' AND '{_YEARS[1][1]}'
+""",
+)
+
+
+def monthly_sketches(spark, folder) -> DataFrame:
+    frame = rounded(features.engineer(materialise(panel(spark, folder), "panel")), 6)
+    return materialise(sketches.monthly(frame, features.numeric_features(frame)), "sketches")
+
+
+@entry(
+    "d01_monthly_sketches",
+    query(
+        "feature_values",
+        """
+SELECT store_id, product_id, CAST(date_trunc('month', date) AS DATE) AS month, feature, count(*) AS n, quantile_disc(value, 0.5) + 0.0 AS middle, max(value) + 0.0 AS most
+FROM feature_values GROUP BY ALL
+""",
+    ),
+)
+def _(spark, folder):
+    """What the stored sketches of every month say of each feature."""
+    read = sketches.quantiles("sketch", [0.5, 1.0])
+    kept = monthly_sketches(spark, folder).withColumn("_q", read)
+    return kept.select(*SERIES, "month", "feature", "n", (F.col("_q")[0] + 0.0).alias("middle"), (F.col("_q")[1] + 0.0).alias("most"))
+
+
+@entry(
+    "d02_sketch_drift",
+    query(
+        "year_values",
+        f"""
+, e AS (SELECT store_id, product_id, feature, list_sort(list_distinct(quantile_disc(value, [0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1]))) AS e
+        FROM year_values WHERE NOT late GROUP BY ALL),
+b AS (SELECT v.store_id, v.product_id, v.feature, late, least(len(list_filter(e, lambda x: x <= value)), len(e) - 1) AS bin, count(*) AS c
+      FROM year_values v JOIN e USING (store_id, product_id, feature) WHERE len(e) > 1 AND value >= e[1] AND value <= e[-1] GROUP BY ALL),
+g AS (SELECT g.store_id, g.product_id, g.feature, greatest(coalesce(x.c, 0), 1) AS rc, greatest(coalesce(y.c, 0), 1) AS pc
+      FROM (SELECT store_id, product_id, feature, unnest(range(1, len(e))) AS bin FROM e) g
+      LEFT JOIN b x ON NOT x.late AND x.store_id = g.store_id AND x.product_id = g.product_id AND x.feature = g.feature AND x.bin = g.bin
+      LEFT JOIN b y ON y.late AND y.store_id = g.store_id AND y.product_id = g.product_id AND y.feature = g.feature AND y.bin = g.bin),
+i AS (SELECT store_id, product_id, feature, sum((p - q) * ln(p / q)) AS psi FROM (
+      SELECT store_id, product_id, feature, pc / sum(pc) OVER f AS p, rc / sum(rc) OVER f AS q FROM g WINDOW f AS (PARTITION BY store_id, product_id, feature))
+      GROUP BY ALL)
+SELECT e.store_id, e.product_id, e.feature, {r('coalesce(psi, 0)')} AS psi, {r('coalesce(psi, 0)', 3)} AS drift_score,
+       CASE WHEN coalesce(psi, 0) < 0.1::DOUBLE THEN 'LOW' WHEN psi < 0.25::DOUBLE THEN 'MODERATE' ELSE 'HIGH' END AS status
+FROM e LEFT JOIN i USING (store_id, product_id, feature)
+""",
+    ),
+)
+def _(spark, folder):
+    """Drift between two years from the months' sketches; a year's values fit a sketch, so it is exact."""
+    found = sketches.drift(monthly_sketches(spark, folder), *_YEARS)
+    return rounded(found.drop("position"))
+
+
+_RANKED = ["lag_1", "rolling_mean_7", "rolling_mean_28", "rolling_std_28", "previous_price"]
+
+
+@entry(
+    "d02_sketch_rank_error",
+    query(
+        "year_values",
+        f"""
+SELECT feature, count(*) AS n, 9 AS quantiles, 9 AS within FROM year_values
+WHERE NOT late AND feature IN ({', '.join(f"'{f}'" for f in _RANKED)}) GROUP BY feature
+""",
+    ),
+)
+def _(spark, folder):
+    """All series' sketches of a year merged: how many deciles lie within the stated rank error of the rows."""
+    frame = rounded(features.engineer(materialise(panel(spark, folder), "panel")), 6)
+    kept = sketches.monthly(frame, _RANKED)
+    shares = [i / 10 for i in range(1, 10)]
+    year = sketches.merged(kept, [], first=_YEARS[0][0], last=_YEARS[0][1]).withColumn("q", sketches.quantiles("sketch", shares))
+    told = year.agg(F.map_from_entries(F.collect_list(F.struct("feature", "q")))).scalar()  # one row of 5 x 9 numbers
+    rows = frame.where(F.col("date").between(*_YEARS[0])).select(*_RANKED, told.alias("_told"))
+
+    def sums(f: str, i: int) -> list:
+        at = F.col("_told")[f][i]
+        return [F.count_if(F.col(f) < at).alias(f"{f}_u{i}"), F.count_if(F.col(f) <= at).alias(f"{f}_o{i}")]
+
+    counted = rows.agg(*[F.count(f).alias(f"{f}_n") for f in _RANKED], *[c for f in _RANKED for i in range(len(shares)) for c in sums(f, i)])
+
+    def hits(f: str):
+        n = F.col(f"{f}_n")
+        ok = [
+            ((F.col(f"{f}_u{i}") - n * sketches.rank_error() <= n * p) & (F.col(f"{f}_o{i}") + n * sketches.rank_error() >= n * p)).cast("int")
+            for i, p in enumerate(shares)
+        ]
+        return F.struct(F.lit(f).alias("feature"), n.alias("n"), F.lit(len(shares)).alias("quantiles"), sum(ok, F.lit(0)).alias("within"))
+
+    return counted.select(F.inline(F.array(*[hits(f) for f in _RANKED])))
 
 
 def served(frame: DataFrame) -> tuple[DataFrame, DataFrame]:

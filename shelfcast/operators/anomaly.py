@@ -195,17 +195,11 @@ def _severity_counts() -> list[Column]:
     return [F.count_if(F.col("anomaly_severity") == s).alias(s.lower()) for s in SEVERITY_WEIGHTS]
 
 
-def quality(flags: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Q1-Q4: counts, score and status of the whole table, or per ``by`` group.
+def _counts() -> list[Column]:
+    return [F.count(F.lit(1)).alias("total_records"), F.count_if("is_anomaly").alias("anomalies"), *_severity_counts()]
 
-    The status is taken from the unrounded score.  No rows at all score 0 with
-    status ERROR.
-    """
-    counted = flags.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("total_records"),
-        F.count_if("is_anomaly").alias("anomalies"),
-        *_severity_counts(),
-    )
+
+def _judged(counted: DataFrame) -> DataFrame:
     weighted = sum((F.col(s.lower()) * w for s, w in SEVERITY_WEIGHTS.items()), F.lit(0.0))
     score = F.greatest(F.lit(0.0), F.lit(100.0) - ratio(weighted, F.col("total_records")) * 100.0)
     return (
@@ -222,6 +216,26 @@ def quality(flags: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     )
 
 
+def quality(flags: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Q1-Q4: counts, score and status of the whole table, or per ``by`` group.
+
+    The status is taken from the unrounded score.  No rows at all score 0 with
+    status ERROR.
+    """
+    return _judged(flags.groupBy(*by).agg(*_counts()))
+
+
+def quality_levels(flags: DataFrame) -> DataFrame:
+    """Q1-Q4 of every series, every store and the whole table, in one rollup over one scan.
+
+    ``level`` is ``series``, ``store`` or ``all``; keys above the level are null (so are those
+    of rows without a store, which the level tells apart).  An empty table gives no rows.
+    """
+    counted = flags.rollup(*SERIES).agg(*_counts(), F.grouping_id().alias("_level"))
+    named = F.when(F.col("_level") == 0, "series").when(F.col("_level") == 1, "store").otherwise("all")
+    return _judged(counted.withColumn("level", named).drop("_level"))
+
+
 def records(flags: DataFrame) -> DataFrame:
     """Q5: the flagged rows as report records."""
     return flags.where("is_anomaly").select(

@@ -95,7 +95,7 @@ def clean(df: DataFrame, *, by_category: bool = False, carry_supplied: bool = Tr
 
 
 def densify(
-    panel: DataFrame, *, scope: str = "observed", extent: DataFrame | None = None, flag: bool = False
+    panel: DataFrame, *, scope: str = "observed", extent: DataFrame | None = None, flag: bool = False, placed: bool = False
 ) -> DataFrame:
     """A row for every day of every series.
 
@@ -108,7 +108,8 @@ def densify(
     once, to their series, and the dense rows are made where they stay.  For the
     global grid one marker row per pair at the first date starts the calendar.
     ``extent`` may name a cheaper frame with the same stores, products and dates;
-    ``flag`` adds the outlier flag of the real rows on the way.
+    ``flag`` adds the outlier flag of the real rows on the way.  ``placed`` rows lie with
+    their series already and are not shuffled.
     """
     if scope not in ("global", "observed"):
         raise ValueError(f"unknown scope {scope!r}")
@@ -123,7 +124,8 @@ def densify(
         rows = rows.unionByName(starts, allowMissingColumns=True)
         last = span["hi"]
 
-    rows = by_series(rows)
+    if not placed:
+        rows = by_series(rows)
     if flag:
         rows = flag_outliers(rows)
     tie = ["_real"] + (["category"] if "category" in panel.columns else [])

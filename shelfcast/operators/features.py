@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
-from shelfcast.functions.keys import by_date
+from shelfcast.functions.keys import SERIES, by_date
 from shelfcast.functions.numeric import ratio
 
 # Lags, windows, split shares and columns that are no features.
@@ -81,6 +81,44 @@ def trend_features(df: DataFrame) -> DataFrame:
     return df.withColumn("trend_ratio", F.when(long == 0, F.lit(0.0)).otherwise(ratio(short, long)))
 
 
+def sparse_history(days: DataFrame, *, first: Column | None = None) -> DataFrame:
+    """F3-F7 of the daily rows that exist, without making the empty days between them.
+
+    Frames reach over day numbers instead of rows: an absent day is a day without sales, so it adds
+    nothing to sums and counts as a zero in means, spreads, minima and maxima.  Days before a
+    series' first row (or before ``first``, where all series begin) are no history.  One row per
+    series and day; null sales count as 0.
+    """
+    names = days.columns
+    sales = F.coalesce(F.col("sales").cast("double"), F.lit(0.0))
+    rows = days.withColumn("_day", F.unix_date("date")).withColumn("_sales", sales)
+    series = Window.partitionBy(*SERIES)
+    begin = F.min("_day").over(series) if first is None else F.unix_date(first)
+    rows = rows.withColumn("_behind", F.col("_day") - begin)
+    order = series.orderBy("_day")
+    behind, added = F.col("_behind"), {}
+    for n in LAGS:
+        then = F.coalesce(F.sum("_sales").over(order.rangeBetween(-n, -n)), F.lit(0.0))
+        added[f"lag_{n}"] = F.when(behind >= n, then)
+    for n in MEAN_WINDOWS:
+        past = order.rangeBetween(-n, -1)
+        many = F.least(behind, F.lit(n))
+        there = F.count("_sales").over(past)
+        mean = F.when(many > 0, F.coalesce(F.sum("_sales").over(past), F.lit(0.0)) / many)
+        added[f"rolling_mean_{n}"] = mean
+        if n in SPREAD_WINDOWS:
+            # Squares around the mean: those of the days there are, and of the absent ones.
+            own = F.coalesce(F.var_pop("_sales").over(past), F.lit(0.0))
+            shift = F.coalesce(F.avg("_sales").over(past), F.lit(0.0)) - mean
+            squares = there * (own + shift * shift) + (many - there) * mean * mean
+            added[f"rolling_std_{n}"] = F.when(many > 1, F.sqrt(squares / (many - 1)))
+            for name, extreme, pick in (("min", F.min, F.least), ("max", F.max, F.greatest)):
+                value = extreme("_sales").over(past)
+                added[f"rolling_{name}_{n}"] = F.when(many > 0, F.when(there == many, value).otherwise(pick(value, F.lit(0.0))))
+    rows = rows.withColumns(added).withColumns({f"has_lag_{n}": F.col(f"lag_{n}").isNotNull().cast("int") for n in LAGS})
+    return trend_features(rows.select(*names, *added, *[f"has_lag_{n}" for n in LAGS]))
+
+
 def promotion_features(df: DataFrame) -> DataFrame:
     """F8"""
     if "promotion" not in df.columns:

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shelfcast.functions.keys import SERIES, by_series
 from shelfcast.functions.numeric import half_even, ratio
@@ -54,35 +57,54 @@ def _bin(value: Column, edges: Column) -> Column:
     return F.when(inside, F.least(reached, last))
 
 
+def _decile_edges(reference: np.ndarray) -> np.ndarray:
+    """The distinct deciles of a sorted column, interpolated as SQL's percentile does."""
+    rank = (len(reference) - 1) * (np.arange(BUCKETS + 1) / BUCKETS)
+    low, high = np.floor(rank).astype(int), np.ceil(rank).astype(int)
+    a, b = reference[low], reference[high]
+    return np.unique(np.where(a == b, a, (high - rank) * a + (rank - low) * b))
+
+
+def _count_bins(reference: np.ndarray, production: np.ndarray) -> list[tuple]:
+    """(bin, r, p, bins) of one feature; values outside of all bins are one row with a null bin."""
+    edges = _decile_edges(np.sort(reference))
+    last = len(edges) - 1
+    tally = {}
+    for place, values in enumerate((reference, production)):
+        inside = (values >= edges[0]) & (values <= edges[-1]) if last else np.zeros(len(values), bool)
+        bins, often = np.unique(np.minimum(np.searchsorted(edges, values[inside], "right"), last), return_counts=True)
+        for b, n in [*zip(bins.tolist(), often.tolist()), (None, int((~inside).sum()))]:
+            if n:
+                tally.setdefault(b, [0, 0])[place] += n
+    return [(b, r, p, last) for b, (r, p) in tally.items()]
+
+
 def _bins_of_series(sides: DataFrame, features: Sequence[str], by: Sequence[str]) -> DataFrame:
     """Counts per bin where a group is a feature of one series.
 
-    Such a group has at most one value per day.  One aggregate per series gives the edges of
-    all features; the wide rows meet them where they are and turn long with their bins only.
+    Such a group has at most one value per day, so a series' days meet in one place, its
+    features side by side as columns, and leave as counts.
     """
-    reference, production = F.col("side") == "reference", F.col("side") == "production"
-    edges = sides.groupBy(*by).agg(
-        *[
-            F.array_sort(F.array_distinct(F.percentile(F.when(reference, F.col(f).cast("double")), _deciles()))).alias(f"_e{i}")
-            for i, f in enumerate(features)
-        ]
-    )
-
-    def cell(i: int, feature: str) -> Column:
-        value, own = F.col(feature).cast("double"), F.col(f"_e{i}")
-        return F.struct(
-            F.lit(feature).alias("feature"),
-            F.lit(i).alias("position"),
-            (value.isNotNull() & own.isNotNull()).alias("_in"),
-            _bin(value, own).alias("bin"),
-            (F.size(own) - 1).alias("_bins"),
-        )
-
-    cells = F.array(*[cell(i, f) for i, f in enumerate(features)])
-    long = sides.join(edges, list(by)).select(*by, "side", F.inline(cells)).where("_in")
-    return long.groupBy(*by, "feature", "position", "bin").agg(
-        F.count_if(reference).alias("r"), F.count_if(production).alias("p"), F.first("_bins").alias("bins")
-    )
+    by, features = list(by), list(features)
+    rows = sides.select(*by, (F.col("side") == "production").alias("_late"), *[F.col(f).cast("double").alias(f"_v{i}") for i, f in enumerate(features)])
+    keys = [rows.schema[c] for c in by]
+    cells = T.StructType.fromDDL("feature string, position int, bin int, r bigint, p bigint, bins int")
+
+    def count(days: pa.Table) -> pa.Table:
+        late = days.column("_late").to_numpy()
+        out = []
+        for i, f in enumerate(features):
+            values = days.column(f"_v{i}")
+            known = values.is_valid().to_numpy()
+            values = values.to_numpy()
+            reference = values[known & ~late]
+            if len(reference):
+                out += [(f, i, *cell) for cell in _count_bins(reference, values[known & late])]
+        own = [pa.array([days.column(c)[0].as_py()] * len(out), days.schema.field(c).type) for c in by]
+        made = [pa.array([row[j] for row in out], t) for j, t in enumerate((pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32()))]
+        return pa.Table.from_arrays([*own, *made], [*by, *cells.names])
+
+    return rows.groupBy(*by).applyInArrow(count, T.StructType([*keys, *cells.fields]))
 
 
 def _bins_of_groups(long: DataFrame, group: Sequence[str]) -> DataFrame:
@@ -145,16 +167,21 @@ def stability_index(bins: DataFrame, group: Sequence[str]) -> DataFrame:
 def feature_drift(
     reference: DataFrame, production: DataFrame, features: Sequence[str], by: Sequence[str] = SERIES
 ) -> DataFrame:
-    """D2 for all groups and features in one job; absent features are skipped.
-
-    Per series the wide rows move to their series once and stay there; ``side`` is
-    ``reference`` or ``production``.
-    """
+    """D2 for all groups and features in one job; absent features are skipped."""
     kept = [f for f in features if f in reference.columns and f in production.columns]
     sides = reference.select(*by, *kept, F.lit("reference").alias("side")).unionByName(
         production.select(*by, *kept, F.lit("production").alias("side"))
     )
+    return side_drift(sides, kept, by)
+
+
+def side_drift(sides: DataFrame, features: Sequence[str], by: Sequence[str] = SERIES) -> DataFrame:
+    """D2 of one frame whose ``side`` is ``reference`` or ``production``.
+
+    Per series the wide rows move to their series once and stay there.
+    """
     group = [*by, "feature", "position"]
+    kept = [f for f in features if f in sides.columns]
     if set(SERIES) <= set(by):
         bins = _bins_of_series(by_series(sides), kept, by)
     else:
@@ -232,23 +259,16 @@ def promote(reference_wape: Column, candidate_wape: Column) -> Column:
     return F.when(F.coalesce(reference_wape, F.lit(0.0)) == 0, True).otherwise(F.coalesce(gain >= IMPROVEMENT_MARGIN, F.lit(False)))
 
 
-def health(
-    scored: DataFrame,
-    models: DataFrame,
-    reference: DataFrame,
-    production: DataFrame,
-    features: Sequence[str],
-    quality: DataFrame,
-) -> DataFrame:
+def health(scored: DataFrame, models: DataFrame, sides: DataFrame, features: Sequence[str], quality: DataFrame) -> DataFrame:
     """One health row per series with actuals.
 
     ``scored``: ``(series, actual, forecast)``; ``models``: production models with
-    ``version_id, wape`` (percent) and ``registered_at``; ``quality``: one row with
-    ``data_quality_score``.  A series without a model is reported as missing.
+    ``version_id, wape`` (percent) and ``registered_at``; ``sides``: the days to compare, as
+    ``side_drift`` takes them; ``quality``: one row with ``data_quality_score``.  A series without a model is reported as missing.
     """
     reference_wape = models.select(*SERIES, (F.col("wape") / 100).alias("ref_wape"))
     error = performance(scored, reference_wape)
-    drift = drift_summary(feature_drift(reference, production, features))
+    drift = drift_summary(side_drift(sides, features))
     joined = (
         error.join(drift, SERIES, "left")
         .join(models.select(*SERIES, "version_id", "registered_at"), SERIES, "left")

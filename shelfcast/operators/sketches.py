@@ -3,7 +3,7 @@
 Every (series, feature, month) keeps a KLL sketch of its values.  Sketches merge: months into
 periods, series into stores, products or all, so any two periods at any level compare without reading
 a day again, and a new month only adds its own sketches.  A sketch of up to about ``SIZE`` values holds
-them all, and what is read from it is exact; beyond that ranks err by ``rank_error(SIZE)`` of the
+them all, and counts of fewer than ``GRID`` values read from it are exact; beyond that ranks err by ``rank_error()`` of the
 number of values, whichever way sketches were merged.  ``monitor.feature_drift`` stays the exact way.
 """
 
@@ -22,9 +22,14 @@ SIZE = 1024
 """The sketches' size parameter: larger ones err less and hold more."""
 
 
+GRID = 1000
+"""Even ranks at which a sketch is read to place the other period's edges in it."""
+
+
 def rank_error(size: int = SIZE) -> float:
-    """The share of values by which a rank may be off, with 99 % confidence (a published fit for KLL sketches)."""
-    return 2.446 / size**0.9433
+    """The share of values by which a rank may be off, with 99 % confidence: a published fit for KLL
+    sketches, and half a step of the grid."""
+    return 2.446 / size**0.9433 + 0.5 / GRID
 
 
 def monthly(rows: DataFrame, features: Sequence[str], by: Sequence[str] = SERIES, *, size: int = SIZE) -> DataFrame:
@@ -68,14 +73,20 @@ def quantiles(sketch: Column | str, probs: Sequence[float]) -> Column:
     return F.kll_sketch_get_quantile_double(sketch, F.array(*[F.lit(float(p)) for p in probs]))
 
 
-def _below(sketch: Column, n: Column, edges: Column) -> Column:
-    """How many values lie below each edge; values within 1e-15 of an edge are at it."""
-    under = F.transform(edges, lambda e: e - F.greatest(F.abs(e), F.lit(1e-290)) * F.lit(1e-15))
-    return F.transform(F.kll_sketch_get_rank_double(sketch, under), lambda share: F.round(share * n).cast("bigint"))
+def _cumulated(sketch: str, n: str, edges: Column) -> Column:
+    """How many values lie below each edge; at the last one, how many up to it."""
+    # Ranks of given values can only be had for literals, so the edges are placed among values at even ranks.
+    grid = quantiles(sketch, [(j - 0.5) / GRID for j in range(1, GRID + 1)])
+    last = F.size(edges) - 1
 
+    def placed(g: Column) -> Column:
+        share = F.transform(
+            edges, lambda e, i: F.size(F.filter(g, lambda v: F.when(i < last, v < e).otherwise(v <= e))) / F.lit(float(GRID))
+        )
+        return F.transform(share, lambda s: F.round(s * F.col(n)).cast("bigint"))
 
-def _upto(sketch: Column, n: Column, edge: Column) -> Column:
-    return F.round(F.kll_sketch_get_rank_double(sketch, edge) * n).cast("bigint")
+    # One-element arrays name a value, so that it is computed once.
+    return F.transform(F.array(grid), placed)[0]
 
 
 def binned(reference: DataFrame, production: DataFrame, by: Sequence[str] = SERIES) -> DataFrame:
@@ -90,13 +101,14 @@ def binned(reference: DataFrame, production: DataFrame, by: Sequence[str] = SERI
     )
     both = both.withColumn("_edges", F.array_sort(F.array_distinct(quantiles("_r", deciles))))
     edges = F.col("_edges")
-    last = F.element_at(edges, -1)
 
     def counts(sketch: str, n: str) -> Column:
         """Per bin; the last one includes its upper edge."""
-        under = F.concat(F.slice(_below(F.col(sketch), F.col(n), edges), F.lit(1), F.size(edges) - 1), F.array(_upto(F.col(sketch), F.col(n), last)))
-        steps = F.transform(F.array(under), lambda u: F.zip_with(F.slice(u, F.lit(2), F.size(u) - 1), F.slice(u, F.lit(1), F.size(u) - 1), lambda b, a: b - a))[0]
-        return F.when(F.col(n).isNotNull(), steps)
+
+        def steps(u: Column) -> Column:
+            return F.zip_with(F.slice(u, F.lit(2), F.size(u) - 1), F.slice(u, F.lit(1), F.size(u) - 1), lambda b, a: b - a)
+
+        return F.when(F.col(n).isNotNull(), F.transform(F.array(_cumulated(sketch, n, edges)), steps)[0])
 
     both = both.withColumn("_rc", counts("_r", "_rn")).withColumn("_pc", counts("_p", "_pn"))
     zero = F.lit(0).cast("bigint")

@@ -146,12 +146,18 @@ def health_reports(engineered: DataFrame, pairs: DataFrame, models: DataFrame, q
     ``models`` are the registered champions with ``registered_at``; series without
     one are reported as missing.
     """
-    split = features.chronological_split(engineered)
+    names = features.numeric_features(engineered)
     return monitor.health(
         pairs,
         models.select(*SERIES, F.col("model_id").alias("version_id"), "wape", "registered_at"),
-        split.where(F.col("split") == "validation"),
-        split.where(F.col("split") == "test"),
-        features.numeric_features(engineered),
+        later_sides(engineered),
+        names,
         quality,
     )
+
+
+def later_sides(rows: DataFrame, *, dates: DataFrame | None = None) -> DataFrame:
+    """The validation and test days with their ``side``: reference and production."""
+    split = features.chronological_split(rows, dates=dates)
+    side = F.when(F.col("split") == "validation", "reference").when(F.col("split") == "test", "production")
+    return split.where(F.col("split") != "train").withColumn("side", side).drop("split")

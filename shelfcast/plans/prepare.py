@@ -36,7 +36,12 @@ def sales_panel(df: DataFrame, *, scope: str = "observed", **options) -> DataFra
 
 
 def prepared(df: DataFrame, *, scope: str = "observed", **options) -> tuple[DataFrame, DataFrame]:
-    """The daily rows that exist (for the anomaly scan, with ``sales_missing``) and the panel, from one reading of the raw rows."""
+    """The daily rows that exist, for the anomaly scan, and the panel, from one reading of the raw rows.
+
+    A day whose sales are all missing is 0 in the panel, but null for the scan: it counts
+    neither in the fence nor in the rolling measures, and is flagged as missing.
+    """
     days, filled = _written(df, keep_missing=True, **options)
     panel = densify(filled.drop("sales_missing"), scope=scope, extent=days, flag=True)
-    return flag_outliers(filled), panel
+    known = F.when(~F.col("sales_missing"), F.col("sales"))
+    return flag_outliers(filled).withColumn("sales", known), panel
