@@ -146,26 +146,16 @@ _FIGURES = ", ".join(
 )
 
 
-def written_features(dense: DataFrame) -> DataFrame:
-    """Written features, rounded so that equal values are equal in every engine's arithmetic."""
-    return materialise(rounded(features.engineer(dense), 6), "features")
-
-
-def engineered(spark, folder) -> DataFrame:
-    return written_features(panel(spark, folder))
-
-
-def drift(frame: DataFrame) -> DataFrame:
-    return monitor.side_drift(flows.later_sides(frame), features.numeric_features(frame))
-
-
-def drift_of_panel(spark, folder) -> DataFrame:
+def drift_of_written(dense: DataFrame) -> DataFrame:
     """Drift without writing features: only the later days' are made, and they go where they are counted."""
-    dense = materialise(panel(spark, folder), "panel")
     frame = rounded(features.engineer(dense), 6)
     return monitor.side_drift(flows.later_sides(frame, dates=dense), features.numeric_features(frame))
 
 
+def drift_of_panel(spark, folder) -> DataFrame:
+    return drift_of_written(materialise(panel(spark, folder), "panel"))
+
+
 @entry(
     "d01_d02_feature_drift",
     query("drift", f"SELECT store_id, product_id, feature, {r('psi')} AS psi, {r('psi', 3)} AS drift_score, status FROM drift"),
@@ -299,7 +289,7 @@ def served(frame: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 @entry("d04_d05_performance", query("performed", f"SELECT store_id, product_id, {_FIGURES}, status FROM performed"))
 def _(spark, folder):
-    champions, pairs = served(engineered(spark, folder))
+    champions, pairs = served(materialise(features.promotion_features(panel(spark, folder)), "panel"))
     return monitor.performance(pairs, champions.select(*SERIES, (F.col("wape") / 100).alias("ref_wape")))
 
 
@@ -318,11 +308,11 @@ def _has_model():
 
 def health(spark, folder) -> DataFrame:
     dense, scan = panel_and_scan(spark, folder)
-    frame = written_features(dense)
-    champions, pairs = served(frame)
+    dense = materialise(features.promotion_features(dense), "panel")
+    champions, pairs = served(dense)
     models = champions.where(_has_model()).withColumn("registered_at", F.lit(datetime(2002, 1, 1)))
     quality = anomaly.quality(anomaly.detect(scan))
-    return flows.health_reports(frame, pairs, models, quality)
+    return flows.health_reports(rounded(features.engineer(dense), 6), pairs, models, quality, dates=dense)
 
 
 part(
@@ -379,12 +369,12 @@ JOIN (SELECT store_id AS s, product_id AS x, data_quality_score AS quality FROM
 def _(spark, folder):
     """Each series decided with its own quality score."""
     dense, scan = panel_and_scan(spark, folder)
-    frame = written_features(dense)
-    champions, pairs = served(frame)
+    dense = materialise(features.promotion_features(dense), "panel")
+    champions, pairs = served(dense)
     error = monitor.performance(pairs, champions.select(*SERIES, (F.col("wape") / 100).alias("ref_wape")))
     quality = anomaly.quality(anomaly.detect(scan), SERIES)
     rows = (
-        error.join(monitor.drift_summary(drift(frame)), SERIES)
+        error.join(monitor.drift_summary(drift_of_written(dense)), SERIES)
         .join(quality.select(*SERIES, F.col("data_quality_score").alias("quality")), SERIES)
         .withColumnRenamed("status", "performance_status")
     )

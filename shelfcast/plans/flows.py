@@ -140,9 +140,14 @@ def served_forecasts(panel: DataFrame, champions: DataFrame, *, pooled: Boosted
     return served.select(*SERIES, "date", F.col("sales").alias("actual"), chosen.alias("forecast"))
 
 
-def health_reports(engineered: DataFrame, pairs: DataFrame, models: DataFrame, quality: DataFrame) -> DataFrame:
+def health_reports(
+    engineered: DataFrame, pairs: DataFrame, models: DataFrame, quality: DataFrame, *, dates: DataFrame | None = None
+) -> DataFrame:
     """Health of every series with forecasts: drift from validation to test days and error.
 
+    The features are read once, those of the later days only; they need not be written, and ``dates`` then names a
+    written frame with the same dates.
+
     ``models`` are the registered champions with ``registered_at``; series without
     one are reported as missing.
     """
@@ -150,7 +155,7 @@ def health_reports(engineered: DataFrame, pairs: DataFrame, models: DataFrame, q
     return monitor.health(
         pairs,
         models.select(*SERIES, F.col("model_id").alias("version_id"), "wape", "registered_at"),
-        later_sides(engineered),
+        later_sides(engineered, dates=dates),
         names,
         quality,
     )
