@@ -215,8 +215,10 @@ def nearest(
                 if any(x is None for x in v):
                     continue
                 x = np.array(v, dtype="<f8") + 0.0
-                size = float((x**2).sum())
-                if size > 0 and math.isfinite(size):
+                most = float(np.abs(x).max(initial=0.0))
+                if most > 0 and math.isfinite(most):
+                    # Scaled by a power of two, which changes no cosine, so that no square over- or underflows.
+                    x = np.ldexp(x, -math.frexp(most)[1]) + 0.0
                     g = groups.setdefault(x.tobytes(), ([], []))
                     g[0].append(key)
                     if a:
