@@ -83,13 +83,22 @@ DROPPED_NAMES = frozenset(
 )
 # Elements that can span an article; others are parts of a text.
 SLOTS = frozenset("html body main article section div center td".split())
+# Paths are spelt out for so many nested block elements; deeper ones bear a hash of what they lie in, so that a path
+# stays short.  They are told apart all the same, but none of them is taken for the article.
+DEEP = 64
+LONG_MARK = 200
 # Elements that no class or id makes a part to drop.
 KEPT = frozenset("html body main article".split())
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|[^<]+|<",
-    re.S,
-)
+_MARKUP = r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
+_QUOTED = r"<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>"
+_PLAIN = r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>"
+_NEVER = r"(?!)()()()"
+_TOKEN = re.compile(rf"{_MARKUP}|{_QUOTED}|{_PLAIN}|[^<]+|<", re.S)
+# After a tag whose quotes never close, quotes count no more: each such tag would be read to the end of the page.
+_UNQUOTED = re.compile(rf"{_MARKUP}|{_NEVER}|{_PLAIN}|[^<]+|<", re.S)
+# Behind the last > of a page nothing is a tag.
+_REST = re.compile(rf"{_MARKUP}|{_NEVER}|{_NEVER}|[^<]+|<", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
 _LAST = re.compile("/([^/.]*)[^/]*$")
 # Between the words of a class, and the number at its end (ad-2, comment_17).
@@ -115,16 +124,24 @@ def _named(attributes: str) -> tuple[str, bool, bool, bool]:
     hidden = "hidden" in found or found.get("aria-hidden") == "true"
     named = any(_JOINT.sub("-", _NUMBER.sub("", n)).strip("-") in DROPPED_NAMES for n in names.split())
     mark = "." + ".".join(sorted(found.get("class", "").replace("/", "|").split())) if found.get("class") else ""
+    if len(mark) > LONG_MARK:
+        mark = f".~{_hash(mark):x}"
     return mark, role in DROPPED_ROLES or hidden, named, role == "main"
 
 
 class _Element:
     """An open element: its path, what it lies in, and whether it is dropped as an element or by its names."""
 
-    __slots__ = ("above", "barred", "dropped", "name", "named", "path")
+    __slots__ = ("above", "barred", "base", "depth", "dropped", "name", "named", "path")
 
-    def __init__(self, name: str, path: str, above: _Element | None, barred: bool, named: bool):
-        self.name, self.path, self.above, self.named = name, path, above, named
+    def __init__(self, name: str, step: str, above: _Element | None, barred: bool, named: bool):
+        self.name, self.above, self.named = name, above, named
+        self.depth = above.depth + 1 if above is not None else 1
+        if self.depth <= DEEP:
+            self.base = self.path = f"{above.path if above is not None else ''}/{step}"
+        else:
+            self.base = above.base
+            self.path = f"{self.base}/~{_hash(above.path):x}/{step}"
         self.barred = barred or (above is not None and above.barred)
         self.dropped = self.barred or named or (above is not None and above.dropped)
 
@@ -179,12 +196,20 @@ def blocks(page: str | None) -> Iterator[tuple[str, bool, str, list[str]]]:
             found.append((stack[-1] if stack else None, " ".join(words), list(opened)))
             opened.clear()
 
+    names: Counter = Counter()  # of the open elements: what isn't open is not looked for
+
+    def close(first: int) -> None:
+        names.subtract(e.name for e in stack[first:])
+        del stack[first:]
+
     page = page or ""
-    at, end = 0, len(page)
+    at, end, last, token = 0, len(page), page.rfind(">"), _TOKEN
     while at < end:
-        m = _TOKEN.match(page, at)
+        m = (token if at <= last else _REST).match(page, at)
         at = m.end()
         name = m.group(2) or m.group(5)
+        if m.group(5):
+            token = _UNQUOTED
         if name is None:
             if m.group()[0] != "<" or m.group() == "<":
                 text.append(m.group())
@@ -193,7 +218,7 @@ def blocks(page: str | None) -> Iterator[tuple[str, bool, str, list[str]]]:
         closing = m.group(1) or m.group(4)
         if not closing and name in RAW:
             # Raw text runs to its end tag, whatever stands inside.
-            stop = re.compile(f"</{re.escape(name)}[^>]*>", re.I).search(page, at)
+            stop = re.compile(f"</{re.escape(name)}[^>]*>", re.I).search(page, at) if at <= last else None
             at = stop.end() if stop else end
             continue
         if name not in BLOCKS and name not in DROPPED:
@@ -202,35 +227,34 @@ def blocks(page: str | None) -> Iterator[tuple[str, bool, str, list[str]]]:
             continue
         flush()
         if closing:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i].name == name:
-                    del stack[i:]
-                    break
+            if names[name] > 0:
+                close(next(i for i in range(len(stack) - 1, -1, -1) if stack[i].name == name))
             continue
         if name in VOID:
             continue
-        if name in CLOSE_P:
+        if name in CLOSE_P and names["p"] > 0:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i].name == "p":
-                    del stack[i:]
+                    close(i)
                     break
                 if stack[i].name in ("td", "th", "li", "div", "article", "section", "body"):
                     break
-        if name in SELF_CLOSING_SIBLINGS:
+        if name in SELF_CLOSING_SIBLINGS and any(names[n] > 0 for n in SELF_CLOSING_SIBLINGS[name]):
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i].name in SELF_CLOSING_SIBLINGS[name]:
-                    del stack[i:]
+                    close(i)
                     break
                 if stack[i].name in ("ul", "ol", "dl", "table", "select", "menu", "tr" if name in ("td", "th") else "tbody"):
                     break
         mark, drop, named, main = _named(m.group(3) or m.group(6) or "")
         above = stack[-1] if stack else None
-        path = f"{above.path if above else ''}/{'main' if main else name}{mark}"
-        stack.append(_Element(name, path, above, drop or name in DROPPED, named and not main and name not in KEPT))
+        step = f"{'main' if main else name}{mark}"
+        stack.append(_Element(name, step, above, drop or name in DROPPED, named and not main and name not in KEPT))
+        names[name] += 1
         elements.append(stack[-1])
-        opened.append(path)
+        opened.append(stack[-1].path)
         if (m.group(3) or m.group(6) or "").endswith("/") and name not in BLOCKS:
-            stack.pop()
+            close(len(stack) - 1)
     flush()
     if any(e.named and not e.barred for e in elements):
         _spare(elements, found)
