@@ -37,8 +37,9 @@ _CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{%d,}" % LEAST_LENG
 _ASSIGNED = re.compile(
     r"(?:(?i:password|passwd|passphrase|secret|token|api[_-]?key|credential)|(?<![A-Za-z])(?i:pass|pwd|key|api|auth|private|access|bearer|login)"
     r"|(?<=[a-z0-9])(?:Pass|Pwd|Key|Auth))(?:s|S)?(?:[_-][A-Za-z0-9_-]{0,40}|[A-Z0-9][A-Za-z0-9_-]{0,40})?"
-    r"[\"'`]?[ \t]{0,8}(?::=|=>|==?|:)[ \t]{0,8}(?:\"([^\"\n]+)\"|'([^'\n]+)'|`([^`\n]+)`|([^\s\"'`]\S*))"
+    r"[\"'`]?[ \t]{0,8}(?::=|=>|==?|:)[ \t]{0,8}(?:\"([^\"\n]+)\"|'([^'\n]+)'|`([^`\n]+)`|([^\s\"'`]))"
 )
+_GAP = re.compile(r"\s")
 # Formats that are known by their start.
 _FORMAT = re.compile(
     r"(?<![A-Za-z0-9_-])(?:AKIA[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{16,}|sk[-_][A-Za-z0-9_-]{16,}|xox[a-z]-[A-Za-z0-9-]{10,}"
@@ -141,13 +142,21 @@ def spans(body: str) -> list[tuple[int, int]]:
     """Start and end of each candidate of a text, ascending, none twice."""
     found = {m.span() for m in _CANDIDATE.finditer(body) if any(c.isdigit() for c in m.group())}
     found.update(m.span() for m in _FORMAT.finditer(body))
-    at = 0
-    while m := _ASSIGNED.search(body, at):
+    m, gap = _ASSIGNED.search(body), 0
+    while m:
         a, b = m.span(m.lastindex)
+        # A value may hold a name and its value: url=x?token=y.
+        following = _ASSIGNED.search(body, a)
         if m.lastindex == 4:
-            b = a + (len(body[a:b].rstrip(",;\"'`")) or b - a)
-        found.add((a, b))
-        at = a  # a value may hold a name and its value: url=x?token=y
+            if gap <= a:
+                white = _GAP.search(body, a)
+                gap = white.start() if white else len(body)
+            # Unquoted, it ends at white space or where the next name begins, so that values share no text.
+            end = min(gap, following.start()) if following else gap
+            b = a + (len(body[a:end].rstrip(",;\"'`&?|")) or end - a)
+        if b > a:
+            found.add((a, b))
+        m = following
     return sorted(found)
 
 
