@@ -27,6 +27,8 @@ VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 # Parts of texts whose encoding a worker remembers; a bound on memory, without effect on results.
 REMEMBER = 500_000
+#: Characters of the longest part that is remembered, which bounds the memory for them.
+SHORT = 64
 # A byte piece costs so much more than the worst piece, as the library counts unknown characters.
 PENALTY = 10.0
 SLICE = 512
@@ -131,9 +133,10 @@ class Coder:
 
     def _coded(self, part: str) -> bytes:
         coded = array("i", self.best_path(part)).tobytes()
-        if len(self.remembered) >= REMEMBER:
-            self.remembered.clear()
-        self.remembered[part] = coded
+        if len(part) <= SHORT:  # long parts hardly come again
+            if len(self.remembered) >= REMEMBER:
+                self.remembered.clear()
+            self.remembered[part] = coded
         return coded
 
     def encode(self, text: str) -> np.ndarray:
