@@ -27,10 +27,14 @@ from shelfcast.session import materialise
 FEATURES = 1 << 13
 SAMPLE = 20_000
 TEMPERATURES = (1.0, 1.5, 2.0, 3.0, 4.0, 6.0, 8.0, 12.0, 16.0, 32.0)
-# Stop when the misfit is this share of all tokens, or a step takes off less than a fiftieth of it.
-TOLERANCE = 1e-3
-STEPS = 40
-# Steps whose residuals are replayed per row before rates are written down.
+# The fit is done when the misfit is this share of all tokens, or the projected gradient this share of
+# the gradient's bound: no direction that the bounds leave open takes the misfit down any more.
+TOLERANCE = 1e-4
+FLAT = 1e-9
+STEPS = 200
+# What a step has to take off the squared misfit, as a share of what its slope promises.
+SLOPE = 1e-4
+# Steps that are replayed per row before rates are written down.
 REPLAY = 20
 
 
@@ -124,66 +128,81 @@ def _solve(a: list[list[float]], b: list[float]) -> list[float]:
     return [m[i][n] / m[i][i] for i in range(n)]
 
 
-def fit_rates(soft: DataFrame, targets: Sequence[float], *, least: str | None = None) -> DataFrame:
-    """``soft`` (``tokens`` long, ``posterior`` array, other columns) with ``rate``.
+def fit_rates(soft: DataFrame, targets: Sequence[float], *, least: str | None = None) -> tuple[DataFrame, float]:
+    """``soft`` (``tokens`` long, ``posterior`` array, other columns) with ``rate``, and the misfit that is left.
 
     Projected gradient on the squared misfit of the expected domain totals, over rates of at
-    least 0 (or of column ``least``), from rate 1.  The gradient is scaled by the second
-    moments of the documents, those held at their bound counting less: in that metric a step
-    that holds no further document nearly lands on the targets.  A step that makes the misfit worse
-    is halved.  Documents move in proportion to the posterior, whatever their length.
+    least 0 (or of column ``least``), from rate 1.  Documents at their bound that the gradient
+    would push further stay there; the others move in the metric of their second moments, in proportion to the
+    posterior, and are projected back.  Such a step goes down if it is short enough: one that takes
+    too little off is halved.  The fit ends at the targets or where the projected gradient vanishes, which for
+    this convex problem is the least misfit there is.  The misfit is returned as a share of the targets' sum.
 
     Every pass is one aggregation over the documents, of which the totals and moments (some
     numbers per pair of domains) reach the driver.
     """
     k = len(targets)
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
-    bound = F.col(least) if least else F.lit(0.0)
+    bound = F.col(least).cast("double") if least else F.lit(0.0)
     p = [F.get(F.col("posterior"), F.lit(i)) for i in range(k)]
     n = F.col("tokens").cast("double")
 
-    def stepped(start: Column, steps: list[list[float]]) -> Column:
-        """``start`` moved along each step in turn and projected back after each."""
+    def along(values, offset: Column | int) -> Column:
+        return sum((F.get(values, offset + j) * p[j] for j in range(1, k)), F.get(values, offset + 0) * p[0])
+
+    def stepped(start: Column, steps: list[tuple[list[float], list[float]]]) -> Column:
+        """``start`` moved along each step (misfit, move) in turn and projected back after each."""
         if not steps:
             return start
-        moved = _numbers([x for s in steps for x in s])
-        return F.aggregate(
-            F.sequence(F.lit(0), F.lit(len(steps) - 1)),
-            start,
-            lambda r, i: F.greatest(bound, r - sum((F.get(moved, i * k + j) * p[j] for j in range(1, k)), F.get(moved, i * k) * p[0])),
-        )
+        flat = _numbers([x for misfit, move in steps for x in (*misfit, *move)])
+
+        def one(rate: Column, i: Column) -> Column:
+            stays = (rate <= bound) & (along(flat, i * (2 * k)) >= 0)
+            return F.when(stays, rate).otherwise(F.greatest(bound, rate - along(flat, i * (2 * k) + k)))
+
+        return F.aggregate(F.sequence(F.lit(0), F.lit(len(steps) - 1)), start, one)
+
+    def missed(rated: DataFrame) -> list[float]:
+        sums = rated.agg(*[F.sum(F.col("rate") * n * p[i]).alias(f"t{i}") for i in range(k)]).first()
+        return [(sums[i] or 0.0) - targets[i] for i in range(k)]
 
     now = soft.withColumn("rate", F.greatest(bound, F.lit(1.0)))
-    steps: list[list[float]] = []
     size = sum(targets) or 1.0
-    least_worst, step = math.inf, [0.0] * k
-    for _ in range(STEPS):
+    steps: list[tuple[list[float], list[float]]] = []
+    misfit = missed(now)
+    passes = 1
+    while passes < STEPS and math.hypot(*misfit) > TOLERANCE * size:
         rated = now.withColumn("rate", stepped(F.col("rate"), steps))
-        # Documents at their bound count a tenth: most stay there, some may leave it.
-        free = F.when(F.col("rate") > bound, n).otherwise(n / 10)
+        slope = along(_numbers(misfit), F.lit(0))
+        free = F.when((F.col("rate") > bound) | (slope < 0), n).otherwise(F.lit(0.0))
         sums = rated.agg(
-            *[F.sum(F.col("rate") * n * p[i]).alias(f"t{i}") for i in range(k)],
-            *[F.sum(free * p[i] * p[j]).alias(f"m{i}_{j}") for i, j in pairs],
+            *[F.sum(free * p[i] * p[j]).alias(f"m{i}_{j}") for i, j in pairs], F.sum(n).alias("n")
         ).first()
-        misfit = [(sums[i] or 0.0) - targets[i] for i in range(k)]
-        worst = math.sqrt(sum(x * x for x in misfit)) / size
-        if worst >= least_worst and steps:
-            step = [x / 2 for x in step]
-            steps[-1] = step
-            if max(map(abs, step)) < 1e-6:
-                break
-            continue
-        if worst <= TOLERANCE or worst >= 0.98 * least_worst:
-            break
-        least_worst = worst
-        if len(steps) >= REPLAY:
-            now, steps = materialise(rated, "rates"), []
+        passes += 1
         a = [[(sums[f"m{min(i, j)}_{max(i, j)}"] or 0.0) for j in range(k)] for i in range(k)]
+        # Squared length of the projected gradient, documents weighed by their tokens.
+        descent = sum(misfit[i] * a[i][j] * misfit[j] for i in range(k) for j in range(k))
+        if descent <= FLAT * (sums["n"] or 0.0) * sum(x * x for x in misfit):
+            break
         for i in range(k):
-            a[i][i] += max(1e-9 * sum(sums[f"m{d}_{d}"] or 0.0 for d in range(k)), 1e-9)
-        step = _solve(a, misfit)
+            a[i][i] += 1e-9 * (sums["n"] or 0.0) + 1e-9
+        move = _solve(a, misfit)
+        promised = sum(x * y for x, y in zip(misfit, [sum(a[i][j] * move[j] for j in range(k)) for i in range(k)], strict=True))
+        before, scale, further = sum(x * x for x in misfit), 1.0, None
+        while passes < STEPS:
+            step = (misfit, [scale * x for x in move])
+            further = missed(now.withColumn("rate", stepped(F.col("rate"), [*steps, step])))
+            passes += 1
+            if sum(x * x for x in further) <= before - SLOPE * scale * promised:
+                break
+            scale, further = scale / 2, None
+        if further is None:
+            break
         steps.append(step)
-    return now.withColumn("rate", stepped(F.col("rate"), steps))
+        misfit = further
+        if len(steps) >= REPLAY:
+            now, steps = materialise(now.withColumn("rate", stepped(F.col("rate"), steps)), "rates"), []
+    return now.withColumn("rate", stepped(F.col("rate"), steps)), math.hypot(*misfit) / size
 
 
 def mix(
@@ -198,7 +217,9 @@ def mix(
     out: str = "mixing",
     seed: int = 17,
 ) -> DataFrame:
-    """``docs`` with a struct ``out``: ``tokens`` (words), ``posterior`` by domain, ``rate`` and ``copies``.
+    """``docs`` with a struct ``out``: ``tokens`` (words), ``posterior`` by domain, ``rate``, ``copies`` and ``misfit``.
+
+    ``misfit`` is the same in all rows: by how much the fitted totals miss the targets, as a share of them.
 
     ``weights`` gives the share of tokens each domain should have; a domain that no label
     names gets nothing.  Documents whose likeliest domain is in ``keep`` have a rate of 1 at
@@ -218,6 +239,7 @@ def mix(
     rows = docs.toDF(*inner)
     tokens = F.size(words_of(F.col(body))).cast("long")
     roll = F.pmod(F.xxhash64(F.lit(seed), F.col(key), F.col(body)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    misfit = 0.0
     if not domains:
         rated = rows.select(*inner, tokens.alias("tokens"), F.array().cast("array<double>").alias("posterior"), F.lit(1.0).alias("rate"), roll.alias("_roll"))
     else:
@@ -234,12 +256,12 @@ def mix(
         share = [x / (sum(share) or 1.0) for x in share]
         kept = [i for i, d in enumerate(domains) if d in keep and share[i] > 0]
         size = max((have[i] / share[i] for i in kept), default=sum(have))
-        rated = fit_rates(soft, [size * x for x in share], least="_least")
+        rated, misfit = fit_rates(soft, [size * x for x in share], least="_least")
     copies = (F.floor("rate") + (F.col("_roll") < F.col("rate") - F.floor("rate")).cast("long")).cast("long")
     labels = F.lit(domains) if domains else F.array().cast("array<string>")
     result = rated.select(
         *inner,
-        F.struct("tokens", F.map_from_arrays(labels, F.col("posterior")).alias("posterior"), "rate", copies.alias("copies")).alias("_out"),
+        F.struct("tokens", F.map_from_arrays(labels, F.col("posterior")).alias("posterior"), "rate", copies.alias("copies"), F.lit(misfit).alias("misfit")).alias("_out"),
     )
     return result.toDF(*docs.columns, out)
 

@@ -23,13 +23,41 @@ def test_rates_meet_targets_and_stay_above_their_bound(spark):
     soft = soft_rows(spark)
     total = soft.agg(F.sum("tokens")).first()[0]
     for share in ([0.5, 0.3, 0.2], [0.85, 0.1, 0.05]):
-        rated = mixing.fit_rates(soft, [total * s for s in share]).toPandas()
+        rated = mixing.fit_rates(soft, [total * s for s in share])[0].toPandas()
         got = (np.stack(rated["posterior"]) * (rated["tokens"] * rated["rate"]).to_numpy()[:, None]).sum(axis=0)
         assert rated["rate"].min() >= 0 and np.abs(got / total - share).max() < 0.02
-    held = mixing.fit_rates(soft.withColumn("low", F.lit(0.9)), [total * s for s in (0.5, 0.3, 0.2)], least="low").toPandas()
+    held = mixing.fit_rates(soft.withColumn("low", F.lit(0.9)), [total * s for s in (0.5, 0.3, 0.2)], least="low")[0].toPandas()
     assert held["rate"].min() >= 0.9
 
 
+def least_misfit(tokens, posterior, targets, low):
+    """The least misfit over rates of at least ``low``, by accelerated projected gradient, as a share of the targets."""
+    x = tokens[:, None] * posterior
+    rate = ahead = np.maximum(low, np.ones(len(tokens)))
+    length, momentum = np.linalg.eigvalsh(posterior.T @ (x))[-1], 1.0
+    for _ in range(20_000):
+        new = np.maximum(low, ahead - posterior @ (x.T @ ahead - targets) / length)
+        following = (1 + np.sqrt(1 + 4 * momentum**2)) / 2
+        ahead, rate, momentum = new + (momentum - 1) / following * (new - rate), new, following
+    return np.linalg.norm(x.T @ rate - targets) / targets.sum()
+
+
+@pytest.mark.parametrize(
+    "share,low", [((0.97, 0.02, 0.01), 0.0), ((0.5, 0.3, 0.2), 0.9), ((0.1, 0.1, 0.8), 0.5), ((0.85, 0.1, 0.05), 0.0), ((1.0, 0.0, 0.0), 0.0)]
+)
+def test_rates_leave_the_least_misfit_where_bounds_hold(spark, share, low):
+    soft = soft_rows(spark).withColumn("low", F.lit(low))
+    frame = soft.toPandas()
+    tokens, posterior = frame["tokens"].to_numpy(float), np.stack(frame["posterior"])
+    targets = tokens.sum() * np.array(share)
+    rated, misfit = mixing.fit_rates(soft, list(targets), least="low")
+    rated = rated.orderBy("id").toPandas()
+    assert rated["rate"].min() >= low
+    own = np.linalg.norm((tokens * rated["rate"]).to_numpy() @ posterior - targets) / targets.sum()
+    assert misfit == pytest.approx(own, abs=1e-9)
+    assert own <= least_misfit(tokens, posterior, targets, low) + 1e-3
+
+
 def test_mixing_moves_tokens_towards_the_targets(spark):
     docs = spark.createDataFrame(
         [(i, ("tea milk sugar cup " if i % 4 else "gear motor wheel oil ") * (5 + i % 7), "x", 1.0) for i in range(200)] + [(None, None, None, None), (900, "", "y", 2.0), (1, "tea milk", "z", 3.0)],
