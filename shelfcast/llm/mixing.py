@@ -27,15 +27,12 @@ from shelfcast.session import materialise
 FEATURES = 1 << 13
 SAMPLE = 20_000
 TEMPERATURES = (1.0, 1.5, 2.0, 3.0, 4.0, 6.0, 8.0, 12.0, 16.0, 32.0)
-# The fit is done when the misfit is this share of all tokens, or the projected gradient this share of
-# the gradient's bound: no direction that the bounds leave open takes the misfit down any more.
+# The fit is done when the misfit is this share of the targets, or a further step takes off less than ``GAIN``.
 TOLERANCE = 1e-4
-FLAT = 1e-9
-STEPS = 200
-# What a step has to take off the squared misfit, as a share of what its slope promises.
-SLOPE = 1e-4
-# Steps that are replayed per row before rates are written down.
-REPLAY = 20
+GAIN = 1e-5
+# Length of a step, in units of one over all tokens, and passes over the documents at most (some 20 are usual).
+LENGTH = 1e8
+PASSES = 200
 
 
 def _feature(word: Column) -> Column:
@@ -132,11 +129,11 @@ def fit_rates(soft: DataFrame, targets: Sequence[float], *, least: str | None =
     """``soft`` (``tokens`` long, ``posterior`` array, other columns) with ``rate``, and the misfit that is left.
 
     Projected gradient on the squared misfit of the expected domain totals, over rates of at
-    least 0 (or of column ``least``), from rate 1.  Documents at their bound that the gradient
-    would push further stay there; the others move in the metric of their second moments, in proportion to the
-    posterior, and are projected back.  Such a step goes down if it is short enough: one that takes
-    too little off is halved.  The fit ends at the targets or where the projected gradient vanishes, which for
-    this convex problem is the least misfit there is.  The misfit is returned as a share of the targets' sum.
+    least 0 (or of column ``least``), from rate 1: every document moves against its part of the gradient, its posterior times
+    the misfit, and is projected back.  The gradient is taken where the step lands, so that steps may be long
+    without overshooting; a long one nearly reaches the least misfit there is.  What it has to be is a handful of numbers (one per
+    domain): Newton's method on a convex function of them, shortened where that doesn't go down.
+    The misfit is returned as a share of the targets' sum.
 
     Every pass is one aggregation over the documents, of which the totals and moments (some
     numbers per pair of domains) reach the driver.
@@ -146,63 +143,57 @@ def fit_rates(soft: DataFrame, targets: Sequence[float], *, least: str | None =
     bound = F.col(least).cast("double") if least else F.lit(0.0)
     p = [F.get(F.col("posterior"), F.lit(i)) for i in range(k)]
     n = F.col("tokens").cast("double")
-
-    def along(values, offset: Column | int) -> Column:
-        return sum((F.get(values, offset + j) * p[j] for j in range(1, k)), F.get(values, offset + 0) * p[0])
-
-    def stepped(start: Column, steps: list[tuple[list[float], list[float]]]) -> Column:
-        """``start`` moved along each step (misfit, move) in turn and projected back after each."""
-        if not steps:
-            return start
-        flat = _numbers([x for misfit, move in steps for x in (*misfit, *move)])
-
-        def one(rate: Column, i: Column) -> Column:
-            stays = (rate <= bound) & (along(flat, i * (2 * k)) >= 0)
-            return F.when(stays, rate).otherwise(F.greatest(bound, rate - along(flat, i * (2 * k) + k)))
-
-        return F.aggregate(F.sequence(F.lit(0), F.lit(len(steps) - 1)), start, one)
-
-    def missed(rated: DataFrame) -> list[float]:
-        sums = rated.agg(*[F.sum(F.col("rate") * n * p[i]).alias(f"t{i}") for i in range(k)]).first()
-        return [(sums[i] or 0.0) - targets[i] for i in range(k)]
-
     now = soft.withColumn("rate", F.greatest(bound, F.lit(1.0)))
-    size = sum(targets) or 1.0
-    steps: list[tuple[list[float], list[float]]] = []
-    misfit = missed(now)
-    passes = 1
-    while passes < STEPS and math.hypot(*misfit) > TOLERANCE * size:
-        rated = now.withColumn("rate", stepped(F.col("rate"), steps))
-        slope = along(_numbers(misfit), F.lit(0))
-        free = F.when((F.col("rate") > bound) | (slope < 0), n).otherwise(F.lit(0.0))
-        sums = rated.agg(
-            *[F.sum(free * p[i] * p[j]).alias(f"m{i}_{j}") for i, j in pairs], F.sum(n).alias("n")
+    tokens = soft.agg(F.sum(n)).first()[0] or 0.0
+    size = sum(targets)
+    if tokens <= 0 or size <= 0:
+        return now, 0.0 if size <= 0 else 1.0
+    aims = [t / tokens for t in targets]
+
+    def free(move: Sequence[float]) -> Column:
+        """Rates after a move, before they are projected."""
+        moves = _numbers(move)
+        return F.col("rate") - sum((F.get(moves, F.lit(j)) * p[j] for j in range(1, k)), F.get(moves, F.lit(0)) * p[0])
+
+    def landed(move: Sequence[float]) -> tuple[float, list[float], list[list[float]]]:
+        """The convex function, its gradient and its second derivatives at a move."""
+        at = now.select("*", free(move).alias("_free"))
+        inside = F.col("_free") > bound
+        rate = F.when(inside, F.col("_free")).otherwise(bound)
+        height = F.when(inside, F.col("_free") * F.col("_free") / 2).otherwise(bound * F.col("_free") - bound * bound / 2)
+        sums = at.agg(
+            F.sum(n * height).alias("h"),
+            *[F.sum(n * rate * p[i]).alias(f"t{i}") for i in range(k)],
+            *[F.sum(F.when(inside, n * p[i] * p[j]).otherwise(0.0)).alias(f"m{i}_{j}") for i, j in pairs],
         ).first()
+        value = sums["h"] / tokens + sum(m * m / (2 * LENGTH) + a * m for m, a in zip(move, aims, strict=True))
+        slope = [m / LENGTH + a - sums[f"t{i}"] / tokens for i, (m, a) in enumerate(zip(move, aims, strict=True))]
+        bend = [[sums[f"m{min(i, j)}_{max(i, j)}"] / tokens + (i == j) / LENGTH for j in range(k)] for i in range(k)]
+        return value, slope, bend
+
+    passes, missed = 0, math.inf
+    while True:
+        move = [0.0] * k
+        value, slope, bend = landed(move)
         passes += 1
-        a = [[(sums[f"m{min(i, j)}_{max(i, j)}"] or 0.0) for j in range(k)] for i in range(k)]
-        # Squared length of the projected gradient, documents weighed by their tokens.
-        descent = sum(misfit[i] * a[i][j] * misfit[j] for i in range(k) for j in range(k))
-        if descent <= FLAT * (sums["n"] or 0.0) * sum(x * x for x in misfit):
-            break
-        for i in range(k):
-            a[i][i] += 1e-9 * (sums["n"] or 0.0) + 1e-9
-        move = _solve(a, misfit)
-        promised = sum(x * y for x, y in zip(misfit, [sum(a[i][j] * move[j] for j in range(k)) for i in range(k)], strict=True))
-        before, scale, further = sum(x * x for x in misfit), 1.0, None
-        while passes < STEPS:
-            step = (misfit, [scale * x for x in move])
-            further = missed(now.withColumn("rate", stepped(F.col("rate"), [*steps, step])))
-            passes += 1
-            if sum(x * x for x in further) <= before - SLOPE * scale * promised:
-                break
-            scale, further = scale / 2, None
-        if further is None:
-            break
-        steps.append(step)
-        misfit = further
-        if len(steps) >= REPLAY:
-            now, steps = materialise(now.withColumn("rate", stepped(F.col("rate"), steps)), "rates"), []
-    return now.withColumn("rate", stepped(F.col("rate"), steps)), math.hypot(*misfit) / size
+        before = math.hypot(*slope) * tokens / size
+        if before <= TOLERANCE or missed - before <= GAIN or passes >= PASSES:
+            return now, before
+        missed = before
+        while math.hypot(*slope) > 1e-3 * TOLERANCE * size / tokens and passes < PASSES:
+            step = _solve(bend, [-x for x in slope])
+            down, scale = sum(x * y for x, y in zip(slope, step, strict=True)), 1.0
+            while passes < PASSES:
+                there = [m + scale * x for m, x in zip(move, step, strict=True)]
+                found = landed(there)
+                passes += 1
+                if found[0] <= value + 1e-4 * scale * down + 1e-13 * abs(value) or scale < 1e-9:
+                    break
+                scale /= 2
+            if found[0] >= value and math.hypot(*found[1]) >= math.hypot(*slope):
+                break  # as near as doubles come
+            move, (value, slope, bend) = there, found
+        now = materialise(now.withColumn("rate", F.greatest(bound, free(move))), "rates")
 
 
 def mix(
