@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from datetime import date, datetime
 
 from pyspark.sql import DataFrame
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from shelfcast.catalog import Entry, plain, rounded
 from shelfcast.catalog.data import panel, panel_and_scan
 from shelfcast.catalog.forecasting import serving
-from shelfcast.catalog.sql import part, query, r
+from shelfcast.catalog.sql import PARTS, part, query, r
 from shelfcast.functions.keys import SERIES
 from shelfcast.operators import anomaly, features, monitor, registry, selection, sketches
 from shelfcast.plans import flows
@@ -471,6 +472,55 @@ FROM (SELECT *, min(height) OVER (PARTITION BY store_id, product_id ORDER BY seq
 )
 
 
+part("reg_v", "", PARTS["reg"] + " WHERE event_type <> 'view'")
+part("piled_v", "reg_v", re.sub(r"\breg\b", "reg_v", PARTS["piled"]))
+part(
+    "asked_v",
+    "piled_v",
+    """
+SELECT a.*, 'v' || l.live AS version_id
+FROM (SELECT 'store_' || user_id % 7 AS store_id, 'item_' || user_id AS product_id, event_id AS seq, value AS actual,
+             value * (1 + (event_id % 9 - 3) / 23) AS forecast FROM events WHERE event_type = 'view') a
+ASOF LEFT JOIN (SELECT store_id, product_id, seq, max(CASE event WHEN 'REGISTER' THEN seq END) OVER (PARTITION BY store_id, product_id, height ORDER BY seq) AS live
+                FROM piled_v) l
+ON a.store_id = l.store_id AND a.product_id = l.product_id AND a.seq >= l.seq
+""",
+)
+
+
+def charged(spark, folder) -> DataFrame:
+    events = materialise(retail.registry_events(spark, folder, views=False), "registry")
+    return registry.serving(retail.served_requests(spark, folder), events)
+
+
+@entry("g02_version_as_of", query("asked_v", "SELECT store_id, product_id, seq, version_id FROM asked_v"))
+def _(spark, folder):
+    """The version that was in production when each request came; versions come, go and return."""
+    return charged(spark, folder).select(*SERIES, "seq", "version_id")
+
+
+@entry(
+    "d04_errors_by_version",
+    query(
+        "asked_v",
+        """
+SELECT store_id, product_id, version_id, n, round_even(wape, 4) + 0.0 AS wape, round_even(mae, 4) + 0.0 AS mae, round_even(bias, 4) + 0.0 AS bias,
+       CASE WHEN wape > 0.15::DOUBLE THEN 'HIGH_ERROR' WHEN abs(bias) / (mean_a + 1e-5::DOUBLE) > 0.1::DOUBLE THEN 'HIGH_BIAS' ELSE 'HEALTHY' END AS status
+FROM (SELECT store_id, product_id, version_id, count(*) AS n, avg(a - f) AS bias, avg(abs(a - f)) AS mae, avg(a) AS mean_a,
+             CASE WHEN sum(a) > 0 THEN sum(abs(a - f)) / sum(a) ELSE avg(abs(a - f)) END AS wape
+      FROM (SELECT *, greatest(actual, 0) AS a, greatest(forecast, 0) AS f FROM asked_v) GROUP BY store_id, product_id, version_id)
+""",
+    ),
+)
+def _(spark, folder):
+    """Errors charged to the version that served them."""
+    rows, by = charged(spark, folder), [*SERIES, "version_id"]
+    sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+    found = monitor.performance(rows, by=by).select(*by, "wape", "mae", "bias", "status")
+    same = [F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}")) for c in by]
+    return found.alias("x").join(sizes.alias("y"), same).select("x.*", "y.n")
+
+
 @entry("g01_versions", query("known_versions", "SELECT * FROM known_versions"))
 def _(spark, folder):
     return registry.versions(retail.registry_events(spark, folder)).drop("at")

@@ -106,3 +106,58 @@ def rollback(events: DataFrame, wanted: DataFrame) -> DataFrame:
     return wanted.join(possible, SERIES, "left_semi").select(
         *SERIES, F.lit(None).cast("string").alias("version_id"), F.lit("ROLLBACK").alias("event"), "at", "seq"
     )
+
+
+# --- as of a time -----------------------------------------------------------------------------
+
+
+def timeline(events: DataFrame) -> DataFrame:
+    """Each event with ``live_version``, the version in production after it (null before the first).
+
+    That is the newest version registered at the height the pile has now: versions above it are
+    gone, and an older one at its height went before it came.  Looked up within the day first, then
+    among day ends, so that a series with very many events is ordered day by day.
+    """
+    placed = heights(events)
+    registered = F.when(F.col("event") == "REGISTER", F.col("version_id"))
+    level = [*SERIES, "height"]
+    in_day = Window.partitionBy(*level, "_day").orderBy("at", "seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    today = placed.withColumn("_today", F.last(registered, True).over(in_day))
+    ends = placed.groupBy(*level, "_day").agg(F.max_by(registered, F.when(F.col("event") == "REGISTER", F.struct("at", "seq"))).alias("_end"))
+    earlier = Window.partitionBy(*level).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select(*level, "_day", F.last("_end", True).over(earlier).alias("_before"))
+    live = F.when(F.col("height") > 0, F.coalesce("_today", "_before"))
+    return today.join(ends, [*level, "_day"]).withColumn("live_version", live).select(*events.columns, "height", "live_version", "_day")
+
+
+def serving(rows: DataFrame, events: DataFrame) -> DataFrame:
+    """``rows`` (series, ``at``, ``seq``, other columns) with ``version_id``: what was in production at their time.
+
+    An as-of join without a range join: rows and events of a series lie in one order, and each row takes
+    the last event before it, of its day or else of the last day with any.  Events at the row's
+    very time with a smaller or equal ``seq`` count.  Rows of unknown series, or before the first
+    version, get null; repeated rows each get their answer.  ``rows`` may not have a ``version_id`` of its own.
+    """
+    if "version_id" in rows.columns:
+        raise ValueError("version_id is already a column")
+    live = timeline(events).select(*SERIES, "_day", "at", "seq", F.lit(0).alias("_kind"), "live_version")
+    asked = rows.select(
+        *SERIES,
+        F.to_date("at").alias("_day"),
+        "at",
+        "seq",
+        F.lit(1).alias("_kind"),
+        F.lit(None).cast("string").alias("live_version"),
+        F.struct(*rows.columns).alias("_row"),
+    )
+    together = live.unionByName(asked, allowMissingColumns=True)
+    event = F.col("_kind") == 0
+    in_day = Window.partitionBy(*SERIES, "_day").orderBy("at", "seq", "_kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # The last event decides even where it left nothing in production: its answer is kept in a struct.
+    told = F.when(event, F.struct("live_version"))
+    today = together.withColumn("_today", F.last(told, True).over(in_day)).where(~event)
+    days = together.groupBy(*SERIES, "_day").agg(F.max_by(told, F.when(event, F.struct("at", "seq"))).alias("_end"))
+    earlier = Window.partitionBy(*SERIES).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
+    days = days.select(*SERIES, "_day", F.last("_end", True).over(earlier).alias("_before"))
+    found = today.join(days, [*SERIES, "_day"], "left")
+    return found.select("_row.*", F.coalesce("_today", "_before")["live_version"].alias("version_id"))

@@ -155,9 +155,12 @@ def actions(spark: SparkSession, folder: str) -> DataFrame:
     return as_actions(table(spark, folder, "events"))
 
 
-def registry_events(spark: SparkSession, folder: str) -> DataFrame:
-    """Events seen as model registrations and rollbacks; one series per user."""
-    return table(spark, folder, "events").select(
+def registry_events(spark: SparkSession, folder: str, *, views: bool = True) -> DataFrame:
+    """Events seen as model registrations and rollbacks; one series per user.  ``views`` may be left out."""
+    events = table(spark, folder, "events")
+    if not views:
+        events = events.where(F.col("event_type") != "view")
+    return events.select(
         F.concat(F.lit("store_"), (F.col("user_id") % 7).cast("string")).alias("store_id"),
         F.concat(F.lit("item_"), F.col("user_id").cast("string")).alias("product_id"),
         F.concat(F.lit("v"), F.col("event_id").cast("string")).alias("version_id"),
@@ -165,3 +168,16 @@ def registry_events(spark: SparkSession, folder: str) -> DataFrame:
         F.col("ts").alias("at"),
         F.col("event_id").alias("seq"),
     )
+
+
+def served_requests(spark: SparkSession, folder: str) -> DataFrame:
+    """View events seen as requests for a series' forecast, with what was sold and what was forecast."""
+    views = table(spark, folder, "events").where(F.col("event_type") == "view")
+    return views.select(
+        F.concat(F.lit("store_"), (F.col("user_id") % 7).cast("string")).alias("store_id"),
+        F.concat(F.lit("item_"), F.col("user_id").cast("string")).alias("product_id"),
+        F.col("ts").alias("at"),
+        F.col("event_id").alias("seq"),
+        F.col("value").alias("actual"),
+        (F.col("value") * (1 + (F.col("event_id") % 9 - 3) / 23)).alias("forecast"),
+    )
