@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfcast.catalog import Entry, plain, rounded
+from shelfcast.catalog.data import steady
 from shelfcast.catalog.sql import query, r
 from shelfcast.catalog.stock import _ALERT
 from shelfcast.functions.keys import SERIES
@@ -13,7 +14,8 @@ from shelfcast.operators import anomaly, clean, inventory
 from shelfcast.session import materialise
 from shelfcast.sources import retail
 from shelfcast.streaming import sales as stream_sales
-from shelfcast.streaming import transfers
+from shelfcast.streaming import history, transfers
+from shelfcast.streaming.sinks import keep_newest
 from shelfcast.streaming.sources import event_time, file_stream, newest, run_available, scratch
 
 ENTRIES: dict[str, Entry] = {}
@@ -57,6 +59,18 @@ def _(spark, folder):
     return rounded(newest(updates, ["date", "user_id", "event_type"]))
 
 
+@entry(
+    "w01_newest_table",
+    f"SELECT CAST(ts AS DATE) AS date, user_id, event_type, count(*) AS events, {r('sum(value)')} AS sales FROM events GROUP BY ALL",
+)
+def _(spark, folder):
+    """Every day in the table of newest rows, in which a repeated batch counts once."""
+    events = event_time(table_stream(spark, folder, "events"))
+    totals = stream_sales.daily_totals(events, ["user_id", "event_type"], value="value")
+    table = keep_newest(totals, scratch(spark, "w01"), ["date", "user_id", "event_type"])
+    return rounded(table.read())
+
+
 @entry(
     "w02_rule_flags",
     query(
@@ -97,6 +111,33 @@ def _(spark, folder):
     )
 
 
+@entry(
+    "w02_history_flags",
+    query(
+        "y_flagged",
+        """
+SELECT store_id, product_id, date, f.t AS anomaly_type, f.s AS anomaly_severity, f.v AS anomaly_score, f.r AS anomaly_reason
+FROM y_flagged WHERE date <= (SELECT max(date) - 2 FROM y_flagged)
+""",
+    ),
+)
+def _(spark, folder):
+    """Daily rows in which every finding occurs, as a stream: each row against the ring of its series, up to the watermark."""
+    path = scratch(spark, "w02")
+    rows = materialise(steady(spark, folder), "steady")
+    bounds = materialise(anomaly.demand_bounds(rows), "bounds")
+    daily = rows.select(*SERIES, F.col("date").cast("timestamp").alias("ts"), "sales", "price", "current_stock", "is_promotion")
+    daily.write.parquet(f"{path}/rows-in")
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, history.ROCKSDB)
+    try:
+        stream = file_stream(spark, f"{path}/rows-in", daily.schema)
+        return run_available(history.history_flags(stream, bounds), path).drop("sales")
+    finally:
+        spark.conf.set(provider, before)
+
+
 @entry(
     "w03_transfer_states",
     query(
