@@ -16,12 +16,9 @@ from shelfcast.operators.inventory import alerts
 STATE = "state string, at array<bigint>, id array<bigint>, action array<string>"
 
 
-# A transfer without actions for so long is forgotten; its last state stays in the sink.
-KEEP_DAYS = 90
-
 
 def _advance(
-    key: tuple, batches: Iterator[pd.DataFrame], memory: GroupState, keep_days: int = KEEP_DAYS
+    key: tuple, batches: Iterator[pd.DataFrame], memory: GroupState, keep_days: int | None = None
 ) -> Iterator[pd.DataFrame]:
     """Hold actions until the watermark has passed them, then apply them in time order."""
     state, at, ids, actions = memory.get if memory.exists else (FIRST_STATE, [], [], [])
@@ -40,20 +37,21 @@ def _advance(
     memory.update((state, [w[0] for w in waiting], [w[1] for w in waiting], [w[2] for w in waiting]))
     if waiting:
         memory.setTimeoutTimestamp(max(waiting[0][0] // 1000 + 1, memory.getCurrentWatermarkMs() + 1))
-    else:
+    elif keep_days is not None:
         memory.setTimeoutTimestamp(memory.getCurrentWatermarkMs() + 1 + keep_days * 86_400_000)
     if ready:
         yield pd.DataFrame({"transfer_id": [key[0]], "state": [state]})
 
 
-def transfer_states(actions: DataFrame, *, delay: str = "1 day", keep_days: int = KEEP_DAYS) -> DataFrame:
+def transfer_states(actions: DataFrame, *, delay: str = "1 day", keep_days: int | None = None) -> DataFrame:
     """``(transfer_id, state)`` whenever a transfer has moved on; run in update mode.
 
     Only the three actions that can move a transfer are kept, and of these only the
     ones inside the watermark's delay wait in state, so the state of a transfer is
-    bounded by its actions of that time span, not by its history.  Transfers idle for
-    ``keep_days`` of event time leave the state store; for many of them set the RocksDB
-    store (``spark.sql.streaming.stateStore.providerClass``).
+    bounded by its actions of that time span, not by its history: a word once none waits.  It is kept, as the
+    next action depends on it however late it comes; for many transfers set the RocksDB
+    store (``spark.sql.streaming.stateStore.providerClass``).  Where ids never return, ``keep_days``
+    of event time without actions may end it.
     """
     steps = [a for a, _ in STEPS]
     return (

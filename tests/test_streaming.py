@@ -61,6 +61,19 @@ def test_transfer_states_do_not_depend_on_the_order_of_arrival(spark, tmp_path):
     assert got == want
 
 
+def test_a_transfer_goes_on_after_a_hundred_days(spark, tmp_path):
+    schema = "transfer_id string, ts timestamp, event_id long, action string"
+    start = datetime(2026, 1, 1)
+    days = [[("t", 0, 1, "ACCEPT"), ("u", 0, 2, "ACCEPT")], [("x", 50, 3, "ACCEPT")], [("x", 99, 4, "CONFIRM")], [("t", 100, 5, "CONFIRM")], [("x", 120, 6, "COMPLETE")], [("y", 130, 7, "ACCEPT")]]
+    for i, rows in enumerate(days):
+        made = [(t, start + timedelta(days=d), n, a) for t, d, n, a in rows]
+        spark.createDataFrame(made, schema).coalesce(1).write.parquet(str(tmp_path / "in" / str(i)))
+    stream = file_stream(spark, str(tmp_path / "in" / "*"), spark.createDataFrame([], schema).schema, files_per_trigger=1)
+    found = newest(run_available(transfers.transfer_states(stream), str(tmp_path / "out"), mode="update"), ["transfer_id"])
+    states = {r.transfer_id: r.state for r in found.collect()}
+    assert (states["t"], states["x"], states["u"]) == ("IN_TRANSIT", "COMPLETED", "ACCEPTED")
+
+
 def test_alert_table(spark, tmp_path):
     path = str(tmp_path / "items")
     items = spark.createDataFrame(
