@@ -200,7 +200,8 @@ def nearest(
     id or vector are.  Null ids, vectors that are null, zero, or hold null or non-finite
     components, and vectors of another length than most of the sample take no part, as
     queries or as neighbours.  Repeated query rows each get their answers; with fewer rows
-    than ``k`` all are given; an empty table gives an empty table.
+    than ``k`` all are given; an empty table gives an empty table.  Other columns are not read,
+    whatever their names.
     """
     spark = vectors.sparkSession
     asks = F.lit(True) if queries is None else F.coalesce(queries(F.col(id_col)), F.lit(False))

@@ -164,7 +164,8 @@ def candidates(docs: DataFrame, lang: Language, *, id_col: str = "doc_id", text:
     """A row per candidate: ``id_col`` (long), ``start`` (code points), ``finding``, ``left`` (60 characters before) and ``features``.
 
     Whole texts are searched; null and empty texts have no candidates.  ``path`` names a
-    column with the place of the text, if there is one.  Repeated rows repeat candidates.
+    column with the place of the text, if there is one.  Repeated rows repeat candidates, an empty
+    table gives an empty one, and other columns are not read, whatever their names.
     """
     shared = docs.sparkSession.sparkContext.broadcast(lang)
 

@@ -149,8 +149,8 @@ def deal(rows: DataFrame, *, shards: int = 16, seed: int = 20_240_229) -> DataFr
     """``rows`` with ``row_number``, ``place`` (its permuted number), ``shard`` and ``slot``.
 
     Law: rows.  Shard sizes differ by one at most and slots are gapless from 0 in each
-    shard.  All columns may be null or repeat; equal rows get numbers of their own.  An
-    empty table stays empty.  The four names must not be columns of ``rows``.
+    shard.  All columns may be null or repeat; equal rows and equal texts get numbers of
+    their own and are dealt apart.  An empty table stays empty.  The four names must not be columns of ``rows``.
     """
     if shards < 1:
         raise ValueError("at least one shard")

@@ -234,8 +234,8 @@ def scored(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text: str =
     """``id_col`` (long), ``score`` (0 to 1) and ``predicted`` for each row of ``docs``.
 
     Only the text is looked at.  A null or empty text, or one without letters or digits, gets
-    the score of the bias; repeated rows and ids are scored one by one; other columns are
-    left behind.
+    the score of the bias; repeated rows and ids are scored one by one, an empty table gives
+    an empty one; other columns are left behind, whatever their names.
     """
     diff = (model.table @ (model.weights[:, 1] - model.weights[:, 0])).astype(np.float32)
     shared = docs.sparkSession.sparkContext.broadcast((diff, float(model.bias[1] - model.bias[0])))
