@@ -37,6 +37,9 @@ HEADLINE = [
     "x08_transfers",
     "v20_validate_gated",
     "w03_transfer_states",
+    "f05_f06_sparse_history",
+    "d02_sketch_drift",
+    "q01_q03_levels",
 ]
 
 
