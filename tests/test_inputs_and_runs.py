@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from shelfcast import session
 from shelfcast.functions.skew import hot_keys
-from shelfcast.operators import access, anomaly, clean, exchange, validate
+from shelfcast.operators import access, anomaly, clean, exchange, forecast, validate
 from shelfcast.plans import flows
 from shelfcast.plans.prepare import sales_panel
 
@@ -76,7 +76,7 @@ def test_missing_sales_reach_the_scan(spark):
 
 def test_boosted_champions_are_served(spark):
     run = flows.train(gappy(spark), as_of=date(2027, 1, 1), trees=5)
-    assert {len(r.all_results) for r in run.champions.collect()} == {4}
+    assert {frozenset(x.model_type for x in r.all_results) for r in run.champions.collect()} == {frozenset(forecast.CANDIDATES)}
     forced = run.champions.withColumn("model_type", F.lit("boosted_trees"))
     demand = flows.coming_demand(run.engineered, forced, pooled=run.pooled).collect()
     assert len(demand) == 14 and all(r.predicted_demand > 0 for r in demand if r.product_id == "B")
