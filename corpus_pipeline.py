@@ -3,6 +3,10 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes each stage's
 result to the shared folder and reads it again as the next one's documents.  All but the
 last stage return the columns of ``documents``.
+
+In every stage null ids and repeated rows are rows like others, an empty table stays empty, and further columns
+pass through under any name (the last stage leaves them).  Null, empty and blank texts are rejected by the
+quality rules; handed to the later stages they stay as they are, linked with nothing and without tokens.
 """
 
 from __future__ import annotations
@@ -11,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfcast.llm import jaccard_join, line_dedup, mixing, piece_coding, quality_rules
-from shelfcast.llm.tables import table
+from shelfcast.llm.tables import free_name, table
 from shelfcast.session import materialise
 
 #: Shares of tokens the mixture aims at.
@@ -25,9 +29,11 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the lines that repeat passages seen before; texts left without a word go."""
-    cut = line_dedup.dedup_lines(docs, out="_cut")
-    emptied = (F.size("_cut.removed") > 0) & ~F.coalesce(F.col("text").rlike("[^\\x20\\x09-\\x0D]"), F.lit(False))
-    changed = F.when(F.size("_cut.removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    out = free_name(docs, "_cut")
+    cut = line_dedup.dedup_lines(docs, out=out)
+    removed = F.size(F.col(out)["removed"]) > 0
+    emptied = removed & ~F.coalesce(F.col("text").rlike("[^\\x20\\x09-\\x0D]"), F.lit(False))
+    changed = F.when(removed, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return cut.where(~emptied).withColumn("n_chars", changed).select(*docs.columns)
 
 
@@ -39,7 +45,8 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the fitted rates say; clean ones at least once."""
     labels = mixing.label_domains(table(spark, sf_dir, "labels"))
-    return mixing.realise(mixing.mix(docs, labels, WEIGHTS, keep=("clean",)))
+    out = free_name(docs, "mixing")
+    return mixing.realise(mixing.mix(docs, labels, WEIGHTS, keep=("clean",), out=out), out)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
