@@ -74,6 +74,51 @@ def test_a_transfer_goes_on_after_a_hundred_days(spark, tmp_path):
     assert (states["t"], states["x"], states["u"]) == ("IN_TRANSIT", "COMPLETED", "ACCEPTED")
 
 
+ACTION = "transfer_id string, ts timestamp, event_id long, action string"
+
+
+def transfers_of(spark, tmp_path, files, **options):
+    """States of transfers after files of ``(transfer, day, event_id, action)`` in turn, and the most rows the state had."""
+    for i, rows in enumerate(files):
+        made = [(t, None if d is None else datetime(2026, 1, 1) + timedelta(days=d), n, a) for t, d, n, a in rows]
+        spark.createDataFrame(made, ACTION).coalesce(1).write.parquet(str(tmp_path / "in" / str(i)))
+    stream = file_stream(spark, str(tmp_path / "in" / "*"), spark.createDataFrame([], ACTION).schema, files_per_trigger=1)
+    moved, held = {}, []
+
+    def keep(batch, _):
+        moved.update({r.transfer_id: r.state for r in batch.collect()})
+
+    writer = transfers.transfer_states(stream, **options).writeStream.outputMode("update").foreachBatch(keep)
+    query = writer.option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    for progress in query.recentProgress:
+        held += [op["numRowsTotal"] for op in progress["stateOperators"]]
+    return moved, max(held)
+
+
+def test_transfers_share_a_state_and_a_call(spark, tmp_path):
+    steps = ["ACCEPT", "CONFIRM", "COMPLETE"]
+    first = [(f"t{i}", 0, 10 * i + k, a) for i in range(300) for k, a in enumerate(steps[: 1 + i % 3])]
+    second = [("t0", 5, 10_000, "CONFIRM"), ("t1", 5, 10_001, "ACCEPT"), ("end", 9, 10_002, "ACCEPT")]
+    moved, held = transfers_of(spark, tmp_path, [first, second], shards=8)
+    want = {f"t{i}": ("ACCEPTED", "IN_TRANSIT", "COMPLETED")[i % 3] for i in range(300)} | {"t0": "IN_TRANSIT"}
+    assert moved == want
+    assert held <= 8
+
+
+def test_actions_without_a_time_never_count_and_those_without_an_id_come_last(spark, tmp_path):
+    rows = [("t", 0, None, "ACCEPT"), ("t", 0, 1, "CONFIRM"), ("u", None, 2, "ACCEPT"), ("u", 0, 3, "CONFIRM"), (None, 0, 4, "ACCEPT")]
+    moved, _ = transfers_of(spark, tmp_path, [[*rows, ("end", 9, 5, "ACCEPT")]], shards=1)
+    assert moved == {"t": "ACCEPTED", "u": "REQUESTED", None: "ACCEPTED"}
+
+
+def test_an_idle_transfer_ends_and_its_neighbours_go_on(spark, tmp_path):
+    files = [[("a", 0, 1, "ACCEPT"), ("b", 0, 2, "ACCEPT")], [("b", 8, 3, "CONFIRM")], [("x", 16, 4, "ACCEPT")], [("y", 22, 5, "ACCEPT")]]
+    files += [[("z", 22, 6, "ACCEPT")], [("a", 22, 7, "CONFIRM"), ("b", 22, 8, "COMPLETE")], [("end", 25, 9, "ACCEPT")]]
+    moved, _ = transfers_of(spark, tmp_path, files, shards=1, keep_days=12)
+    assert (moved["a"], moved["b"]) == ("REQUESTED", "COMPLETED")
+
+
 def test_alert_table(spark, tmp_path):
     path = str(tmp_path / "items")
     items = spark.createDataFrame(
