@@ -224,35 +224,35 @@ def check_missing(df: DataFrame) -> DataFrame:
     return _checked(df, _missing(df))
 
 
-def extra_copies(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """How many rows repeat an earlier row on ``keys`` (nulls equal nulls)."""
-    return (
-        df.groupBy(*[F.col(f"`{k}`") for k in keys])
-        .agg(F.count(F.lit(1)).alias("_c"))
-        .agg(F.coalesce(F.sum(F.col("_c") - 1), F.lit(0)).cast("bigint").alias("n"))
-    )
+def copies(df: DataFrame) -> DataFrame:
+    """Distinct rows with how often each occurs (``_c``): what V9 and V10 count on."""
+    return df.groupBy(*[F.col(f"`{c}`") for c in df.columns]).agg(F.count(F.lit(1)).alias("_c"))
+
 
+def _extra(counts: DataFrame) -> DataFrame:
+    return counts.agg(F.coalesce(F.sum(F.col("_c") - 1), F.lit(0)).cast("bigint").alias("n"))
 
-def check_exact_duplicates(df: DataFrame) -> DataFrame:
-    """V9"""
-    one = extra_copies(df, df.columns)
+
+def check_exact_duplicates(df: DataFrame, rows: DataFrame | None = None) -> DataFrame:
+    """V9; ``rows`` takes the result of ``copies`` where several checks share it (nulls equal nulls)."""
+    one = _extra(copies(df) if rows is None else rows)
     return _rows(one, [_finding("exact_duplicates", "WARNING", F.col("n"), "Found ", F.col("n"), " exact duplicate rows.")])
 
 
 def counted(df: DataFrame) -> DataFrame:
-    """Rows per series, date as given (``_raw``), day (``_d``) and sales (``_v``): what V10 and V15 to V17 count on."""
+    """Rows per series, day (``_d``) and sales (``_v``): what V15 to V17 count on."""
     number = _as_number(df, "sales")
-    raw, day = (F.col("date"), _as_date(df)) if "date" in df.columns else (F.lit(None).cast("date"),) * 2
-    cells = df.select(*_key(df), raw.alias("_raw"), day.alias("_d"), F.when(~F.isnan(number), number).alias("_v"))
+    day = _as_date(df) if "date" in df.columns else F.lit(None).cast("date")
+    cells = df.select(*_key(df), day.alias("_d"), F.when(~F.isnan(number), number).alias("_v"))
     return cells.groupBy(*cells.columns).agg(F.count(F.lit(1)).alias("_c"))
 
 
-def check_key_duplicates(df: DataFrame, cells: DataFrame | None = None) -> DataFrame:
-    """V10"""
+def check_key_duplicates(df: DataFrame, rows: DataFrame | None = None) -> DataFrame:
+    """V10; ``rows`` as in V9."""
     keys = ["date", "product_id"] + (["store_id"] if "store_id" in df.columns else [])
     label = f" duplicate rows based on ({', '.join(keys)})."
-    cells = counted(df) if cells is None else cells
-    one = cells.groupBy("_raw", *_key(df)).agg(F.sum("_c").alias("_c")).agg(F.coalesce(F.sum(F.col("_c") - 1), F.lit(0)).alias("n"))
+    rows = df.withColumn("_c", F.lit(1).cast("bigint")) if rows is None else rows
+    one = _extra(rows.groupBy(*[k for k in keys if k in df.columns]).agg(F.sum("_c").alias("_c")))
     return _rows(one, [_finding("key_duplicates", "WARNING", F.col("n"), "Found ", F.col("n"), label)])
 
 
@@ -384,27 +384,27 @@ def validate(df: DataFrame, *, min_history: int = 30, as_of: date) -> DataFrame:
     """All findings on a raw table.
 
     A missing required column ends the checks (V2).  When sales or price do not
-    parse as numbers, the checks on their values are held back (V20).  All counting checks
-    share one aggregate over the rows, the gate included; the checks on series read the
-    counted cells, written once.
+    parse as numbers, the checks on their values are held back (V20): the gate is one row, read
+    before any of them is prepared.  All counting checks share one aggregate over the rows, written
+    once, the gate included; both counts of duplicates share one shuffle of the distinct rows; the
+    checks on series read the counted cells, written once.
     """
     df = normalise_columns(df)
     schema = check_schema(df)
     if any(c not in df.columns for c in REQUIRED_COLUMNS):
         return schema
-    cells = materialise(counted(df), "cells")
     plain = [_single_store(df), _types(df), _missing(df)]
     values = _values(df, as_of)
-    one = df.agg(*[c for counts, _ in [*plain, values] for c in counts])
+    one = materialise(df.agg(*[c for counts, _ in [*plain, values] for c in counts]), "counts")
     # A check of values counts only if no text failed to be a number.
     open_ = reduce(lambda x, y: x & y, [F.col(f"_{c}") == 0 for c in _untyped(df)], F.lit(True))
     gated = [f.withField("n", F.when(open_, f["n"])) for f in values[1]]
-    first = [schema, _rows(one, [f for _, found in plain for f in found] + gated), check_exact_duplicates(df), check_key_duplicates(df, cells)]
-    later = [check_spikes(df, cells), check_history(df, min_history, cells), check_leakage(df)]
-    rest = reduce(DataFrame.unionByName, later)
-    if _untyped(df):
-        rest = rest.where(df.agg(*_types(df)[0]).select(open_).scalar())
-    return reduce(DataFrame.unionByName, [*first, rest])
+    rows = copies(df)
+    found = [schema, _rows(one, [f for _, found in plain for f in found] + gated), check_exact_duplicates(df, rows), check_key_duplicates(df, rows)]
+    if one.select(open_.alias("open")).first()["open"]:
+        cells = materialise(counted(df), "cells")
+        found += [check_spikes(df, cells), check_history(df, min_history, cells), check_leakage(df)]
+    return reduce(DataFrame.unionByName, found)
 
 
 def _untyped(df: DataFrame) -> list[str]:

@@ -3,6 +3,7 @@ from datetime import date
 import pytest
 from pyspark.sql import functions as F
 
+from shelfcast import session
 from shelfcast.operators import validate
 from shelfcast.sources.sales import normalise_columns
 
@@ -41,6 +42,27 @@ def test_text_sales_fail_and_hold_back_later_checks(spark):
     assert "leakage" not in found
 
 
+def test_a_closed_gate_prepares_nothing_behind_it(spark):
+    before = len(session._written)
+    found = validate.validate(frame(spark, sales=("A", "5", "6"), kind="string", repeat=True), min_history=2, as_of=AS_OF)
+    found.collect()
+    made = [path.rsplit("/", 1)[1].split("-")[1] for path in session._written[before:]]
+    assert made == ["counts"]
+    # Both counts of duplicates read one shuffle of the rows.
+    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("ReusedExchange") == 1
+
+
+def test_duplicates_and_days_of_texts(spark):
+    rows = [("2026-08-01", "P", None, 1.0, 2.0)] * 3 + [("2026-08-01", "P", None, 1.0, None), ("8/1/2026", "P", None, 1.0, 2.0)]
+    rows += [(None, "P", "S", 1.0, 2.0)] * 2 + [("8/1/2026", "P", "S", 1.0, 2.0), ("2026-08-01", "P", "S", 4.0, 2.0), ("2026-08-21", "P", "S", 1.0, 2.0)]
+    df = spark.createDataFrame(rows, "date string, product_id string, store_id string, sales double, price double")
+    found = findings(df)
+    assert (found["exact_duplicates"]["n"], found["key_duplicates"]["n"]) == (3, 4)
+    assert (found["missing_dates"]["scope"], found["missing_dates"]["n"]) == ("P-S", 19)
+    assert validate.check_key_duplicates(df).first()["n"] == 4
+
+
 def test_numbers_in_text_are_fine(spark):
     assert "sales_numeric" not in findings(frame(spark, sales=("1", "2", "3"), kind="string"))
 
